@@ -11,6 +11,7 @@ MODULES = {
     "op6_simhash": "simhash",
     "op7_tree_bpe": "bpe",
     "op8_bit_packing": "packing",
+    "op10_toxicity": "toxicity",
 }
 
 
