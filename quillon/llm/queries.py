@@ -9,6 +9,7 @@ MODULES = {
     "op1_warc_chunks": "warc",
     "op2_line_cleaning": "linefilter",
     "op3_lattice_lm": "lattice",
+    "op4_decontamination": "decontaminate",
     "op6_simhash": "simhash",
     "op7_tree_bpe": "bpe",
     "op8_bit_packing": "packing",
