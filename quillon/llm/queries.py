@@ -10,6 +10,7 @@ MODULES = {
     "op2_line_cleaning": "linefilter",
     "op3_lattice_lm": "lattice",
     "op4_decontamination": "decontaminate",
+    "op5_suffix_dedup": "suffixes",
     "op6_simhash": "simhash",
     "op7_tree_bpe": "bpe",
     "op8_bit_packing": "packing",
