@@ -80,8 +80,8 @@ def sketches(shingles: DataFrame) -> DataFrame:
     return ordered.select("item_id", F.explode(F.slice("hs", F.lit(1), F.least(k, F.size("hs")).cast("int"))).alias("h"), least_words.alias("least_words"))
 
 
-def found_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, item_ids, n_shared, n_shingles, containment for each document and item class found in it."""
+def verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), item_id, item_ids, n_shared, n_shingles of each containment."""
     classes, shingles = item_classes(benchmark)
     shingles = store(shingles, "item-shingles")
     sketch = store(sketches(shingles), "sketches")
@@ -105,10 +105,22 @@ def found_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted = hits.groupBy("doc_id", "t", "item_id").agg(F.count("*").alias("n_shared"))
     right = pairs.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.col("item_id").alias("i"))
     counted = counted.join(right, (F.col("t") == F.col("u")) & (F.col("item_id") == F.col("i")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    out = counted.join(maybe_broadcast(classes, n_shingles), "item_id").filter(F.col("n_shared") >= F.ceil(F.col("n_shingles") * CONTAINED - 1e-9))
+    return counted.join(maybe_broadcast(classes, n_shingles), "item_id").filter(F.col("n_shared") >= F.ceil(F.col("n_shingles") * CONTAINED - 1e-9))
+
+
+def found_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, item_ids, n_shared, n_shingles, containment for each document and item class found in it."""
+    out = verified(documents, benchmark)
     return out.groupBy("doc_id", "item_id", "item_ids").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").cast("long").alias("n_shingles")).withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6))
 
 
+def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns as they are, less those that contain an item."""
+    found = store(verified(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "contaminated")
+    t = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return documents.join(maybe_broadcast(found, found.count()), (t == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

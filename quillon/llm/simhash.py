@@ -201,17 +201,28 @@ def link_edges(fingerprints: DataFrame, group_max: int = GROUP_MAX) -> DataFrame
 
 
 def simhash_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    rows = documents.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
-    prints = store(map_rows(rows, lambda part: [(k, fingerprint(t)) for k, t in part], "doc_id long, fp long"), "simhash")
+    """doc_id, k (hash of id and text), fp, label (one fingerprint of the class), component_id of every row."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    prints = store(map_rows(rows, lambda part: [(i, k, fingerprint(t)) for i, t, k in part], "doc_id long, k long, fp long"), "simhash")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = store(link_edges(distinct.select("fp")), "simhash-edges")
     labels = connected_components(edges)
     labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     labelled = store(labelled, "simhash-labelled")
     least = store(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-least")
-    classes = store(labelled.join(least, "label").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = store(labelled.join(least, "label").select("fp", "label", "component_id"), "simhash-classes")
+    return prints.join(classes, "fp").select("doc_id", "k", "fp", "label", "component_id")
+
+
+def keep_one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, all columns as they are, less all but one row of each near-duplicate class: the row with
+    the least (id, text hash) stays."""
+    classes = store(simhash_classes(documents).select("label", "doc_id", "k"), "simhash-rows")
+    stays = store(classes.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.k").alias("__k")), "simhash-stays")
+    again = classes.groupBy("doc_id", "k").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kept = documents.join(stays, (name == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept  # equal rows are one document
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,30 +305,68 @@ def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot
     return spans.unionByName(more)
 
 
+def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching stretches as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in spans for x in s), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def with_spans(rows: DataFrame, keyed_rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """``rows`` (with d and k) and the lists low, high of their repeated stretches, null if there are none."""
+    spans = store(repeat_spans(keyed_rows, length, gram, hot), "spans").groupBy("d", "k").agg(F.collect_list(F.struct("low", "high")).alias("s"))
+    return rows.join(spans, ["d", "k"], "left").withColumns({"low": F.col("s.low"), "high": F.col("s.high")}).drop("d", "k", "s")
+
+
 def remove_repeats(documents: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, k, n_bytes, n_removed, n_spans, kept (binary) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
     rows = keyed(documents)
-    spans = store(repeat_spans(rows, length, gram, hot), "spans").groupBy("d", "k").agg(F.collect_list(F.struct("low", "high")).alias("s"))
-    joined = rows.join(spans, ["d", "k"], "left").select("doc_id", "k", "raw", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+    joined = with_spans(rows, rows, length, gram, hot).select("doc_id", "raw", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 out = []
-                for doc_id, k, raw, low, high in zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in batch.columns), strict=True):
-                    kept, done, removed, n = [], 0, 0, 0
-                    for a, b in sorted(zip(low or (), high or (), strict=True)):
-                        if a > done or not n:
-                            n += 1
-                            kept.append(raw[done:a])
-                        if b > done:
-                            removed += b - max(a, done)
-                            done = b
-                    kept.append(raw[done:])
-                    out.append((doc_id, k, len(raw), removed, n, b"".join(kept)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:5]] + [pa.array([o[5] for o in out], pa.binary())], names=["doc_id", "k", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, k long, n_bytes long, n_removed long, n_spans long, kept binary")
+                for doc_id, raw, low, high in zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in batch.columns), strict=True):
+                    spans = merged(zip(low or (), high or (), strict=True))
+                    out.append((doc_id, len(raw), sum(b - a for a, b in spans), len(spans), without(raw, spans)))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def strip_repeats(documents: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The documents with repeated stretches cut out of ``text`` and ``n_chars`` counted anew; all rows stay. A
+    character of which only some bytes are cut goes whole. Other columns are as they were."""
+    names, schema = documents.columns, documents.schema
+    text, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    named = documents.withColumns({"d": F.coalesce(doc_id, F.lit(-(1 << 63))), "k": F.xxhash64(doc_id, raw, F.octet_length(raw))})
+    joined = with_spans(named, keyed(documents), length, gram, hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            low, high = cols.pop(-2).to_pylist(), cols.pop(-1).to_pylist()
+            texts = [t if not a else without(t.encode(), merged(zip(a, b, strict=True))).decode("utf-8", "ignore") for t, a, b in zip(cols[text].to_pylist(), low, high, strict=True)]
+            if count is not None:
+                kind = cols[count].type
+                cols[count] = pa.array([n if not a else len(t) for n, t, a in zip(cols[count].to_pylist(), texts, low, strict=True)], kind)
+            cols[text] = pa.array(texts, cols[text].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.select(*names, "low", "high").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
