@@ -14,6 +14,7 @@ MODULES = {
     "op6_simhash": "simhash",
     "op7_tree_bpe": "bpe",
     "op8_bit_packing": "packing",
+    "op9_transcripts": "transcripts",
     "op10_toxicity": "toxicity",
 }
 
