@@ -36,17 +36,16 @@ MAGIC = b"FWBITS01"
 BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Pieces of text in each of a worker's two memo generations.
-MEMO_PIECES = 300_000
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space other than blank and newline right before one of them: no safe cut.
-_UNSAFE = re.compile(r"[^\S \n][ \n]")
+MEMO_PIECES = 500_000
+#: White space right before a blank or newline: a cut between the two would not be safe.
+_UNSAFE = re.compile(r"\s[ \n]")
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memo of blank-separated pieces.
+    """The tokenizers library behind a memo of pieces, which are cut before each blank and newline.
 
     The pre-tokenizer always cuts between a non-space and a blank or newline, so a text's encoding is that of
-    its pieces one after another; a text where a cut might not be safe is encoded whole."""
+    its pieces one after another. Texts with white space before a blank or newline are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,7 +53,12 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        #: Bytes that each id stands for; in the byte alphabet a character is a byte.
+        self.widths = np.zeros(self.size, np.int64)
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ",."}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -62,23 +66,56 @@ class LibraryEncoder:
         """Ids of each text as unsigned 32-bit integers."""
         if len(self.memo) > MEMO_PIECES:
             self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        pieces = [[t] if _UNSAFE.search(t) else _PIECE.findall(t) for t in texts]
-        new = []
-        for p in {p for ps in pieces for p in ps}:
-            if p not in memo:
-                if p in older:
-                    memo[p] = older[p]
-                else:
-                    new.append(p)
-        codes = {p: array("I", c.ids).tobytes() for p, c in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        memo.update(codes)
-        out = [b"".join([memo[p] for p in ps]) for ps in pieces]
-        for p in codes:
-            if len(p) > 64:
-                del memo[p]
+        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        first, keys, ends = [], [], []
+        for t in texts if not whole else ["" if _UNSAFE.search(t) else t for t in texts]:
+            cut = t.replace("\n", " \n").split(" ")  # a newline's piece has the newline, a blank's has not the blank
+            first.append(cut[0])
+            keys += cut[1:]
+            ends.append(len(keys))
+        codes = list(map(self.memo.get, keys))
+        missed = [i for i, c in enumerate(codes) if c is None]
+        new = {keys[i] for i in missed}
+        if self.older:
+            known = [k for k in new if k in self.older]
+            self.memo.update((k, self.older[k]) for k in known)
+            new.difference_update(known)
+        # a letter and the comma or full stop at the piece's end are always two pre-tokens
+        ended = [k for k in new if k[-1:] in self.marks and k[-2:-1].isalpha()]
+        new.difference_update(ended)
+        self._learn(list(new.union(b for b in {k[:-1] for k in ended} if b not in self.memo)))
+        self.memo.update((k, self.memo[k[:-1]] + self.marks[k[-1]]) for k in ended)
+        new.update(ended)
+        for i in missed:
+            codes[i] = self.memo[keys[i]]
+        heads = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
+        out = [array("I", h.ids).tobytes() + b"".join(codes[a:b]) for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
+        for i, c in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = array("I", c.ids).tobytes()
+        for k in new:
+            if len(k) > 64:
+                del self.memo[k]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces into the memo. Those that end with no white space may stand side by side in one text,
+        which costs the library less; their ids are told apart by the bytes they stand for."""
+        pieces = [k if k[:1] == "\n" else " " + k for k in new]
+        apart = [i for i, p in enumerate(pieces) if p[-1].isspace() or len(p) > 64]
+        for i, c in zip(apart, self.tokenizer.encode_batch_fast([pieces[i] for i in apart], add_special_tokens=False), strict=True):
+            self.memo[new[i]] = array("I", c.ids).tobytes()
+        side = [i for i, p in enumerate(pieces) if not p[-1].isspace() and len(p) <= 64]
+        if side:
+            text = [pieces[i] for i in side]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in text])
+            done = np.cumsum(self.widths[ids])
+            at = np.searchsorted(done, ends) + 1
+            if not (done[at - 1] == ends).all():
+                raise ValueError("a token spans two pieces")
+            raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], at])).tolist()
+            self.memo.update(zip([new[i] for i in side], [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
