@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, store, table
@@ -39,7 +39,7 @@ HOT = 512
 #: Windows handled at once in one document; bounds memory for long texts.
 STRIDE = 1 << 22
 #: Segment bytes in one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -115,17 +115,26 @@ class SuffixArray:
         word = np.zeros(n, np.uint64)
         for k in range(8):
             word = (word << np.uint64(8)) | np.where(valid > k, padded[k : n + k], 0).astype(np.uint64)
+        self.word = word
         self.ranks, width = [(8, self._rank(word))], 8
-        while width < longest:
-            rank = self.ranks[-1][1]
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - width] = np.where(valid[: n - width] > width, rank[width:] + 1, 0)
-            width *= 2
-            self.ranks.append((width, self._rank(rank.astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64))))
+        while 3 * width < longest:
+            self.ranks.append((3 * width, self._rank(self._triple(np.arange(n)))))
+            width *= 3
         starts = np.flatnonzero(self.left_over >= length)
-        self.order = starts[np.argsort(self.ranks[-1][1][starts], kind="stable")]
+        self.order = starts[np.argsort(self._triple(starts))]  # the last step is needed for these alone
         self.common = self._common(self.order[:-1], self.order[1:])
 
+    def _triple(self, places: np.ndarray) -> np.ndarray:
+        """Sort keys for thrice the widest ranked prefix: three ranks of 21 bits, 0 where the segment has ended."""
+        width, rank = self.ranks[-1]
+        if len(self.text) >= 1 << 21:
+            raise ValueError("too much text for one array")
+        key = rank[places].astype(np.uint64)
+        for k in (width, 2 * width):
+            ahead = np.where(self.left_over[places] > k, rank[np.minimum(places + k, len(rank) - 1)] + 1, 0)
+            key = (key << np.uint64(21)) | ahead.astype(np.uint64)
+        return key
+
     @staticmethod
     def _rank(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
@@ -135,16 +144,21 @@ class SuffixArray:
         return rank
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b."""
-        most, n = np.minimum(self.left_over[a], self.left_over[b]), len(self.text)
-        found = np.zeros(len(a), np.int64)
+        """Length of the common prefix of suffixes a and b, where it reaches ``length``; else something less."""
+        every = np.zeros(len(a), np.int64)
+        alive, last = np.arange(len(a)), len(self.text) - 1
+        found, most = every.copy(), np.minimum(self.left_over[a], self.left_over[b])
         for width, rank in reversed(self.ranks):
-            x, y = np.minimum(a + found, n - 1), np.minimum(b + found, n - 1)
-            found += np.where((found < most) & (rank[x] == rank[y]), width, 0)
-        for _ in range(7):
-            x, y = np.minimum(a + found, n - 1), np.minimum(b + found, n - 1)
-            found += (found < most) & (self.text[x] == self.text[y])
-        return np.minimum(found, most)
+            for _ in range(2 if width != self.ranks[-1][0] else 3):
+                x, y = np.minimum(a + found, last), np.minimum(b + found, last)
+                found = found + np.where((found < most) & (rank[x] == rank[y]), width, 0)
+            hope = found + width > self.length  # what is left agrees on less than ``width`` more
+            a, b, alive, found, most = a[hope], b[hope], alive[hope], found[hope], most[hope]
+        differ = self.word[np.minimum(a + found, last)] ^ self.word[np.minimum(b + found, last)]
+        for k in range(1, 8):
+            found = found + ((found < most) & (differ >> np.uint64(64 - 8 * k) == 0))
+        every[alive] = np.minimum(found, most)
+        return every
 
     def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
         """(length, low, high): suffixes order[low] to order[high] are all occurrences of a maximal repeat."""
@@ -207,6 +221,19 @@ def _long_list(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.int64())
 
 
+def anchor_counts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, n): segments of each anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                found = [segments_of(raw, length, gram)[2] for raw in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
+                anchor, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    return rows.select("raw").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
 def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Every segment: its document's name, place, anchor and content hash."""
 
@@ -230,9 +257,9 @@ def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """From documents with their lists of segments: payloads of the distinct ones (kind 0), and the
-    fingerprints of all strings of hot ones (kind 1)."""
-    names = ["kind", "anchor", "same", "places", "payload", "d", "k", "start"]
+    """From documents with lists of the segments that they stand for: payloads (kind 0), and for hot anchors
+    the fingerprints of all strings with their places in the segment (kind 1)."""
+    names = ["kind", "anchor", "same", "places", "payload", "f", "g", "at"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,21 +269,21 @@ def cut_out(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for i in range(batch.num_rows):
-                raw, d, k, starts, counts, anchor, same, places = (c[i].as_py() for c in batch.columns)
-                for a, m, g, s, n in zip(starts, counts, anchor, same, places, strict=True):
-                    if n:
+                raw, starts, counts, anchor, same, places, hot = (c[i].as_py() for c in batch.columns)
+                for a, m, g, s, n, many in zip(starts, counts, anchor, same, places, hot, strict=True):
+                    if not many:
                         rows.append((0, g, s, n, raw[a : a + m + length - 1], None, None, None))
                     else:
-                        for p in range(a, a + m):
-                            f = xxhash.xxh3_128_digest(raw[p : p + length])
-                            rows.append((1, int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True), 0, None, d, k, p))
+                        for p in range(m):
+                            f = xxhash.xxh3_128_digest(raw[a + p : a + p + length])
+                            rows.append((1, g, s, n, None, int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True), p))
                     if len(rows) >= 20_000:
                         yield flush(rows)
                         rows = []
             if rows:
                 yield flush(rows)
 
-    return joined.mapInArrow(run, "kind int, anchor long, same long, places long, payload binary, d long, k long, start int")
+    return joined.mapInArrow(run, "kind int, anchor long, same long, places long, payload binary, f long, g long, at int")
 
 
 def repeats_of(segments: DataFrame, length: int) -> DataFrame:
@@ -286,23 +313,24 @@ def repeats_of(segments: DataFrame, length: int) -> DataFrame:
 
 def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d, k, low, high): stretches of keyed() rows covered by strings that start elsewhere too; they may overlap."""
-    found = anchors(rows, length, gram)
-    twice = store(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors-twice")
-    shared = store(found.join(twice, "anchor"), "anchors-shared")
+    twice = store(anchor_counts(rows, length, gram).filter("n > 1").select("anchor"), "anchors-twice")
+    shared = store(anchors(rows, length, gram).join(twice, "anchor"), "anchors-shared")
     distinct = shared.groupBy("anchor", "same").agg(F.count("*").alias("places"), F.min(F.struct("d", "k", "start", "n_starts")).alias("at"))
     distinct = store(distinct.select("anchor", "same", "places", "at.*"), "segments-distinct")
     many = store(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor"), "anchors-hot")
-    cold = distinct.join(many, "anchor", "left_anti").select("d", "k", "start", "n_starts", "anchor", "same", "places")
-    warm = shared.join(many, "anchor", "left_semi").select("d", "k", "start", "n_starts", "anchor", "same", F.lit(0).cast("long").alias("places"))
-    lists = cold.unionByName(warm).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n_starts", "anchor", "same", "places")).alias("s"))
-    joined = rows.select("d", "k", "raw").join(lists, ["d", "k"]).select("raw", "d", "k", "s.start", "s.n_starts", "s.anchor", "s.same", "s.places")
+    cold, warm = (distinct.join(many, "anchor", how).withColumn("hot", F.lit(how == "left_semi")) for how in ("left_anti", "left_semi"))
+    lists = cold.unionByName(warm).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n_starts", "anchor", "same", "places", "hot")).alias("s"))
+    joined = rows.select("d", "k", "raw").join(lists, ["d", "k"]).select("raw", "s.start", "s.n_starts", "s.anchor", "s.same", "s.places", "s.hot")
     cut = store(cut_out(joined, length), "segments-cut")
-    covered = store(repeats_of(cut.filter("kind = 0"), length), "segments-covered")
-    spans = shared.join(covered, ["anchor", "same"]).select("d", "k", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    strings = cut.filter("kind = 1").select("anchor", "same", "d", "k", "start")
-    again = store(strings.groupBy("anchor", "same").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "same"), "strings-twice")
-    more = strings.join(again, ["anchor", "same"]).select("d", "k", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
-    return spans.unionByName(more)
+    covered = repeats_of(cut.filter("kind = 0"), length)
+    strings = cut.filter("kind = 1").select("anchor", "same", "f", "g", "at", "places")
+    again = store(strings.groupBy("f", "g").agg(F.sum("places").alias("n")).filter("n > 1").select("f", "g"), "strings-twice")
+    # strings of a segment that follow one another make one stretch
+    run = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "same").orderBy("at"))
+    strung = strings.join(again, ["f", "g"]).select("anchor", "same", "at").distinct().withColumn("run", run)
+    strung = strung.groupBy("anchor", "same", "run").agg(F.min("at").alias("low"), (F.max("at") + length).alias("high")).drop("run")
+    covered = store(covered.unionByName(strung), "segments-covered")
+    return shared.join(covered, ["anchor", "same"]).select("d", "k", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
 def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
