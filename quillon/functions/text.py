@@ -54,7 +54,7 @@ def formula_no(content: Column) -> Column:
 
 def contains_clause(text: Column, clause: Column) -> Column:
     """The clause number stands in the text, not inside a longer number."""
-    return F.concat(F.lit(" "), text, F.lit(" ")).rlike(F.concat(F.lit(r"(?<![\d.])\Q"), clause, F.lit(r"\E(?![\d])")))
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![\d.])\Q"), clause, F.lit(r"\E(?!\d)")))
 
 
 def iso_date_cell(cell: Column) -> Column:
