@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHILD_MIN, CHILD_MAX, PARENT_MAX = 200, 500, 1600
 #: Where long text is cut, best first.
@@ -185,16 +187,16 @@ def parent_child(blocks: list[Block], count=len) -> Iterator[tuple[Block, str]]:
 
 def chunk_documents(blocks: DataFrame, how: str = "parent_child") -> DataFrame:
     """Chunks of blocks (doc_id, idx, text, section, page, block_type) by document, as CHUNK_SCHEMA."""
-    import pandas as pd
+    schema = to_arrow_schema(blocks.sparkSession.createDataFrame([], CHUNK_SCHEMA).schema)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").astype(object).where(lambda x: x.notna(), None)
-        rows = [Block(t or "", s, None if p is None else int(p), k) for t, s, p, k in zip(pdf.text, pdf.section, pdf.page, pdf.block_type, strict=True)]
+    def fold(table: pa.Table) -> pa.Table:
+        t = table.sort_by("idx").to_pydict()
+        rows = [Block(text or "", s, p, k) for text, s, p, k in zip(t["text"], t["section"], t["page"], t["block_type"], strict=True)]
         pairs = parent_child(rows) if how == "parent_child" else ((c, c.text) for c in merge_tiny(structure_chunks(rows)))
-        out = [(int(pdf.doc_id.iloc[0]), i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p)) for i, (c, p) in enumerate(pairs)]
-        return pd.DataFrame(out, columns=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")]).astype({"page": "Int32"})
+        out = [(t["doc_id"][0], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p)) for i, (c, p) in enumerate(pairs)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return blocks.groupBy("doc_id").applyInPandas(fold, CHUNK_SCHEMA)
+    return blocks.groupBy("doc_id").applyInArrow(fold, CHUNK_SCHEMA)
 
 
 def chunk_store_rows(chunks: DataFrame) -> DataFrame:
