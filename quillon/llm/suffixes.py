@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, store, table
+from .common import SLICE_ROWS, map_rows, store, table
 
 MIN_BYTES, GRAM = 200, 40
 HOT = 512
@@ -311,6 +311,12 @@ def repeats_of(segments: DataFrame, length: int) -> DataFrame:
     return segments.select("anchor", "same", "places", "payload").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, same long, low int, high int")
 
 
+def stretches(n: int, lone: list[int], length: int) -> list[tuple[int, int]]:
+    """What strings of ``length`` at places 0 to n - 1, less the lone ones, cover; strings side by side in one stretch."""
+    edges = [-1, *sorted(lone), n]
+    return [(a + 1, b - 1 + length) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+
+
 def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d, k, low, high): stretches of keyed() rows covered by strings that start elsewhere too; they may overlap."""
     twice = store(anchor_counts(rows, length, gram).filter("n > 1").select("anchor"), "anchors-twice")
@@ -323,12 +329,10 @@ def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot
     joined = rows.select("d", "k", "raw").join(lists, ["d", "k"]).select("raw", "s.start", "s.n_starts", "s.anchor", "s.same", "s.places", "s.hot")
     cut = store(cut_out(joined, length), "segments-cut")
     covered = repeats_of(cut.filter("kind = 0"), length)
-    strings = cut.filter("kind = 1").select("anchor", "same", "f", "g", "at", "places")
-    again = store(strings.groupBy("f", "g").agg(F.sum("places").alias("n")).filter("n > 1").select("f", "g"), "strings-twice")
-    # strings of a segment that follow one another make one stretch
-    run = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "same").orderBy("at"))
-    strung = strings.join(again, ["f", "g"]).select("anchor", "same", "at").distinct().withColumn("run", run)
-    strung = strung.groupBy("anchor", "same", "run").agg(F.min("at").alias("low"), (F.max("at") + length).alias("high")).drop("run")
+    # of a hot anchor's strings, those found once are told by their sum alone; all others are covered
+    strings = cut.filter("kind = 1").groupBy("f", "g").agg(F.sum("places").alias("n"), F.min(F.struct("anchor", "same", "at")).alias("s"))
+    lone = strings.filter("n = 1").groupBy("s.anchor", "s.same").agg(F.collect_list("s.at").alias("lone"))
+    strung = map_rows(warm.select("anchor", "same", "n_starts").join(lone, ["anchor", "same"], "left"), lambda part: [(a, s, x, y) for a, s, n, u in part for x, y in stretches(n, u or [], length)], "anchor long, same long, low int, high int")
     covered = store(covered.unionByName(strung), "segments-covered")
     return shared.join(covered, ["anchor", "same"]).select("d", "k", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
