@@ -7,7 +7,7 @@ large a share of its characters is rejected.
   SHOUT_SHARE of them end in a doubled exclamation or question mark, or the line is short
   (under FRAGMENT_WORDS words) and has no end mark;
 * navigation: at least NAV_MARKS separators, making up NAV_SHARE of the line's words;
-* boilerplate: a phrase of the lists below.
+* boilerplate: a phrase of the lists below, or words that mostly repeat the word before them.
 
 Defined cases: a null text is the empty text; lines without a word are neither judged nor counted; a
 document without words is not kept; repeated rows are judged one by one.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,8 @@ BOILERPLATE = re.compile(
     re.IGNORECASE,
 )
 SYMBOL_SHARE, SHOUT_SHARE, FRAGMENT_WORDS, NAV_MARKS, NAV_SHARE = 0.3, 0.3, 4, 3, 0.25
-MAX_LOST_SHARE = 0.5
+STUTTER_WORDS, STUTTER_SHARE = 8, 0.4
+MAX_LOST_SHARE = 0.6
 #: Base rules of the contract.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -49,6 +51,8 @@ def line_verdict(line: str, words: list[str]) -> str | None:
     n = len(words)
     if len(line) < 400 and BOILERPLATE.search(line):
         return "boilerplate"
+    if n >= STUTTER_WORDS and sum(map(eq, words, words[1:])) >= STUTTER_SHARE * n:
+        return "boilerplate"
     if n >= 2 * NAV_MARKS and len(NAV_MARK.findall(line)) >= max(NAV_MARKS, NAV_SHARE * n):
         return "navigation"
     if any(c in line for c in "#*$%&<>") and sum(1 for w in words if _SYMBOL.search(w)) >= max(2, SYMBOL_SHARE * n):
