@@ -17,6 +17,7 @@ equal ids follow in order of their text; an empty table writes no shard.
 from __future__ import annotations
 
 import io
+import os
 import re
 import zlib
 from array import array
@@ -36,7 +37,9 @@ MAGIC = b"FWBITS01"
 BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Pieces of text in each of a worker's two memo generations.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
+#: Longer pieces are not kept: they seldom come again.
+MEMO_CHARS = 24
 #: White space right before a blank or newline: a cut between the two would not be safe.
 _UNSAFE = re.compile(r"\s[ \n]")
 
@@ -48,6 +51,7 @@ class LibraryEncoder:
     its pieces one after another. Texts with white space before a blank or newline are encoded whole."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,7 +89,7 @@ class LibraryEncoder:
         new.difference_update(ended)
         self._learn(list(new.union(b for b in {k[:-1] for k in ended} if b not in self.memo)))
         self.memo.update((k, self.memo[k[:-1]] + self.marks[k[-1]]) for k in ended)
-        new.update(ended)
+        new.update(ended, (k[:-1] for k in ended if len(k) > MEMO_CHARS + 1))
         for i in missed:
             codes[i] = self.memo[keys[i]]
         heads = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
@@ -93,7 +97,7 @@ class LibraryEncoder:
         for i, c in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = array("I", c.ids).tobytes()
         for k in new:
-            if len(k) > 64:
+            if len(k) > MEMO_CHARS:
                 del self.memo[k]
         return out
 
