@@ -22,13 +22,15 @@ def strip(text: Column) -> Column:
 
 def analyze(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a run of Han characters gives its overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{HAN}+|(?:(?!{HAN})[\p{{L}}\p{{N}}])+"), F.lit(0))
+    low = F.lower(F.coalesce(text, F.lit("")))
 
     def pairs(run: Column) -> Column:
         pair = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^{HAN}"), pair).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, pairs))
+    mixed = F.regexp_extract_all(low, F.lit(rf"{HAN}+|(?:(?!{HAN})[\p{{L}}\p{{N}}])+"), F.lit(0))
+    plain = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))  # most texts have no Han
+    return F.when(low.rlike(HAN), F.flatten(F.transform(mixed, pairs))).otherwise(plain)
 
 
 def content_hash(text: Column) -> Column:

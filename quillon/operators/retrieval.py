@@ -42,7 +42,9 @@ def top_k(scored: DataFrame, by: list[str], k: int, id_col: str = "chunk_id") ->
 def postings(chunks: DataFrame) -> DataFrame:
     """kb, chunk_id, term, tf, dl."""
     terms = chunks.select("kb", "chunk_id", analyze(F.col("content")).alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select("kb", "chunk_id", "dl", F.explode("terms").alias("term")).groupBy("kb", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # an outer explode, as Spark would otherwise add a filter that makes the terms a second time
+    one = terms.select("kb", "chunk_id", "dl", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    return one.groupBy("kb", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(chunks: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ COS = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBL
 
 @query("r1_tokens", rf"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term")
 def r1_tokens(spark, sf_dir):
-    terms = read(spark, sf_dir, "documents").select("doc_id", F.explode(analyze(F.col("text"))).alias("term"))
+    terms = read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(analyze(F.col("text"))).alias("term")).filter("term IS NOT NULL")
     return terms.groupBy("term", "doc_id").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
 
 
