@@ -20,6 +20,17 @@ _BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _FALLBACK: dict[str, str] = {}
 
 
+#: What a batch between Spark and Python may hold. Spark's own limits allow 64 MB, of which several copies may be in
+#: memory at once for each core.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits this session's Arrow batches, as rows here are whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the shared place the cluster names in ``spark.checkpoint.dir``.
 
@@ -49,6 +60,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: its lineage ends there, and lost executors cost only a reread."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,6 +69,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def map_rows(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
     """``fn`` turns a slice of at most SLICE_ROWS input tuples into output tuples of ``schema``."""
     spark = df.sparkSession
+    bound_batches(spark)
     out = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,4 +107,5 @@ def doc_fold(doc_id, folds: int = 5):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
