@@ -190,3 +190,58 @@ def e4_recall(spark, sf_dir):
     top = top.select("qid", "rank", "snippet", "section", F.lit("").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("clause_no"))
     gold = asked.select("qid", F.lit("general").alias("intent"), "kb", F.array("question").alias("expect_keywords"), F.lit(None).cast("array<string>").alias("expect_clauses"))
     return E.summary(E.scored_questions(gold, top)).filter("intent IS NULL AND kb IS NULL").select("n", "recall5", "recall10").limit(1)
+
+
+@query("s14_json_columns", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def s14_json_columns(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("f3_profile_and_hash", "SELECT item_id, substr(sha256(text), 1, 32) AS fingerprint FROM benchmark")
+def f3_profile_and_hash(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 32).alias("fingerprint"))
+
+
+@query("f14_head_and_tail", "SELECT doc_id, sha256(CASE WHEN length(text) <= 4000 THEN text ELSE text[1:2400] || chr(10) || '…' || chr(10) || text[-1600:] END) AS cut FROM documents")
+def f14_head_and_tail(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.head_and_tail(F.col("text")), 256).alias("cut"))
+
+
+@query("c25_section_prefix", "SELECT doc_id, sha256('## ' || source || chr(10) || text) AS content FROM documents")
+def c25_section_prefix(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(X.section_prefix(F.col("source")), "text"), 256).alias("content"))
+
+
+@query("m1_embed_missing", "SELECT count(*) AS n_chunks, count(DISTINCT sha256(" + SQUASH + ")) AS n_vectors FROM documents")
+def m1_embed_missing(spark, sf_dir):
+    chunks = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), X.content_hash(F.col("text")).alias("content_hash"))
+    empty = spark.createDataFrame([], "content_hash string, profile string, vector array<double>")
+    full, cache = M.embed_missing(chunks, empty, X.profile_fingerprint(model="hash", dim=64), X.hash_embedding)
+    return full.agg(F.count("*").alias("n_chunks")).join(F.broadcast(cache.agg(F.count("*").alias("n_vectors"))))
+
+
+@query("r17_whole_document", f"""WITH {RQ.BM25}, o AS (SELECT qid, chunk_id, max(score) AS score FROM bm GROUP BY qid, chunk_id),
+t AS (SELECT qid, arg_max(source, (score, -chunk_id)) AS source FROM o JOIN documents d ON d.doc_id = o.chunk_id GROUP BY qid)
+SELECT qid, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY d.doc_id) AS rank FROM t JOIN documents d USING (source) WHERE length(text) >= 40 QUALIFY rank <= 60""")
+def r17_whole_document(spark, sf_dir):
+    c = RQ.chunks(spark, sf_dir).drop("doc_id").withColumnRenamed("section", "doc_id")  # a source as the document, its rows as chunks
+    best = R.bm25(RQ.questions(spark, sf_dir), c).groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
+    top = R.top_k(best, ["qid"], 1).join(c.select("chunk_id", "doc_id"), "chunk_id")
+    return R.whole_document(top, c).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("k1_chunk_rows")
+def k1_chunk_rows(spark, sf_dir):
+    return C.chunk_store_rows(C.chunk_documents(blocks(spark, sf_dir))).select("doc_id", "chunk_index", "parent_index", "block_type")
+
+
+@query("c12_heading_levels", "SELECT 0 AS level, count(*) AS n FROM (" + LINES + ")")
+def c12_heading_levels(spark, sf_dir):
+    return S.lines_of(blocks(spark, sf_dir)).groupBy(S.heading_level(F.col("line")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("r21_contract")
+def r21_contract(spark, sf_dir):
+    best = R.bm25(RQ.questions(spark, sf_dir), RQ.chunks(spark, sf_dir)).groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
+    hydrated = R.hydrate(R.top_k(best, ["qid"], 5).drop("rank"), RQ.chunks(spark, sf_dir))
+    return R.contract(hydrated).select("qid", "rank", F.to_json("result").alias("result"))
