@@ -36,8 +36,8 @@ ROUNDS = 2
 SMOOTH = 0.05
 #: Words that a partial count may hold.
 PART_WORDS = 400_000
-#: Longest word whose segmentations are summed as plain probabilities in training.
-LINEAR_CHARS = 30
+#: Least probability of a word (e to the -600) whose segmentations are summed as plain probabilities in training.
+SAFE = math.exp(-600)
 
 
 def default_vocabulary() -> str:
@@ -111,14 +111,15 @@ class Lattice:
         return total(into[n]) if n else 0.0
 
     def expected(self, word: str, count: float, into: dict[str, float]) -> None:
-        """Adds ``count`` times each piece's expected uses in the word. Short words cannot underflow and are
-        summed as probabilities, longer ones as logs."""
+        """Adds ``count`` times each piece's expected uses in the word. Words are summed as probabilities, those of
+        less than SAFE, which may underflow whatever their length, as logs."""
         arcs, n = self.arcs(word), len(word)
-        if n <= LINEAR_CHARS:
-            exp, forward, backward = math.exp, [1.0] + [0.0] * n, [0.0] * n + [1.0]
-            weights = [exp(a[2]) for a in arcs]
-            for (i, j, _, _), w in zip(arcs, weights, strict=True):
-                forward[j] += forward[i] * w
+        exp, forward = math.exp, [1.0] + [0.0] * n
+        weights = [exp(a[2]) for a in arcs]
+        for (i, j, _, _), w in zip(arcs, weights, strict=True):
+            forward[j] += forward[i] * w
+        if forward[n] >= SAFE:
+            backward = [0.0] * n + [1.0]
             for (i, j, _, _), w in zip(reversed(arcs), reversed(weights), strict=True):
                 backward[i] += w * backward[j]
             scale = count / forward[n]

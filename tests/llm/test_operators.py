@@ -159,6 +159,16 @@ def test_lattice_base_scores(odd, real, head):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("char", ["漢", "😀"])
+def test_lattice_trains_on_improbable_short_words(char):
+    names = [f"<0x{b:02X}>" for b in char.encode()]
+    lat = lattice.Lattice({"▁": -1.0} | dict.fromkeys(names, -30.0 / len(names)))
+    for n in range(20, 30):
+        uses = {}
+        lat.expected("▁" + char * n, 3.0, uses)
+        assert uses == pytest.approx({"▁": 3.0} | dict.fromkeys(names, 3.0 * n))
+
+
 def test_lattice_without_rows(empty):
     from pyspark.sql import functions as F
 
