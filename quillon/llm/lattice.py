@@ -238,9 +238,8 @@ def score_documents(documents: DataFrame, training, vocabulary: str, head: int =
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     tokens, kinds = n_words + n_docs, n_kinds + (n_docs > 0)
     scores = starting_scores(vocabulary)
-    if n_docs:  # the first round sees the head alone, where nearly all uses are; the others see every word
-        scores = reestimate(head_of(counts, head).filter("c > 0"), scores, n_docs, 1)
-        scores = reestimate(counts.filter("c > 0"), scores, n_docs, rounds - 1)
+    if n_docs:
+        scores = reestimate(counts.filter("c > 0"), scores, n_docs, rounds)
     log_all = math.log10(tokens + 0.5 * (kinds + 1))
     words = store(score_words(counts, scores).withColumn("base", F.log10(F.col("c") + 0.5) - F.lit(log_all)), "lattice-words")
     common = {r.word.encode("utf-8", "surrogatepass"): (r.base, r.p, r.c > 0) for r in head_of(words, head).collect()}

@@ -159,6 +159,24 @@ def test_lattice_base_scores(odd, real, head):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lattice_training_sees_every_word(odd):
+    from pyspark.sql import functions as F
+
+    vocabulary, training = lattice.default_vocabulary(), F.lit(True)
+    got = sorted(((r.doc_id, r.score) for r in lattice.score_documents(odd[0], training, vocabulary, 3).collect()), key=str)
+    uses = Counter(w.decode() for _, t in odd[1] for w in byte_words(t))
+    scores = lattice.starting_scores(vocabulary)
+    for _ in range(lattice.ROUNDS):
+        into, lat = {}, lattice.Lattice(scores)
+        for w, c in uses.items():
+            lat.expected(lattice.MARK + w, c, into)
+        scores = lattice.normalised(into, scores, len(odd[1]))
+    lat = lattice.Lattice(scores)
+    want = [(k, (sum(lat.log_probability(lattice.MARK + w.decode()) for w in byte_words(t)) + scores[lattice.END]) / math.log(10)) for k, t in odd[1]]
+    for (k, s), (k2, s2) in zip(got, sorted(want, key=str), strict=True):
+        assert k == k2 and s == pytest.approx(s2, rel=1e-9)
+
+
 @pytest.mark.parametrize("char", ["漢", "😀"])
 def test_lattice_trains_on_improbable_short_words(char):
     names = [f"<0x{b:02X}>" for b in char.encode()]
