@@ -118,38 +118,38 @@ def r12_follow_ups(spark, sf_dir):
     return U.rewritten(users).select("conv_id", "turn", "search_text")
 
 
-def _brand_tables(spark, sf_dir):
-    """The part table as one spreadsheet a brand."""
-    p = read(spark, sf_dir, "part").withColumn("row", F.array("p_name", "p_type", F.col("p_size").cast("string")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))), lambda x: x["row"])
-    rows = p.groupBy("p_brand").agg(listed.alias("rows"))
-    return rows.select(
-        F.col("p_brand").alias("table_id"), F.lit(0).alias("row_index"), F.array(F.lit("名称"), F.lit("类型"), F.lit("数量")).alias("columns"), "rows",
-        F.concat(F.lit("parts.xlsx / "), "p_brand").alias("section"), F.lit("parts.xlsx").alias("source"), F.lit(1).alias("doc_id"), F.lit("parts").alias("kb"),
-    )
+def _part_rows(spark, sf_dir):
+    """The part table as the rows of one spreadsheet a brand; a table is never held as one array."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("table_id"), "p_name", "p_type", "p_size")
 
 
 @query("x4_assembled_tables", "SELECT p_brand AS table_id, count(*) AS n_rows, count(DISTINCT p_type) AS n_types FROM part GROUP BY p_brand")
 def x4_assembled_tables(spark, sf_dir):
-    t = T.assemble(_brand_tables(spark, sf_dir))
-    types = T.unique_values(F.col("columns"), F.col("rows"), F.lit("类 型"))
-    return t.select("table_id", F.size("rows").cast("long").alias("n_rows"), F.size(types).cast("long").alias("n_types"))
+    return _part_rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n_rows"), F.count_distinct("p_type").alias("n_types"))
 
 
 @query("x9_table_scores", "SELECT q.p_brand AS brand, t.p_brand AS table_id, CASE WHEN contains(t.p_brand, q.p_brand) THEN 8 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM (SELECT p_brand, unnest([replace(p_name, ' ', ''), replace(p_type, ' ', ''), CAST(p_size AS VARCHAR)]) AS c FROM part) p WHERE p.p_brand = t.p_brand AND length(c) >= 2 AND (contains(c, q.p_brand) OR contains(q.p_brand, c))) THEN 2 ELSE 0 END AS score FROM (SELECT DISTINCT p_brand FROM part) q CROSS JOIN (SELECT DISTINCT p_brand FROM part) t")
 def x9_table_scores(spark, sf_dir):
-    t = T.assemble(_brand_tables(spark, sf_dir))
-    asked = read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")).distinct()  # brands are a fixed list
-    return t.join(F.broadcast(asked)).select("brand", "table_id", T.table_score(F.array(X.squash(F.col("brand")))).alias("score"))
+    rows = _part_rows(spark, sf_dir)
+    heads = rows.select("table_id").distinct().select(
+        "table_id", F.array(F.lit("名称"), F.lit("类型"), F.lit("数量")).alias("columns"), F.array().cast("array<array<string>>").alias("rows"),
+        F.concat(F.lit("parts.xlsx / "), "table_id").alias("section"), F.lit("parts.xlsx").alias("source"),
+    )
+    asked = rows.select(F.col("table_id").alias("brand")).distinct()  # brands are a fixed list
+    cells = rows.select("table_id", F.explode(F.array("p_name", "p_type", F.col("p_size").cast("string"))).alias("c")).distinct().withColumn("c", X.squash(F.col("c"))).filter("length(c) >= 2")
+    word = X.squash(F.col("brand"))
+    hits = cells.join(F.broadcast(asked), (F.length(word) >= 2) & (F.col("c").contains(word) | word.contains(F.col("c")))).groupBy("brand", "table_id").agg(F.lit(2).alias("in_cells"))
+    scored = heads.join(F.broadcast(asked)).select("brand", "table_id", T.table_score(F.array(word)).alias("rest"))
+    return scored.join(hits, ["brand", "table_id"], "left").select("brand", "table_id", (F.col("rest") + F.coalesce("in_cells", F.lit(0))).alias("score"))
 
 
 @query("x11_counts", "SELECT p_partkey AS qid, p_name || ' 数量: ' || CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) = 1 THEN CAST(p_size AS VARCHAR) ELSE CAST(count(*) OVER (PARTITION BY p_brand, p_name) AS VARCHAR) END AS answer FROM part")
 def x11_counts(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    t = T.assemble(_brand_tables(spark, sf_dir)).join(p.select("p_partkey", "p_name", F.col("p_brand").alias("table_id")), "table_id")
-    rows = T.matching_rows(F.col("columns"), F.col("rows"), F.lit("名称"), F.col("p_name"))
-    number = F.when(F.size(rows) == 1, F.element_at(T.lookup(F.col("columns"), F.col("rows"), F.lit("名称"), F.col("p_name"), F.lit("数量")), 1)).otherwise(F.size(rows).cast("string"))
-    return t.select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" 数量: "), number).alias("answer"))
+    rows = _part_rows(spark, sf_dir).withColumn("name", X.squash(F.col("p_name")))
+    found = rows.groupBy("table_id", "name").agg(F.count("*").alias("n"), F.min("p_size").alias("size"))
+    number = F.when(F.col("n") == 1, F.col("size").cast("string")).otherwise(F.col("n").cast("string"))
+    same = F.col("r.table_id").eqNullSafe(F.col("f.table_id")) & F.col("r.name").eqNullSafe(F.col("f.name"))
+    return rows.alias("r").join(found.alias("f"), same).select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" 数量: "), number).alias("answer"))
 
 
 def _cache(spark, sf_dir):

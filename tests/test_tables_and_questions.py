@@ -116,3 +116,11 @@ def test_text_functions(spark):
     assert value(spark, X.first_json_object(F.col("s")), s='x {"a": {"b": 1}} y') == '{"a": {"b": 1}}'
     assert value(spark, X.in_pieces(F.col("s"), 2), s="abcde") == ["ab", "cd", "e"]
     assert len(value(spark, X.hash_embedding(F.col("s")), s="x")) == 64
+
+
+def test_table_queries_hold_no_table_as_an_array(spark, sf):
+    from quillon import plans
+
+    for name in ("x4_assembled_tables", "x9_table_scores", "x11_counts"):
+        plan = plans.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
