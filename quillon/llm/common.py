@@ -34,12 +34,14 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the shared place the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, notebooks) a temporary folder takes its place.
-    The folder goes when the session's JVM ends.
+    Where that setting is absent, a local master (tests, notebooks) gets a temporary folder; on a cluster, whose
+    executors would not see it, this is an error. The folder goes when the session's JVM ends.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _FALLBACK:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="quillon-")
         base = _FALLBACK[app]
@@ -66,6 +68,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which the small side of a join may be broadcast, once they are counted.
+BROADCAST_ROWS = 500_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of narrow rows with a hint to broadcast it if it has few ``rows``."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
     """``fn`` turns a slice of at most SLICE_ROWS input tuples into output tuples of ``schema``."""
     spark = df.sparkSession

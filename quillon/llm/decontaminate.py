@@ -10,7 +10,7 @@ out. Candidate pairs are then verified by counting equal shingles as text.
 
 Items with the same shingles form one class, shown by its smallest id and the list of its members. The
 sketch and the list of candidate documents are broadcast only if their counted rows stay below
-BROADCAST_ROWS, and joined by a shuffle otherwise.
+common.BROADCAST_ROWS, and joined by a shuffle otherwise.
 
 Defined cases: null texts have no words; an item without words is never found; an item of fewer than
 five words is one shingle, found only in a document of just these words; documents with equal id and
@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, store, table
+from .common import lower_ascii, maybe_broadcast, store, table
 
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -54,10 +53,6 @@ def missing_allowed(size: Column) -> Column:
     return size - F.ceil(size * CONTAINED - 1e-9)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def item_classes(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (item_id, item_ids, n_shingles) and their shingles (item_id, shingle, h)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -116,9 +111,10 @@ def found_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns as they are, less those that contain an item."""
-    found = store(verified(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "contaminated")
-    t = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return documents.join(maybe_broadcast(found, found.count()), (t == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    found = store(verified(documents, benchmark).select(F.col("doc_id").alias("i"), F.col("t").alias("h")).distinct(), "contaminated")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
+    clean = rows.join(maybe_broadcast(found, found.count()), (F.col("t") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
+    return clean.select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ is lost.
 
 In a group the fingerprints lie vertically, one bit plane after another, 64 members to a machine word. A
 carry-save counter adds the planes in which members and query differ; it starts so that it overflows
-just when a distance exceeds the radius, and a block is abandoned once all its lanes have overflowed.
+just when a distance exceeds the radius, and each block of 64 lanes is abandoned by itself once all its
+lanes have overflowed.
 A task unites what it finds and emits a star for each set, never all pairs.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; texts of fewer than
@@ -18,7 +19,7 @@ ids get a class whose id is the smallest id in it, null if there is none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -52,30 +53,52 @@ def fingerprint(text: str | None) -> int:
 
 
 def bits_of(values: np.ndarray) -> np.ndarray:
-    """(n, 64) of 0 and 1, lowest bit first."""
-    return np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(n, 64 x words) of 0 and 1, lowest bit first, of (n,) or (n, words)."""
+    return np.unpackbits(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """(64, words): plane k holds bit k of 64 values in each word."""
+    """(bits, blocks): plane k holds bit k of 64 values in each machine word."""
     bits = bits_of(values)
-    bits = np.vstack([bits, np.zeros((-len(bits) % 64, 64), np.uint8)])
+    bits = np.vstack([bits, np.zeros((-len(bits) % 64, bits.shape[1]), np.uint8)])
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within_radius(differ: Iterator[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose set planes number at most ``radius``; lanes set in ``over`` count as beyond it."""
+FULL = ~np.uint64(0)
+
+
+def count_planes(plane: Callable[[int, np.ndarray], np.ndarray], n_planes: int, over: np.ndarray, radius: int, every: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Adds up planes for blocks of 64 lanes by carry-save counters that overflow just when a count passes ``radius``.
+
+    ``plane(k, blocks)`` gives plane k of the named blocks; lanes set in ``over`` count as beyond from the start.
+    Each ``every`` planes the blocks of which all lanes have overflowed are abandoned, each by itself. Returns the
+    blocks that are left, their lanes beyond the radius, and their counters."""
     n_counters = radius.bit_length()
     start = (1 << n_counters) - 1 - radius
-    counters = [np.full_like(over, ~np.uint64(0)) if start >> k & 1 else np.zeros_like(over) for k in range(n_counters)]
-    for plane in differ:
-        carry = plane
-        for k in range(n_counters):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+    blocks = np.flatnonzero(over != FULL)
+    over = over[blocks]
+    counters = [np.full_like(over, FULL if start >> k & 1 else 0) for k in range(n_counters)]
+    for k in range(n_planes):
+        carry = plane(k, blocks)
+        for c in range(n_counters):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
         over |= carry
-        if (over == ~np.uint64(0)).all():
-            break
-    return ~over
+        if k % every == every - 1:
+            live = over != FULL
+            if not live.all():
+                blocks, over, counters = blocks[live], over[live], [c[live] for c in counters]
+                if not len(blocks):
+                    break
+    return blocks, over, counters
+
+
+def near_lanes(blocks: np.ndarray, over: np.ndarray, counters: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, lane, distance) of the lanes within the radius."""
+    row, lane = np.nonzero(lanes(~over[:, None]))
+    value = np.zeros(len(row), np.int64)
+    for k, c in enumerate(counters):
+        value |= (c[row] >> lane.astype(np.uint64) & np.uint64(1)).astype(np.int64) << k
+    return blocks[row], lane, value - ((1 << len(counters)) - 1 - radius)
 
 
 def lanes(words: np.ndarray) -> np.ndarray:
@@ -83,28 +106,29 @@ def lanes(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=-1, bitorder="little")
 
 
-def close_pairs(values: np.ndarray, radius: int = RADIUS, queries: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of all pairs within the radius, in one group."""
+def close_pairs(values: np.ndarray, radius: int = RADIUS, queries: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i < j and distances of all pairs within the radius, in one group."""
     planes, n = planes_of(values), len(values)
     words, place = planes.shape[1], np.arange(planes.shape[1] * 64)
-    found_i, found_j = [], []
+    found = []
     for at in range(0, n, queries):
         asked = np.arange(at, min(n, at + queries))
         first = at // 64  # only members at or after the queries
+        wide = words - first
         beyond = (place[None, first * 64 :] <= asked[:, None]) | (place[None, first * 64 :] >= n)
-        over = np.ascontiguousarray(np.packbits(beyond, axis=1, bitorder="little")).view("<u8")
-        flips = np.where(bits_of(values[asked]).T.astype(bool), ~np.uint64(0), np.uint64(0))
-        near = within_radius((planes[k, None, first:words] ^ flips[k][:, None] for k in range(64)), over, radius)
-        i, j = np.nonzero(lanes(near))
-        found_i.append(asked[i])
-        found_j.append(j + first * 64)
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def small_pairs(values: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """As close_pairs, for many small groups at once; ``group`` ascends."""
-    found_i, found_j = [], []
-    for lag in range(1, SMALL):
+        over = np.ascontiguousarray(np.packbits(beyond, axis=1, bitorder="little")).view("<u8").ravel()
+        flips = np.where(bits_of(values[asked]).T.astype(bool), FULL, np.uint64(0))
+        query, word = np.divmod(np.arange(len(over)), wide)
+        left = count_planes(lambda k, b, f=flips, q=query, w=word, first=first: planes[k, first + w[b]] ^ f[k, q[b]], len(planes), over, radius)
+        block, lane, distance = near_lanes(*left, radius)
+        found.append((asked[query[block]], (first + word[block]) * 64 + lane, distance))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def small_pairs(values: np.ndarray, group: np.ndarray, radius: int = RADIUS, most: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As close_pairs, for many groups of at most ``most`` members at once; ``group`` ascends."""
+    found = [(np.empty(0, np.int64),) * 3]
+    for lag in range(1, most):
         i = np.nonzero(group[lag:] == group[:-lag])[0] if lag < len(group) else np.empty(0, np.int64)
         if not len(i):
             break
@@ -112,10 +136,11 @@ def small_pairs(values: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
             part = i[at : at + (1 << 14)]
             planes = planes_of(values[part] ^ values[part + lag])
             over = np.zeros(planes.shape[1], np.uint64)
-            near = lanes(within_radius(iter(planes), over, radius))[: len(part)].astype(bool)
-            found_i.append(part[near])
-            found_j.append(part[near] + lag)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, np.int64), np.empty(0, np.int64))
+            over[-1:] = FULL << np.uint64(len(part) % 64) if len(part) % 64 else 0
+            block, lane, distance = near_lanes(*count_planes(lambda k, b, p=planes: p[k, b], len(planes), over, radius), radius)
+            place = part[block * 64 + lane]
+            found.append((place, place + lag, distance))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def stars(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +170,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
         unsigned = fp.view(np.uint64)
         place = np.flatnonzero(small)
-        i, j = small_pairs(unsigned[place], group[place])
+        i, j, _ = small_pairs(unsigned[place], group[place])
         parts_i, parts_j = [place[i]], [place[j]]
         for g in np.flatnonzero(sizes > SMALL):
-            i, j = close_pairs(unsigned[bounds[g] : bounds[g] + sizes[g]])
+            i, j, _ = close_pairs(unsigned[bounds[g] : bounds[g] + sizes[g]])
             parts_i.append(i + bounds[g])
             parts_j.append(j + bounds[g])
         a, b = stars(fp, np.concatenate(parts_i), np.concatenate(parts_j))
@@ -214,17 +239,6 @@ def simhash_classes(documents: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "k", "fp", "label", "component_id")
 
 
-def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents, all columns as they are, less all but one row of each near-duplicate class: the row with
-    the least (id, text hash) stays."""
-    classes = store(simhash_classes(documents).select("label", "doc_id", "k"), "simhash-rows")
-    stays = store(classes.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.k").alias("__k")), "simhash-stays")
-    again = classes.groupBy("doc_id", "k").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kept = documents.join(stays, (name == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept  # equal rows are one document
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillon.llm import bpe, components, decontaminate, lattice, linefilter, packing, simhash, suffixes, toxicity, transcripts, warc
+from quillon.llm import bpe, common, components, decontaminate, lattice, linefilter, packing, simhash, suffixes, toxicity, transcripts, warc
 from quillon.llm.common import byte_words, store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -217,7 +217,7 @@ def found_by_hand(docs, items):
 
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_decontamination(spark, odd, real, sf, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     more = [(900, None), (901, ""), (902, "one two"), (903, items[0][1]), (904, " ".join(f"w{i}" for i in range(100, 180)))]
@@ -310,7 +310,6 @@ def test_simhash_classes(odd, real):
                 least[root(i)] = min(k, least.get(root(i), k))
         got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.simhash_classes(df).collect()), key=str)
         assert got == sorted(((k, p, least.get(root(i))) for i, ((k, _), p) in enumerate(zip(rows, prints, strict=True))), key=str)
-        assert simhash.keep_one_of_each(df).count() == len({root(i) for i in range(len(rows))})
 
 
 def test_simhash_empty(empty):
@@ -324,8 +323,10 @@ def test_bit_sliced_links(spark, group_max):
     one = lambda: np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)
     v = np.unique(np.concatenate([base, *(base ^ one() ^ one() for _ in range(12))]))
     rng.shuffle(v)
-    want = {(i, j) for j in range(len(v)) for i in range(j) if int(v[i] ^ v[j]).bit_count() <= 2}
-    assert set(zip(*(x.tolist() for x in simhash.close_pairs(v)), strict=True)) == want
+    far = {(i, j): int(v[i] ^ v[j]).bit_count() for j in range(len(v)) for i in range(j)}
+    want = {p for p, d in far.items() if d <= 2}
+    for radius in (2, 20):
+        assert set(zip(*(x.tolist() for x in simhash.close_pairs(v, radius)), strict=True)) == {(*p, d) for p, d in far.items() if d <= radius}
     edges = simhash.link_edges(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long"), group_max)
     labels = {r.node: r.label for r in components.connected_components(store(edges, "e")).collect()}
     s = v.view(np.int64)
@@ -342,6 +343,16 @@ def test_bit_sliced_links(spark, group_max):
     assert labels == {x: root(x) for x in up if any(root(y) == root(x) for y in up if y != x)}
 
 
+def test_blocks_are_abandoned_one_by_one():
+    v = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
+    v[200] = v[3]
+    asked = []
+    planes = simhash.planes_of(v ^ v[3])
+    left, over, _ = simhash.count_planes(lambda k, b: (asked.append(len(b)), planes[k, b])[1], 64, np.zeros(4, np.uint64), 2)
+    assert left.tolist() == [0, 3] and asked[0] == 4 and asked[-1] == 2
+    assert simhash.lanes(~over).sum() == 2
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.label for r in components.connected_components(chain).collect()} == {0}
