@@ -1,6 +1,7 @@
 """Cleaning of a document table into tokenised training text, stage by stage.
 
-toxicity: documents predicted toxic go. near_duplicates: one document of each SimHash class stays.
+toxicity: documents predicted toxic go. near_duplicates: of documents whose 5-word shingles are alike
+by 0.8 or more, found by SimHash, one of each class stays.
 repeated_strings: strings of 200 bytes that start at several places are cut out of the texts.
 decontamination: documents that contain a benchmark item go. tokens: byte-level BPE ids of what is left.
 Each stage sees all rows and columns that its predecessor kept, written as Parquet and read again.
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, decontaminate, simhash, suffixes, toxicity
+from quillon.llm import bpe, decontaminate, neardup, suffixes, toxicity
 from quillon.llm.common import store, table
 
 
@@ -19,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs)
+    return neardup.keep_one_of_each(docs)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
