@@ -14,12 +14,14 @@ Goal: every string of MIN_BYTES bytes that starts at two or more places of the c
 4. What the repeats cover goes back to all places of each segment, is merged per document and cut out.
 
 An anchor with more than HOT distinct segments (a passage in very many surroundings) would be a group
-without bound. Its strings are counted by a 128-bit fingerprint instead, which is pre-aggregated: an
-exact way, as no string is left out, that needs no group in one place.
+without bound. Its segments are split: strings in which the anchor stands at nearly the same place share
+more bytes than the anchor, and those bytes are a longer anchor of their own. Parts are made equal and
+counted as in 2, those of one longer anchor meet as in 3, and what is still above HOT is split again, at
+last into single strings, of which equal ones are one. Every string is thus solved by a suffix array.
 
 Defined cases: a null text is the empty text; documents shorter than MIN_BYTES lose nothing; rows
-repeated with the same id and text are different places, so both lose all that is long enough; matches
-never span documents.
+repeated with the same id and text are different places, so both lose all that is long enough (their
+text travels once); matches never span documents.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ STRIDE = 1 << 22
 #: Segment bytes in one suffix array.
 ARRAY_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
+PLACE = np.uint64((1 << 24) - 1)
 _POWERS: list[np.ndarray] = []
 
 
@@ -74,18 +77,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def placed(h: np.ndarray) -> np.ndarray:
+    """Hashes as anchors compare: by their upper bits, of equals the last one first; the place is in the lower bits."""
+    return (h & ~PLACE) | (PLACE - np.arange(len(h), dtype=np.uint64))
+
+
 def segments_of(text: bytes, length: int = MIN_BYTES, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, number of starts, anchor hash) of each segment; starts of a segment follow one another."""
     n = len(text) - length + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    raw, mask = np.frombuffer(text, np.uint8), np.uint64((1 << 24) - 1)
+    raw = np.frombuffer(text, np.uint8)
     out = []
     for at in range(0, n, STRIDE):
         part = raw[at : min(len(raw), at + STRIDE + length - 1)]
         h = gram_hashes(part, gram)
-        least = sliding_min((h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64)), length - gram + 1)
-        place = (mask - (least & mask)).astype(np.int64)
+        place = (PLACE - (sliding_min(placed(h), length - gram + 1) & PLACE)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         out.append((first + at, np.diff(np.append(first, len(place))), h[place[first]].view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -257,33 +264,52 @@ def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """From documents with lists of the segments that they stand for: payloads (kind 0), and for hot anchors
-    the fingerprints of all strings with their places in the segment (kind 1)."""
-    names = ["kind", "anchor", "same", "places", "payload", "f", "g", "at"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                raw, starts, counts, anchor, same, places, hot = (c[i].as_py() for c in batch.columns)
-                for a, m, g, s, n, many in zip(starts, counts, anchor, same, places, hot, strict=True):
-                    if not many:
-                        rows.append((0, g, s, n, raw[a : a + m + length - 1], None, None, None))
-                    else:
-                        for p in range(m):
-                            f = xxhash.xxh3_128_digest(raw[a + p : a + p + length])
-                            rows.append((1, g, s, n, None, int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True), p))
-                    if len(rows) >= 20_000:
-                        yield flush(rows)
-                        rows = []
-            if rows:
-                yield flush(rows)
-
-    return joined.mapInArrow(run, "kind int, anchor long, same long, places long, payload binary, f long, g long, at int")
+    """The bytes of segments from documents with lists of the segments that they stand for."""
+
+    def fn(rows: list[tuple]) -> Iterator[tuple]:
+        for raw, starts, counts, anchor, same, places, hot in rows:
+            for a, m, g, s, n, many in zip(starts, counts, anchor, same, places, hot, strict=True):
+                yield g, s, n, many, raw[a : a + m + length - 1]
+
+    return map_rows(joined, fn, "anchor long, same long, places long, hot boolean, payload binary")
+
+
+def split_by_context(segments: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """Parts (anchor, same, places, at, payload, of_anchor, of_same, shift) of segments (anchor, same, places, at, payload).
+
+    A part holds the strings in which the old anchor stands at a place of one cell of ``width`` places; the bytes that
+    all strings of the cell share, whatever the segment, are the part's anchor. So equal strings have equal anchors
+    again. ``at`` is the place of the old anchor in the first string, null if not known yet."""
+    last = length - gram
+
+    def fn(rows: list[tuple]) -> Iterator[tuple]:
+        for anchor, same, places, at, payload in rows:
+            if at is None:
+                at = int(placed(gram_hashes(np.frombuffer(payload[:length], np.uint8), gram)).argmin())
+            i, n = 0, len(payload) - length + 1
+            while i < n:
+                low = (at - i) // width * width
+                high, end = min(low + width - 1, last), min(n, at - low + 1)
+                context, part = payload[at - low : at - high + length], payload[i : end - 1 + length]
+                names = (xxhash.xxh3_64_intdigest(context, low), xxhash.xxh64_intdigest(part))
+                yield *(x - (1 << 64) if x >> 63 else x for x in names), places, at - i, part, anchor, same, i
+                i = end
+
+    return map_rows(segments.select("anchor", "same", "places", "at", "payload"), fn, "anchor long, same long, places long, at int, payload binary, of_anchor long, of_same long, shift int")
+
+
+def repeats_of_hot(segments: DataFrame, widths: list[int], length: int, gram: int, hot: int) -> DataFrame:
+    """As repeats_of, for segments (with ``at``) of anchors that have more than ``hot`` of them."""
+    parts = store(split_by_context(segments, widths[0], length, gram), "segments-parts")
+    distinct = store(parts.groupBy("anchor", "same").agg(F.sum("places").alias("places"), F.first("at").alias("at"), F.first("payload").alias("payload")), "segments-distinct")
+    sizes = store(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("places").alias("m")).filter("m > 1").select("anchor", "n"), "anchors-sizes")
+    large = (F.col("n") > hot) & F.lit(len(widths) > 1)
+    found = repeats_of(distinct.join(sizes.filter(~large), "anchor"), length)
+    if sizes.filter(large).limit(1).count():
+        found = found.unionByName(repeats_of_hot(distinct.join(sizes.filter(large), "anchor"), widths[1:], length, gram, hot))
+    found = store(found, "segments-covered")
+    shift = F.col("shift")
+    return parts.drop("payload").join(found, ["anchor", "same"]).select(F.col("of_anchor").alias("anchor"), F.col("of_same").alias("same"), (F.col("low") + shift).alias("low"), (F.col("high") + shift).alias("high"))
 
 
 def repeats_of(segments: DataFrame, length: int) -> DataFrame:
@@ -311,10 +337,13 @@ def repeats_of(segments: DataFrame, length: int) -> DataFrame:
     return segments.select("anchor", "same", "places", "payload").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, same long, low int, high int")
 
 
-def stretches(n: int, lone: list[int], length: int) -> list[tuple[int, int]]:
-    """What strings of ``length`` at places 0 to n - 1, less the lone ones, cover; strings side by side in one stretch."""
-    edges = [-1, *sorted(lone), n]
-    return [(a + 1, b - 1 + length) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """keyed() rows with each name once."""
+    again = store(rows.groupBy("d", "k").agg(F.count("*").alias("n")).filter("n > 1").select("d", "k"), "names-again")
+    if not again.limit(1).count():
+        return rows.select("d", "k", "raw")
+    twice = rows.join(again, ["d", "k"], "left_semi").groupBy("d", "k").agg(F.first("raw").alias("raw"))
+    return rows.join(again, ["d", "k"], "left_anti").select("d", "k", "raw").unionByName(twice)
 
 
 def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -326,14 +355,14 @@ def repeat_spans(rows: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, hot
     many = store(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor"), "anchors-hot")
     cold, warm = (distinct.join(many, "anchor", how).withColumn("hot", F.lit(how == "left_semi")) for how in ("left_anti", "left_semi"))
     lists = cold.unionByName(warm).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n_starts", "anchor", "same", "places", "hot")).alias("s"))
-    joined = rows.select("d", "k", "raw").join(lists, ["d", "k"]).select("raw", "s.start", "s.n_starts", "s.anchor", "s.same", "s.places", "s.hot")
+    joined = one_of_each(rows).join(lists, ["d", "k"]).select("raw", "s.start", "s.n_starts", "s.anchor", "s.same", "s.places", "s.hot")
     cut = store(cut_out(joined, length), "segments-cut")
-    covered = repeats_of(cut.filter("kind = 0"), length)
-    # of a hot anchor's strings, those found once are told by their sum alone; all others are covered
-    strings = cut.filter("kind = 1").groupBy("f", "g").agg(F.sum("places").alias("n"), F.min(F.struct("anchor", "same", "at")).alias("s"))
-    lone = strings.filter("n = 1").groupBy("s.anchor", "s.same").agg(F.collect_list("s.at").alias("lone"))
-    strung = map_rows(warm.select("anchor", "same", "n_starts").join(lone, ["anchor", "same"], "left"), lambda part: [(a, s, x, y) for a, s, n, u in part for x, y in stretches(n, u or [], length)], "anchor long, same long, low int, high int")
-    covered = store(covered.unionByName(strung), "segments-covered")
+    covered = repeats_of(cut.filter("not hot"), length)
+    if many.limit(1).count():
+        places = length - gram + 1
+        widths = [max(1, round(places ** (2 / 3))), max(1, round(places ** (1 / 3))), 1]
+        covered = covered.unionByName(repeats_of_hot(cut.filter("hot").withColumn("at", F.lit(None).cast("int")), widths, length, gram, hot))
+    covered = store(covered, "segments-covered")
     return shared.join(covered, ["anchor", "same"]).select("d", "k", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
@@ -355,7 +384,7 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def with_spans(rows: DataFrame, keyed_rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     """``rows`` (with d and k) and the lists low, high of their repeated stretches, null if there are none."""
-    spans = store(repeat_spans(keyed_rows, length, gram, hot), "spans").groupBy("d", "k").agg(F.collect_list(F.struct("low", "high")).alias("s"))
+    spans = store(repeat_spans(keyed_rows, length, gram, hot), "spans").groupBy("d", "k").agg(F.collect_set(F.struct("low", "high")).alias("s"))
     return rows.join(spans, ["d", "k"], "left").withColumns({"low": F.col("s.low"), "high": F.col("s.high")}).drop("d", "k", "s")
 
 
@@ -384,13 +413,14 @@ def strip_repeats(documents: DataFrame, length: int = MIN_BYTES, gram: int = GRA
     text, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    named = documents.withColumns({"d": F.coalesce(doc_id, F.lit(-(1 << 63))), "k": F.xxhash64(doc_id, raw, F.octet_length(raw))})
+    # whole rows travel as one column, so no name of theirs can clash
+    named = documents.select(F.struct("*").alias("row"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(doc_id, raw, F.octet_length(raw)).alias("k"))
     joined = with_spans(named, keyed(documents), length, gram, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(batch.columns)
-            low, high = cols.pop(-2).to_pylist(), cols.pop(-1).to_pylist()
+            cols = batch.column(0).flatten()
+            low, high = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             texts = [t if not a else without(t.encode(), merged(zip(a, b, strict=True))).decode("utf-8", "ignore") for t, a, b in zip(cols[text].to_pylist(), low, high, strict=True)]
             if count is not None:
                 kind = cols[count].type
@@ -398,7 +428,7 @@ def strip_repeats(documents: DataFrame, length: int = MIN_BYTES, gram: int = GRA
             cols[text] = pa.array(texts, cols[text].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*names, "low", "high").mapInArrow(run, schema)
+    return joined.select("row", "low", "high").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

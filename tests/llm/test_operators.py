@@ -255,13 +255,37 @@ def test_suffix_dedup(spark, seed, hot):
     assert sorted((tuple(r) for r in suffixes.remove_repeats(df, 20, 8, hot).collect()), key=str) == cut_by_hand(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [8, 512])
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark, hot):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, other = letters(90), letters(45)
+    rows = [(i, letters(rng.randrange(60)) + passage[rng.randrange(4) :] + letters(rng.randrange(60)) + other * (i % 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffixes.remove_repeats(df, 40, 10, hot).collect()), key=str) == cut_by_hand(rows, 40)
+
+
 def test_suffix_dedup_odd(odd, empty):
     df, rows = odd
-    got = sorted((tuple(r) for r in suffixes.remove_repeats(df.filter("doc_id is null or doc_id <> 6")).collect()), key=str)
-    assert got == cut_by_hand([r for r in rows if r[0] != 6], 200)
-    assert suffixes.remove_repeats(empty).count() == 0
-    kept = suffixes.strip_repeats(df.drop("k"))
-    assert kept.columns == df.columns and kept.count() == len(rows)
+    got = sorted((tuple(r) for r in suffixes.remove_repeats(df).collect()), key=str)
+    assert got == cut_by_hand(rows, 200)
+    assert suffixes.remove_repeats(empty).count() == 0 and suffixes.strip_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_of_many_equal_rows(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=360))
+    df = spark.createDataFrame([(1, text)] * 10_000 + [(2, text), (3, "kept")], "doc_id long, text string").repartition(8)
+    got = Counter(tuple(r)[:4] for r in suffixes.remove_repeats(df).collect())
+    assert got == {(1, 360, 360, 1): 10_000, (2, 360, 360, 1): 1, (3, 4, 0, 0): 1}
+
+
+def test_stripped_documents_keep_their_columns(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    rows = [(1, f"x{text}y", 1, "s", 2, 3, 4, 302, "row", 1.5), (2, f"z{text}", 5, None, 6, 7, 8, 301, None, None), (3, None, 0, "", 0, 0, 0, 0, "", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d long, k string, s long, low long, high long, n_chars int, row string, raw double")
+    got = suffixes.strip_repeats(df)
+    assert got.schema == df.schema
+    assert sorted(map(tuple, got.collect())) == [(1, "xy", 1, "s", 2, 3, 4, 2, "row", 1.5), (2, "z", 5, None, 6, 7, 8, 1, None, None), rows[2]]
 
 
 def test_long_texts_are_cut_in_strides(monkeypatch):
