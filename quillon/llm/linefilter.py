@@ -3,11 +3,13 @@
 Every line with a word is judged alone by three rules; failing lines go, and a document that loses too
 large a share of its characters is rejected.
 
-* punctuation: at least SYMBOL_SHARE of the words carry a symbol of ``#*$%&<>``, or at least
-  SHOUT_SHARE of them end in a doubled exclamation or question mark, or the line is short
+* punctuation: at least SYMBOL_SHARE of the words, and two of them, carry a symbol of ``#*$%&<>``, or at
+  least SHOUT_SHARE of them, and two, end in a doubled exclamation or question mark, or the line is short
   (under FRAGMENT_WORDS words) and has no end mark;
-* navigation: at least NAV_MARKS separators, making up NAV_SHARE of the line's words;
-* boilerplate: a phrase of the lists below, or words that mostly repeat the word before them.
+* navigation: at least NAV_MARKS separators, making up NAV_SHARE of the line's words, in a line of twice
+  NAV_MARKS words or more;
+* boilerplate: at least one phrase of the list below for each PHRASE_WORDS words, whatever the line's
+  length, or a line of STUTTER_WORDS words or more of which STUTTER_SHARE repeat the word before them.
 
 Defined cases: a null text is the empty text; lines without a word are neither judged nor counted; a
 document without words is not kept; repeated rows are judged one by one.
@@ -34,7 +36,7 @@ BOILERPLATE = re.compile(
     re.IGNORECASE,
 )
 SYMBOL_SHARE, SHOUT_SHARE, FRAGMENT_WORDS, NAV_MARKS, NAV_SHARE = 0.3, 0.3, 4, 3, 0.25
-STUTTER_WORDS, STUTTER_SHARE = 8, 0.4
+PHRASE_WORDS, STUTTER_WORDS, STUTTER_SHARE = 60, 8, 0.4
 MAX_LOST_SHARE = 0.6
 #: Base rules of the contract.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -43,13 +45,14 @@ SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
     "n_lines long, n_bad_punctuation long, n_navigation long, n_boilerplate long, lost_share double, clean_text string"
 )
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&<>]")
 
 
 def line_verdict(line: str, words: list[str]) -> str | None:
     """The rule that a line with these words fails, or None."""
     n = len(words)
-    if len(line) < 400 and BOILERPLATE.search(line):
+    if BOILERPLATE.search(line) and PHRASE_WORDS * len(BOILERPLATE.findall(line)) >= n:
         return "boilerplate"
     if n >= STUTTER_WORDS and sum(map(eq, words, words[1:])) >= STUTTER_SHARE * n:
         return "boilerplate"
@@ -96,7 +99,7 @@ def judge(doc_id: int | None, text: str | None) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", stripped)]
+        words = _SPACE.split(stripped)
         rule = line_verdict(stripped, words)
         if rule:
             bad[rule] += 1

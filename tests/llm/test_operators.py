@@ -119,6 +119,44 @@ def test_line_rules():
     assert not linefilter.judge(1, good + bad + bad.replace("a", "e") + bad.replace("o", "u"))[7]
 
 
+def verdict_by_hand(text):
+    """The kept verdict from the rules as the docstring states them, line by line."""
+    if base_rules(text)[5]:
+        return False
+    phrase = linefilter.BOILERPLATE
+    left = whole = 0
+    for line in (text or "").split("\n"):
+        words = WORD.findall(line)
+        n, chars = len(words), sum(map(len, words))
+        if not n:
+            continue
+        marks = sum(line.count(c) for c in "|»›>•·")
+        bad = 60 * sum(1 for _ in phrase.finditer(line)) >= n and phrase.search(line) is not None
+        bad = bad or (n >= 8 and sum(a == b for a, b in zip(words, words[1:], strict=False)) >= 0.4 * n)
+        bad = bad or (n >= 6 and marks >= 3 and marks >= 0.25 * n)
+        symbols = sum(any(c in w for c in "#*$%&<>") for w in words)
+        shouts = sum(w[-2:] in ("!!", "??") for w in words)
+        bad = bad or (symbols >= 2 and symbols >= 0.3 * n) or (shouts >= 2 and shouts >= 0.3 * n)
+        bad = bad or (n < 4 and words[-1][-1] not in linefilter.END_MARKS)
+        whole += chars
+        left += 0 if bad else chars
+    return 1 - left / whole <= 0.6
+
+
+def test_line_cleaning_verdict(odd, real):
+    for df, rows in (odd, real):
+        got = sorted(((r.doc_id, r.kept) for r in linefilter.clean_lines(df).collect()), key=str)
+        assert got == sorted(((k, verdict_by_hand(t)) for k, t in rows), key=str)
+
+
+def test_boilerplate_in_long_lines():
+    phrase, word = "All rights reserved. ", "prose "
+    verdict = lambda line: linefilter.line_verdict(line, line.split())
+    assert verdict("We use cookies and so you have to accept cookies here. " * 30) == "boilerplate"
+    assert verdict(phrase * 2 + "some other words of prose here " * 19) == "boilerplate"
+    assert verdict(phrase + "some other words of prose here " * 19) is None and verdict("a b " * 300) is None
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
