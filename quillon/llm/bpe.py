@@ -1,7 +1,9 @@
 """Byte-level BPE encoding of whole texts by tree concatenation, and decoding.
 
 A long text is cut in halves again and again down to leaves of LEAF_CHARS, which are encoded
-independently; then neighbours are joined bottom-up. A join re-encodes a window around the cut and grows
+independently; then neighbours are joined bottom-up. The upper levels of the tree are rows: a text of more
+than PART_CHARS is cut into parts that different tasks encode, and FAN neighbours meet in one task, level
+by level, until one row is left. A join re-encodes a window around the cut and grows
 it until the window's first and last token equal the tokens that stand there already.
 
 Why that is exact. (1) Inside one pre-token a sequence of tokens is the BPE encoding if and only if each
@@ -19,14 +21,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, store, table
 
-LEAF_CHARS = 4096
+LEAF_CHARS, PART_CHARS, FAN = 4096, 1 << 15, 8
 #: Fixed value: the pattern that cuts text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -81,8 +87,10 @@ class Codec:
         return self.coder.encode_to_numpy(text)
 
     # -- tree -------------------------------------------------------------------------------------
-    def cuts(self, text: str) -> list[str]:
-        """Leaves of the tree of halves, in order; a cut that would split a special token moves behind it."""
+    def cuts(self, text: str, most: int | None = None) -> list[str]:
+        """Leaves (of at most ``most`` characters) of the tree of halves, in order; a cut that would split a special
+        token moves behind it."""
+        most = most or self.leaf_chars
         parts, todo = [], [(0, len(text))]
         while todo:
             a, b = todo.pop()
@@ -91,7 +99,7 @@ class Codec:
                 at = text.rfind(s, max(a, m - len(s) + 1), m + len(s))
                 if 0 <= at < m < at + len(s):
                     m = at + len(s)
-            if b - a <= self.leaf_chars or not a < m < b:
+            if b - a <= most or not a < m < b:
                 parts.append(text[a:b])
             else:
                 todo += [(m, b), (a, m)]
@@ -99,10 +107,13 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text: leaves first, then joins of neighbours, level by level."""
-        level = [(p, self.leaf(p)) for p in self.cuts(text or "")]
+        return self.joined([(p, self.leaf(p)) for p in self.cuts(text or "")])[1]
+
+    def joined(self, level: list[tuple[str, np.ndarray]]) -> tuple[str, np.ndarray]:
+        """Text and ids of neighbours (text, ids) as one."""
         while len(level) > 1:
             level = [self.join(*level[i], *level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0][1]
+        return level[0]
 
     def join(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> tuple[str, np.ndarray]:
         """Text and ids of ``left + right`` from the ids of both."""
@@ -157,29 +168,78 @@ def id_bytes(ids: np.ndarray) -> bytes:
     return ids.astype("<u4", copy=False).tobytes()
 
 
-def encode_documents(documents: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, ids (array<int>), decoded."""
+def encoded(documents: DataFrame, vocabulary: str, fn: Callable[[Codec, int | None, np.ndarray], tuple], schema: str, leaf_chars: int = LEAF_CHARS, part_chars: int = PART_CHARS, fan: int = FAN) -> DataFrame:
+    """A row ``fn(codec, doc_id, ids)`` for every document."""
+    rows = documents.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
+    size = F.length(F.coalesce("text", F.lit("")))
 
-    def fn(rows: list[tuple]) -> list[tuple]:
+    def whole(part: list[tuple]) -> list[tuple]:
         c = codec(vocabulary, leaf_chars)
-        return [(k, (ids := c.encode(t)).tolist(), c.decode(ids)) for k, t in rows]
-
-    return map_rows(_keyed(documents), fn, "doc_id long, ids array<int>, decoded string")
+        return [fn(c, k, c.encode(t)) for k, t in part]
+
+    short = map_rows(rows.filter(size <= part_chars), whole, schema)
+    long = rows.filter(size > part_chars)
+    if not long.limit(1).count():
+        return short
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, row = codec(vocabulary, leaf_chars), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for doc_id, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                parts = c.cuts(text, part_chars)
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n), pa.array([doc_id] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(parts)], names=["row", "doc_id", "at", "text"])
+                row += 1
+
+    def leaves(part: list[tuple]) -> list[tuple]:
+        c = codec(vocabulary, leaf_chars)
+        return [(row, doc_id, at, t, id_bytes(c.encode(t))) for row, doc_id, at, t in part]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one (row, at // fan) stand together, in order."""
+        c, held = codec(vocabulary, leaf_chars), []
+
+        def one() -> pa.RecordBatch:
+            text, ids = c.joined([(t, np.frombuffer(raw, "<u4")) for _, _, _, t, raw in held])
+            row, doc_id, at = held[0][:3]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row, doc_id, at // fan, text, id_bytes(ids)), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = tuple(x[i].as_py() for x in batch.columns)
+                if held and (held[0][0], held[0][2] // fan) != (r[0], r[2] // fan):
+                    yield one()
+                    held = []
+                held.append(r)
+        if held:
+            yield one()
+
+    names, kinds = ["row", "doc_id", "at", "text", "ids"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    level_schema = "row long, doc_id long, at long, text string, ids binary"
+    # parts are written once, so that their row numbers stay the same when a task runs again
+    parts = store(long.mapInArrow(cut, "row long, doc_id long, at long, text string"), "bpe-parts")
+    level = map_rows(parts.repartition("row", "at"), leaves, level_schema)
+    n = parts.agg(F.max("at")).first()[0] + 1
+    while n > 1:
+        n = -(-n // fan)
+        group = F.floor(F.col("at") / fan)
+        level = level.repartition("row", group).sortWithinPartitions("row", "at").mapInArrow(meet, level_schema)
+    return short.unionByName(map_rows(level.select("doc_id", "ids"), lambda part: [fn(codec(vocabulary, leaf_chars), k, np.frombuffer(raw, "<u4")) for k, raw in part], schema))
+
+
+def encode_documents(documents: DataFrame, vocabulary: str, **sizes: int) -> DataFrame:
+    """doc_id, ids (array<int>), decoded."""
+    return encoded(documents, vocabulary, lambda c, k, ids: (k, ids.tolist(), c.decode(ids)), "doc_id long, ids array<int>, decoded string", **sizes)
 
 
-def digest_documents(documents: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def digest_documents(documents: DataFrame, vocabulary: str, **sizes: int) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
-    def fn(rows: list[tuple]) -> list[tuple]:
-        c = codec(vocabulary, leaf_chars)
+    def fn(c: Codec, doc_id: int | None, ids: np.ndarray) -> tuple:
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        return [(k, len(ids := c.encode(t)), sha(id_bytes(ids)), sha(c.decode(ids).encode())) for k, t in rows]
-
-    return map_rows(_keyed(documents), fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
+        return doc_id, len(ids), sha(id_bytes(ids)), sha(c.decode(ids).encode())
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
+    return encoded(documents, vocabulary, fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **sizes)
 
 
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

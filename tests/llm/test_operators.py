@@ -441,14 +441,17 @@ def test_tree_encoding_equals_the_library(library, leaf):
         assert got.tolist() == ids and c.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_encoded_documents(odd, real, empty, library):
+@pytest.mark.parametrize("sizes", [{}, {"part_chars": 700, "leaf_chars": 100, "fan": 2}])
+def test_encoded_documents(odd, real, empty, library, sizes):
     for df, rows in (odd, real):
         want = []
         for k, t in rows:
             ids = library.encode(t or "", add_special_tokens=False).ids
             want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-        assert sorted((tuple(r) for r in bpe.digest_documents(df, bpe.default_vocabulary()).collect()), key=str) == sorted(want, key=str)
-    assert bpe.digest_documents(empty, bpe.default_vocabulary()).count() == 0
+        assert sorted((tuple(r) for r in bpe.digest_documents(df, bpe.default_vocabulary(), **sizes).collect()), key=str) == sorted(want, key=str)
+    assert bpe.digest_documents(empty, bpe.default_vocabulary(), **sizes).count() == 0
+    both = bpe.encode_documents(odd[0], bpe.default_vocabulary(), **sizes).collect()
+    assert sorted((r.decoded for r in both)) == sorted(t or "" for _, t in odd[1])
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 32])
