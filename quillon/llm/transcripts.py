@@ -1,20 +1,22 @@
 """Transcript parsing: roles of plain transcript lines by a hidden Markov model, then canonical turns.
 
-States are (role, first or later line of a turn). A line shows one symbol: its speaker marker, if it has
-one, and a bucket of its length. Start, transition and emission probabilities are counted over all
-training rows, with additive smoothing; the counts that reach the driver are a fixed number of cells.
+States are (role, first or later line of a turn). A line shows one symbol, made of its features: its
+speaker marker, if it has one, a bucket of its length, whether it ends as a question, and whether it begins
+a row of the table. Start, transition and emission probabilities are counted over all training rows, with
+additive smoothing; the counts that reach the driver are a fixed number of cells.
 
-Viterbi is exact for any length of conversation without holding one in a task: a conversation is cut
-into blocks of BLOCK_TURNS turns, each block becomes the best-path matrix between the state before it
-and its last state, matrices combine FAN at a time up a tree, and the way down fixes the state at every
-block border. Last, each block finds its own best path between its two border states.
+Rows are numbered within their conversation by ranges of the sort order, and BLOCK_ROWS of them are a
+block, so a block is small whatever the keys are. Viterbi is exact for any length of conversation without
+holding one in a task: each block becomes the best-path matrix between the state before it and its last
+state, matrices combine FAN at a time up a tree, and the way down fixes the state at every block border.
+Last, each block finds its own best path between its two border states.
 
 make_transcript() writes a table of turns the way transcripts are found in the wild: five marker styles,
 some without any marker, and markers left out here and there.
 
-Defined cases: a null text is one empty line; a null conversation or turn sorts first and counts as an
-own conversation (or turn 0); rows with equal conversation and turn are ordered by text and are taken
-to be few; unknown or null roles train nothing; without training rows all probabilities are even.
+Defined cases: a null text is one empty line; rows of a null conversation are one conversation; a null turn
+sorts first; rows with equal conversation and turn are ordered by the hash of their text; unknown or null
+roles train nothing; without training rows all probabilities are even; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +27,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_fold, map_rows, store, table
+from .common import bound_batches, doc_fold, map_rows, store, table
 
 ROLES = ["system", "user", "assistant"]
 N_STATES = 2 * len(ROLES)  # role r: 2 r for a first line, 2 r + 1 for a later one
-BLOCK_TURNS, FAN = 32, 64
+BLOCK_ROWS, FAN = 32, 64
 SMOOTH = 0.5
 MARKERS = ["none", "system", "user", "assistant", "quote", "bullet"]
-LENGTHS = [1, 40, 100, 250, 600]
-N_SYMBOLS = len(MARKERS) * (len(LENGTHS) + 1)
+LENGTHS = [1, 20, 60, 120, 200, 300, 450, 700]
+FEATURES = (len(MARKERS), len(LENGTHS) + 1, 2, 2)
+N_SYMBOLS = int(np.prod(FEATURES))
 #: Names that speakers go by in transcripts.
 NAMES = {"system": "system|instructions", "user": "user|human|customer|question|q", "assistant": "assistant|ai|bot|agent|answer|a|gpt"}
 _NAMED = [(k, re.compile(rf"^\s*(?:#+\s*|\*\*|\[|<\|?)?(?:{names})(?:\*\*|\]|\|?>)?\s*(?::|(?<=[\]>])|$)(?:\*\*)?\s*", re.IGNORECASE)) for k, names in NAMES.items()]
@@ -52,9 +57,13 @@ def marker(line: str) -> tuple[str, str]:
     return "none", line
 
 
-def symbol(line: str) -> int:
+def symbol(line: str, begins: bool) -> int:
+    """The line's features as one number."""
     kind, rest = marker(line)
-    return MARKERS.index(kind) * (len(LENGTHS) + 1) + sum(len(rest) >= n for n in LENGTHS)
+    out = 0
+    for n, value in zip(FEATURES, (MARKERS.index(kind), sum(len(rest) >= n for n in LENGTHS), rest.rstrip().endswith(("?", "？")), begins), strict=True):
+        out = out * n + int(value)
+    return out
 
 
 def make_transcript(conv_id: int | None, turn: int | None, role: str | None, text: str | None) -> str:
@@ -176,15 +185,55 @@ def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, h, row, …) with block: BLOCK_ROWS rows of a conversation that follow one another. Each range of
+    the sort order counts its rows of a conversation, and the ranges before it give the offset, so a conversation of any
+    size is numbered without being in one task."""
+    order = ["conv_id", "turn", "h", "row"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{name} {kind}" for name, kind in [*rows.dtypes, ("part", "int"), ("place", "bigint")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, place = TaskContext.get().partitionId(), (), 0
+        for batch in batches:
+            places = []
+            for conv_id in batch.column("conv_id").to_pylist():
+                last, place = ((conv_id,), 0) if (conv_id,) != last else (last, place + 1)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())], names=[*batch.schema.names, "part", "place"])
+
+    # written, so that parts and places stay the same when a task runs again
+    counted = store(ranged.mapInArrow(run, schema), "transcript-places")
+    sizes = counted.groupBy("conv_id", "part").agg(F.count("*").alias("n"))  # at most one row a range and conversation
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), before.alias("offset"))
+    joined = counted.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    at = F.col("place") + F.col("offset")
+    return joined.withColumns({"block": F.floor(at / BLOCK_ROWS), "at": at}).drop("part", "place", "c", "p", "offset")
+
+
 def train(rows: DataFrame) -> Hmm:
-    """Counts over rows (conv_id, turn, role_no, symbols); a turn is followed by the one with the next number."""
-    known = rows.filter("role_no is not null")
-    lines = known.select("role_no", F.posexplode("symbols").alias("at", "s")).groupBy("role_no", (F.col("at") == 0).alias("first"), "s").agg(F.count("*").alias("n"))
-    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role_no").alias("next_no"))
-    pairs = known.join(after, ["conv_id", "turn"]).groupBy("role_no", "next_no").agg(F.count("*").alias("n"))
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"))
-    first = known.join(before, ["conv_id", "turn"], "left_anti").groupBy("role_no").agg(F.count("*").alias("n"))
-    return Hmm.from_counts({r.role_no: r.n for r in first.collect()}, {(r.role_no, r.next_no): r.n for r in pairs.collect()}, {(r.role_no, r.first, r.s): r.n for r in lines.collect()})
+    """Counts over rows (conv_id, block, at, role_no, symbols); a turn is followed by the conversation's next row."""
+    n = len(ROLES)
+
+    def steps(group: list[dict]) -> list[tuple]:
+        roles, pairs = [r["role_no"] for r in group], [0] * (n * n)
+        for a, b in zip(roles, roles[1:], strict=False):
+            if a is not None and b is not None:
+                pairs[a * n + b] += 1
+        return [(group[0]["conv_id"], group[0]["block"], roles[0], roles[-1], pairs)]
+
+    blocks = store(map_groups(rows.select("conv_id", "block", "at", "role_no"), ["conv_id", "block"], ["at"], steps, "conv_id long, block long, first int, last int, pairs array<long>"), "transcript-steps")
+    inside = blocks.agg(*(F.coalesce(F.sum(F.get("pairs", F.lit(k))), F.lit(0)) for k in range(n * n))).first()
+    after = blocks.select(F.col("conv_id").alias("c"), (F.col("block") - 1).alias("b"), F.col("first").alias("next"))
+    across = blocks.join(after, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).filter("last is not null and next is not null")
+    turns = {divmod(k, n): inside[k] for k in range(n * n)}
+    for r in across.groupBy("last", "next").agg(F.count("*").alias("n")).collect():
+        turns[r["last"], r["next"]] += r["n"]
+    start = blocks.filter("block = 0 and first is not null").groupBy("first").agg(F.count("*").alias("n")).collect()
+    known = rows.filter("role_no is not null").select("role_no", F.posexplode("symbols").alias("line", "s"))
+    lines = known.groupBy("role_no", (F.col("line") == 0).alias("is_first"), "s").agg(F.count("*").alias("n")).collect()
+    return Hmm.from_counts({r["first"]: r["n"] for r in start}, turns, {(r.role_no, r.is_first, r.s): r["n"] for r in lines})
 
 
 def parse_transcripts(turns: DataFrame, training) -> DataFrame:
@@ -194,24 +243,32 @@ def parse_transcripts(turns: DataFrame, training) -> DataFrame:
     the given role is used for training where ``training`` holds, never in recovery."""
     spark = turns.sparkSession
 
-    def cut(rows: list[tuple]) -> list[tuple]:
-        out = []
-        for conv_id, turn, role, train_on, text in rows:
-            lines = (text or "").split("\n")
-            out.append((conv_id, turn, (turn or 0) // BLOCK_TURNS, ROLES.index(role) if train_on and role in ROLES else None, bool(train_on), lines, [symbol(x) for x in lines]))
-        return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            conv_id, turn, role, train_on, texts = (c.to_pylist() for c in batch.columns)
+            lines = [(t or "").split("\n") for t in texts]
+            role_no = [ROLES.index(r) if on and r in ROLES else None for r, on in zip(role, train_on, strict=True)]
+            h = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            symbols = [[symbol(x, not i) for i, x in enumerate(own)] for own in lines]
+            cols = (conv_id, turn, h, range(row, row + len(turn)), role_no, [bool(x) for x in train_on], lines, symbols)
+            row += len(turn)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["conv_id", "turn", "h", "row", "role_no", "train_on", "lines", "symbols"])
 
     given = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(training, F.lit(False)), F.col("transcript").cast("string"))
-    rows = store(map_rows(given, cut, "conv_id long, turn long, block long, role_no int, train_on boolean, lines array<string>, symbols array<int>"), "transcript-rows")
+    bound_batches(spark)
+    lined = store(given.mapInArrow(cut, "conv_id long, turn long, h long, row long, role_no int, train_on boolean, lines array<string>, symbols array<int>"), "transcript-lines")
+    rows = store(numbered(lined), "transcript-rows")
     model = spark.sparkContext.broadcast(train(rows.filter("train_on")))  # of fixed size
 
     shape = (N_STATES + 1, N_STATES)
     as_matrix = lambda flat: np.array(flat).reshape(shape)
     whole = lambda group: [s for r in group for s in r["symbols"]]
-    level = store(map_groups(rows.select("conv_id", "block", "turn", "symbols", "lines"), ["conv_id", "block"], ["turn", "lines"], lambda g: [(g[0]["conv_id"], g[0]["block"], model.value.matrix(whole(g)).ravel().tolist())], "conv_id long, block long, m array<double>"), "transcript-blocks")
+    level = store(map_groups(rows.select("conv_id", "block", "at", "symbols"), ["conv_id", "block"], ["at"], lambda g: [(g[0]["conv_id"], g[0]["block"], model.value.matrix(whole(g)).ravel().tolist())], "conv_id long, block long, m array<double>"), "transcript-blocks")
     levels = [level]
-    while levels[-1].agg(F.max(F.abs("block"))).first()[0]:
-        up = levels[-1].withColumn("parent", F.floor(F.col("block") / FAN) if len(levels) < 12 else F.lit(0).cast("long"))
+    while levels[-1].agg(F.max("block")).first()[0]:
+        up = levels[-1].withColumn("parent", F.floor(F.col("block") / FAN))
         levels.append(store(map_groups(up, ["conv_id", "parent"], ["block"], lambda g: [(g[0]["conv_id"], g[0]["parent"], join_matrices([as_matrix(r["m"]) for r in g]).ravel().tolist())], "conv_id long, block long, m array<double>"), "transcript-level"))
     borders_schema = "conv_id long, block long, before int, last int"
     borders = map_rows(levels[-1], lambda part: [(c, b, N_STATES, border_states([as_matrix(m)], N_STATES, None)[0]) for c, b, m in part], borders_schema)
@@ -222,7 +279,7 @@ def parse_transcripts(turns: DataFrame, training) -> DataFrame:
 
     for depth in range(len(levels) - 2, -1, -1):
         upper = store(borders, "transcript-borders").select(F.col("conv_id").alias("c"), F.col("block").alias("parent"), "before", "last")
-        child = levels[depth].withColumn("p", F.floor(F.col("block") / FAN) if depth + 1 < 12 else F.lit(0).cast("long"))
+        child = levels[depth].withColumn("p", F.floor(F.col("block") / FAN))
         joined = child.join(upper, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("p") == F.col("parent"))).select("conv_id", "parent", "block", "m", "before", "last")
         borders = map_groups(joined, ["conv_id", "parent"], ["block"], down, borders_schema)
     borders = store(borders, "transcript-borders").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before", "last")
@@ -236,8 +293,8 @@ def parse_transcripts(turns: DataFrame, training) -> DataFrame:
             out.append((r["conv_id"], r["turn"], ROLES[own[0] // 2], len(own), sum(s // 2 == own[0] // 2 for s in own), text))
         return out
 
-    final = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "block", "turn", "lines", "symbols", "before", "last")
-    return map_groups(final, ["conv_id", "block"], ["turn", "lines"], render, "conv_id long, turn long, role string, n_lines long, n_agree long, rendered string")
+    final = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "block", "at", "turn", "lines", "symbols", "before", "last")
+    return map_groups(final, ["conv_id", "block"], ["at"], render, "conv_id long, turn long, role string, n_lines long, n_agree long, rendered string")
 
 
 def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
