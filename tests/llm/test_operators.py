@@ -616,6 +616,42 @@ def test_toxicity_learns_from_labels(spark):
     assert kept == {k for k, r in got.items() if not r.predicted}
 
 
+def score_by_hand(model, text):
+    """The network as its layers say: embedded words, padded; filters at every place; maxima; a logistic unit."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    ids = [(zlib.crc32(w.encode()) % toxicity.BUCKETS, zlib.crc32(b"^" + w[: toxicity.PREFIX].encode()) % toxicity.BUCKETS) for w in words]
+    x = np.array([model.embed[a] + model.embed[b] for a, b in ids] or np.zeros((1, toxicity.DIM)), np.float64)
+    x = np.vstack([x, np.zeros((2, toxicity.DIM))])
+    tops = []
+    for w, f, b in zip(toxicity.WIDTHS, model.filters, model.bias, strict=True):
+        tops += list(np.max([np.einsum("td,tdf->f", x[i : i + w], f) for i in range(len(x) - 2)], axis=0) + b)
+    tops = np.array(tops)
+    votes = {k: sum(w in own.split() for w in words) for k, own in toxicity.FUNCTION_WORDS.items()}
+    lang = max(votes, key=votes.get) if any(votes.values()) else "other"
+    z = np.where(tops > 0, tops, 0.05 * tops) @ model.out + model.cut[0] - model.thresholds[toxicity.LANGUAGES.index(lang)]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_query_equals_the_network_by_hand(spark, sf, real):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(real[0], labels)
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
+    assert set(got) == {k for k, _ in real[1]}
+    for k, t in real[1]:
+        assert got[k].score == pytest.approx(score_by_hand(model, t), abs=1e-3)
+        assert got[k].predicted == (got[k].score >= 0.5) and got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
+def test_training_sample_has_its_bounds(spark):
+    docs = spark.createDataFrame([(k, "x" * k) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    whole = toxicity.training_sample(docs, labels, 30)
+    assert Counter(y for _, _, y in whole) == {0: 30, 1: 30} and all(t == "x" * k and zlib.crc32(str(k).encode()) % 5 for k, t, _ in whole)
+    few = toxicity.training_sample(docs, labels, 30, 500)
+    assert set(few) <= set(whole) and all(sum(len(t) for _, t, y in few if y == c) <= 500 for c in (0, 1))
+    assert len(toxicity.training_sample(docs, labels, 30, 1)) == 2
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     df, rows = odd
     got = toxicity.score_documents(df, toxicity.Model()).collect()
