@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,8 +88,8 @@ def map_rows(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple] | list[t
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                rows = list(fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True))))
-                if rows:
+                made = iter(fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True))))
+                while rows := list(islice(made, BATCH_ROWS)):
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 

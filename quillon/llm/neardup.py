@@ -37,6 +37,8 @@ SHARE = (4, 5)
 BITS, RADIUS = 256, 76
 BANDS, BAND_ROWS = 16, 3
 CHUNK = 1024
+#: Distances that count as equally close, up to each bound; 39 is similarity 0.8 on average.
+STEPS = np.array([24, 32, 39, 46])
 #: Shingles sketched at once; bounds memory for long texts.
 SPAN = 1 << 13
 _RNG = np.random.default_rng(20)
@@ -83,26 +85,27 @@ def _signed(x: int) -> int:
 
 
 def closest_tree(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
-    """(child, parent) of a forest of least distances that connects what the pairs connect; each member is child once at most."""
-    far = 1 << 14
-    apart = np.full((n, n), far, np.int16)
-    apart[i, j] = apart[j, i] = d
-    best, parent, waits = np.full(n, far, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int16)
+    """(child, parent) of a forest of pairs in low STEPS of distance that connects what the pairs connect; each member is
+    child once at most. Of parents in one step the first is taken, so that many groups name the same pair."""
+    far = np.int32(len(STEPS) + 1) * np.int32(n)
+    apart = np.full((n, n), far, np.int32)
+    apart[i, j] = apart[j, i] = np.searchsorted(STEPS, d).astype(np.int32) * np.int32(n)
+    best, parent, waits = np.full(n, far, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32)
     out = []
     for _ in range(n):
-        near = best + waits  # members already in the forest wait behind all others
-        v = int(near.argmin())
+        v = int((best + waits).argmin())  # members already in the forest wait behind all others
         if best[v] < far:
             out.append((v, int(parent[v])))
-        waits[v] = far
-        closer = apart[v] < best
+        waits[v] = 2 * far
+        offer = np.where(apart[v] < far, apart[v] + np.int32(v), far)
+        closer = (offer < best) & (waits == 0)
         parent[closer] = v
-        best = np.where(waits > 0, far - 1, np.minimum(best, apart[v])).astype(np.int16)
+        best[closer] = offer[closer]
     return out
 
 
 def closest_links(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
-    """As closest_tree, for the pairs of many small groups: pairs in order of distance, less those that join nothing."""
+    """As closest_tree, for the pairs i < j of many small groups: pairs in order of step and place, less those that join nothing."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -111,7 +114,7 @@ def closest_links(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int
         return x
 
     out = []
-    order = np.argsort(d, kind="stable")
+    order = np.lexsort((j, i, np.searchsorted(STEPS, d)))
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         a, b = find(x), find(y)
         if a != b:
@@ -164,13 +167,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _forests(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(child, parent), each once, of members (key, salt, turn, s, asked)."""
     full = members.join(sets.select("s", "fp"), "s").select("key", "salt", "turn", "s", "asked", "fp")
-    grouped = full.repartition("key", "salt", "turn").sortWithinPartitions("key", "salt", "turn")
+    grouped = full.repartition("key", "salt", "turn").sortWithinPartitions("key", "salt", "turn", "s")
     return grouped.mapInArrow(_compare, "child long, parent long").distinct()
 
 
-def _dealt(n: Column, chunk: int, *by: str) -> Column:
-    """A chunk for each member of a group of ``n``."""
-    return F.pmod(F.xxhash64(*by), F.ceil(n / chunk)).cast("int")
+def _chunks(n: Column, chunk: int) -> Column:
+    """Chunks of a group of ``n``: a power of two, so that groups of about the same members have the same chunks."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / chunk, F.lit(1.0))))).cast("int")
+
+
+def _dealt(n: Column, chunk: int) -> Column:
+    """The chunk of set ``s`` among the members of ``key``."""
+    return F.pmod(F.xxhash64("s", F.pmod(F.col("key"), F.lit(2))), _chunks(n, chunk)).cast("int")
 
 
 def close_sets(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -178,7 +186,7 @@ def close_sets(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     filed = sets.select("s", F.explode("keys").alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = store(filed.join(sizes, "key").select("key", "s", "n"), "neardup-members")
-    chunked = members.withColumns({"salt": _dealt(F.col("n"), chunk, "s", "key"), "turn": F.lit(0), "asked": F.lit(True)})
+    chunked = members.withColumns({"salt": _dealt(F.col("n"), chunk), "turn": F.lit(0), "asked": F.lit(True)})
     edges = store(_forests(chunked, sets), "neardup-edges")
     large = members.filter(F.col("n") > chunk)
     if not large.limit(1).count():
@@ -190,9 +198,9 @@ def close_sets(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     most = held.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"))
     most = store(most.filter("n > most").select("key", "main", F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("turns")), "neardup-main")
     open_ = placed.join(most, "key")
-    salt = _dealt(F.col("n"), chunk, "s", "key")
+    salt = _dealt(F.col("n"), chunk)
     outside = open_.filter("label <> main").withColumn("turn", F.pmod(F.xxhash64("key", "s"), "turns").cast("int"))
-    outside = outside.select("key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / chunk) - 1).cast("int"))).alias("salt"), "turn", "s", F.lit(True).alias("asked"))
+    outside = outside.select("key", F.explode(F.sequence(F.lit(0), _chunks(F.col("n"), chunk) - 1)).alias("salt"), "turn", "s", F.lit(True).alias("asked"))
     inside = open_.select("key", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "s", F.lit(False).alias("asked"))
     return store(edges.unionByName(_forests(outside.unionByName(inside), sets)).distinct(), "neardup-edges")
 

@@ -108,6 +108,8 @@ def test_closest_tree_connects_and_prefers_near_pairs():
     d = rng.integers(0, 70, len(i))
     tree = neardup.closest_tree(n, i, j, d)
     links = neardup.closest_links(i, j, d)
-    weight = {frozenset(p): w for *p, w in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
+    step = {frozenset(p): int(np.searchsorted(neardup.STEPS, w)) for *p, w in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
     assert len({v for v, _ in tree}) == len(tree) == len(links)
-    assert sum(weight[frozenset(e)] for e in tree) == sum(weight[frozenset(e)] for e in links)
+    assert sorted(step[frozenset(e)] for e in tree) == sorted(step[frozenset(e)] for e in links)
+    dense = neardup.closest_tree(n, *np.triu_indices(n, 1), np.full(n * (n - 1) // 2, 9))
+    assert sorted(dense) == [(v, 0) for v in range(1, n)]
