@@ -19,15 +19,17 @@ from ..functions.text import squash
 class TableLexicon:
     """Fixed values of the Chinese engineering domain."""
 
-    name_columns: tuple[str, ...] = tuple("名称 方案 项目 工程 设备 材料 措施 内容 类别 类型".split())
+    name_columns: tuple[str, ...] = ("名称", "方案", "项目", "工程", "设备", "材料", "措施", "内容", "类别", "类型")
     name_end: str = "名称"
-    count_columns: tuple[str, ...] = tuple("数量 个数 台数 套数 件数 总量 合计".split())
-    generic: tuple[str, ...] = tuple("方案 项目 工程 措施 内容 设备 材料 名称 制度 台账 管理 施工 体系 预案 清单 一览表 汇总".split())
-    units: tuple[str, ...] = tuple("方案 设备 项目 工程 措施 材料 内容".split())
-    containers: tuple[str, ...] = tuple("台账 文档 文件".split())
-    stop: tuple[str, ...] = tuple(
-        "数量 多少 几个 几台 几套 几座 几处 个数 台数 套数 共计 合计 有哪些 哪些 列出 清单 一览 名单 所有 全部 都有 都包含 包含 包括 什么 请问 请 的 是 吗 呢 如何 怎么 怎样 "
-        "有 几 个 台 套 座 中 里 内 谁 哪里 哪 您好 你好 帮我 查 查询 一共 总共 这份 请以 表格 形式 输出 给我 不用 不要 关心 麻烦 需要 别 这 那".split()
+    count_columns: tuple[str, ...] = ("数量", "个数", "台数", "套数", "件数", "总量", "合计")
+    generic: tuple[str, ...] = ("方案", "项目", "工程", "措施", "内容", "设备", "材料", "名称", "制度", "台账", "管理", "施工", "体系", "预案", "清单", "一览表", "汇总")
+    units: tuple[str, ...] = ("方案", "设备", "项目", "工程", "措施", "材料", "内容")
+    containers: tuple[str, ...] = ("台账", "文档", "文件")
+    stop: tuple[str, ...] = (
+        "数量", "多少", "几个", "几台", "几套", "几座", "几处", "个数", "台数", "套数", "共计", "合计", "有哪些", "哪些", "列出", "清单",
+        "一览", "名单", "所有", "全部", "都有", "都包含", "包含", "包括", "什么", "请问", "请", "的", "是", "吗", "呢", "如何", "怎么",
+        "怎样", "有", "几", "个", "台", "套", "座", "中", "里", "内", "谁", "哪里", "哪", "您好", "你好", "帮我", "查", "查询",
+        "一共", "总共", "这份", "请以", "表格", "形式", "输出", "给我", "不用", "不要", "关心", "麻烦", "需要", "别", "这", "那",
     )
     signal: str = "多少|几台|几套|几座|几个|几处|数量|个数|台数|套数|共计|合计|有哪些|哪些|列出|清单|一览|名单|所有|全部|都有|都包含|几级|几种|几类"
     clause_end: str = "[。！？!；;\\n]"

@@ -32,8 +32,12 @@ class Lexicon:
     asked: str = "(.{2,30}?)(?:是什么|是多少|有哪些|有几级|有几种|有几类|分为|有什么要求|有什么规定|有何要求|包括哪些|包含哪些|指什么|是什么样的|如何)"
     particles: str = "的|中|关于|对于|、|及|和|与|，"
     about: str = "^(?:关于|对于|对)"
-    generic: tuple[str, ...] = tuple("要求 规定 内容 情况 方法 原则 事项 问题 标准 条款 方面 部分 定义 依据 步骤 目的 意义 作用 职责 原理 数量 等级 类别 计算 构建".split())
-    modifiers: str = "^(?:具体|主要|基本|相关|一般|重要|相应|有关|详细|编写|编制)"
+    generic: tuple[str, ...] = (
+        "要求", "规定", "内容", "情况", "方法", "原则", "事项", "问题", "标准", "条款", "方面", "部分", "定义", "依据", "步骤", "目的",
+        "意义", "作用", "职责", "原理", "数量", "等级", "类别", "计算", "构建",
+    )
+    modifiers: tuple[str, ...] = ("具体", "主要", "基本", "相关", "一般", "重要", "相应", "有关", "详细")
+    verbs: tuple[str, ...] = ("编写", "编制")
     levels: str = "分几级|有几级|分为几级|几级|分级|等级"
     level_word: str = "分级"
     level_mark: str = "级"
@@ -49,7 +53,7 @@ class Lexicon:
     reference: str = "这个|上述|上面|以上|该表|该专家|该名单|它|这些|那些|换个|用表格|表格形式|以表格|列举|总结|归纳|概括|详细|简洁|继续|然后|还有|为什么|怎么看|怎么理解|翻译|换个说法|换个角度|可以吗|能不能|可否|呢"
     enumeration: str = "有哪些|包含哪些|包括哪些|都有哪些|哪几个|哪几类|哪几级|哪几种|多少|所有|全部|完整|完整的|列出来|列出|概述|介绍|一览|全貌|总结|汇总|清单|一览表|都要|都有|还有|其他|其余|别的"
     inside: str = "中"
-    document_words: tuple[str, ...] = tuple("规范 标准 预案 文件 文档 规定 指南 导则 资料 制度 办法 规程 要求 内容".split())
+    document_words: tuple[str, ...] = ("规范", "标准", "预案", "文件", "文档", "规定", "指南", "导则", "资料", "制度", "办法", "规程", "要求", "内容")
     document_lead: str = "^(在|关于|对于|就)\\s*"
     extensions: str = "(?i)\\.(pdf|docx|md|markdown|txt|xlsx|csv)$"
     field_order: tuple[str, ...] = field(default=(), repr=False)
@@ -84,7 +88,8 @@ def focus(question: Column, lex: Lexicon = DEFAULT) -> Column:
     head = F.regexp_extract(s, lex.asked, 1)
     parts = F.filter(F.transform(F.split(head, lex.particles), lambda p: F.trim(p)), lambda p: p != "")
     parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, lex.about, "")))
-    plain = lambda p: p.isin(*lex.generic) | F.regexp_replace(p, lex.modifiers, "").isin(*lex.generic)
+    before = f"^(?:{'|'.join([*lex.modifiers, *lex.verbs])})"
+    plain = lambda p: p.isin(*lex.generic) | F.regexp_replace(p, before, "").isin(*lex.generic)
     found = F.try_element_at(F.filter(parts, lambda p: (p != "") & ~plain(p)), F.lit(-1))
     short = found.isNull() | (F.length(found) < 2) | ((F.length(found) * 2 > F.length(question)) & (F.length(question) > 10))
     with_level = F.when(s.rlike(lex.levels) & ~found.contains(lex.level_mark), F.concat(found, F.lit(" " + lex.level_word))).otherwise(found)
