@@ -7,6 +7,7 @@ knowledge base). All sorts are total: score descending, then id ascending.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import analyze, squash
+from ..staging import small, staged
+from .tables import answer_tables
+from .understanding import DEFAULT as LEXICON
+from .understanding import Lexicon, expand, focus, is_enumeration, table_kind
 
 #: Okapi constants, as published for the variant with a floor for negative idf.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 TOP_VECTOR, TOP_LEXICAL, TOP_RERANK, TOP_FINAL = 50, 50, 100, 5
 MIN_CONTENT = 40
-#: Rows up to which a question side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Questions that one broadcast holds.
+BLOCK_QUESTIONS = 20_000
+EXPANDED_CHAPTER, EXPANDED_UNIT, UNIT_POOL, UNIT_LEAST = 15, 40, 200, 4
 
 
 def in_scope(chunk_kb: Column, question_kb: Column) -> Column:
@@ -39,38 +45,55 @@ def top_k(scored: DataFrame, by: list[str], k: int, id_col: str = "chunk_id") ->
 # -- lexical -----------------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """kb, chunk_id, term, tf, dl."""
+def tokens(chunks: DataFrame) -> DataFrame:
+    """kb, chunk_id, dl, term: a row for each word of each chunk; a chunk without words has one of null."""
     terms = chunks.select("kb", "chunk_id", analyze(F.col("content")).alias("terms")).withColumn("dl", F.size("terms"))
     # an outer explode, as Spark would otherwise add a filter that makes the terms a second time
-    one = terms.select("kb", "chunk_id", "dl", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    return one.groupBy("kb", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return terms.select("kb", "chunk_id", "dl", F.explode_outer("terms").alias("term"))
 
 
-def corpus_stats(chunks: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kb, n, avgdl) and (kb, term, idf); idf below zero becomes FLOOR times the knowledge base's mean idf."""
-    size = chunks.select("kb", F.size(analyze(F.col("content"))).alias("dl")).groupBy("kb").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = posted.groupBy("kb", "term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(size), "kb").select("kb", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = idf.groupBy("kb").agg(F.avg("raw").alias("mean"))
-    idf = idf.join(F.broadcast(mean), "kb").select("kb", "term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return size, idf
+def term_table(chunks: DataFrame) -> DataFrame:
+    """kb, term, df, n, words of all terms, from one pass: n and words are chunks and words that were counted at this
+    term, so that they sum to those of the knowledge base. Only partial sums by (kb, term) are shuffled."""
+    terms = chunks.select("kb", analyze(F.col("content")).alias("terms"))
+    each = terms.select("kb", F.size("terms").alias("dl"), F.posexplode_outer(F.array_distinct("terms")).alias("at", "term"))
+    once = F.coalesce(F.col("at"), F.lit(0)) == 0
+    return each.groupBy("kb", "term").agg(F.count("term").alias("df"), F.count_if(once).alias("n"), F.sum(F.when(once, F.col("dl")).otherwise(0)).alias("words"))
+
+
+def corpus_stats(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From a term_table: (kb, n, avgdl, mean) and (kb, term, idf); an idf below zero becomes FLOOR times the knowledge
+    base's mean idf."""
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # terms of equal document frequency have equal idf, so the mean needs a row for each frequency only
+    levels = table.groupBy("kb", "df").agg(F.count("term").alias("terms"), F.sum("n").alias("k"), F.sum("words").alias("w"))
+    whole = W.partitionBy("kb")
+    levels = levels.withColumns({"n": F.sum("k").over(whole), "avgdl": F.sum("w").over(whole) / F.sum("k").over(whole)})
+    size = levels.groupBy("kb").agg(F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), (F.sum(raw * F.col("terms")) / F.sum("terms")).alias("mean"))
+    idf = table.filter("term IS NOT NULL").select("kb", "term", "df").join(small(size), "kb")
+    return size, idf.select("kb", "term", F.when(raw < 0, FLOOR * F.col("mean")).otherwise(raw).alias("idf"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = TOP_LEXICAL, pad: bool = False) -> DataFrame:
     """qid, kb, chunk_id, score, rank: the k best chunks of each knowledge base in the question's scope. A word
-    said twice counts twice. With ``pad``, chunks without a common word follow with score 0, by id."""
-    posted = postings(chunks)
-    size, idf = corpus_stats(chunks, posted)
+    said twice counts twice. With ``pad``, chunks without a common word follow with score 0, by id.
+
+    Words that nobody asks for leave before anything is shuffled; what is shuffled are counts of asked words."""
+    table = staged(term_table(chunks), "terms")
+    size, idf = corpus_stats(table)
     asked = questions.select("qid", F.col("kb").alias("scope"), F.explode(analyze(F.col("question"))).alias("term")).groupBy("qid", "scope", "term").agg(F.count("*").alias("times"))
+    asked = staged(asked, "asked")
+    wanted = small(asked.select("term").distinct())
+    found = tokens(chunks).join(wanted, "term").groupBy("kb", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    known = small(idf.join(wanted, "term", "left_semi").join(small(size.select("kb", "avgdl")), "kb"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = posted.join(F.broadcast(size), "kb").join(asked, "term").filter(in_scope(F.col("kb"), F.col("scope")))
-    hits = hits.join(idf, ["kb", "term"])
+    hits = found.join(known, ["kb", "term"]).join(small(asked), "term").filter(in_scope(F.col("kb"), F.col("scope")))
     scored = hits.groupBy("qid", "kb", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * weight), 6).alias("score"))
     if pad:  # at most k more rows of each knowledge base are ever needed
-        spare = top_k(chunks.select("kb", "chunk_id", F.lit(0.0).alias("score")), ["kb"], 2 * k).drop("rank")
-        spare = questions.select("qid", F.col("kb").alias("scope")).join(spare, in_scope(F.col("kb"), F.col("scope"))).drop("scope")
-        scored = scored.unionByName(spare).groupBy("qid", "kb", "chunk_id").agg(F.sum("score").alias("score"))
+        spare = small(top_k(chunks.select("kb", "chunk_id", F.lit(0.0).alias("score")), ["kb"], 2 * k).drop("rank"))
+        own = questions.filter("kb IS NOT NULL").select("qid", "kb").join(spare, "kb")
+        every = questions.filter("kb IS NULL").select("qid").join(spare)  # the stated questions against 2 k rows a knowledge base
+        scored = scored.unionByName(own).unionByName(every).groupBy("qid", "kb", "chunk_id").agg(F.sum("score").alias("score"))
     return top_k(scored, ["qid", "kb"], k)
 
 
@@ -83,13 +106,20 @@ def normalised_by_kb(hits: DataFrame) -> DataFrame:
 # -- vectors -----------------------------------------------------------------------------------------
 
 
-def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_VECTOR, clamp: bool = True) -> DataFrame:
+def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_VECTOR, clamp: bool = True, block: int = BLOCK_QUESTIONS) -> DataFrame:
     """qid, kb, chunk_id, score, rank: the k nearest by cosine among vectors (kb, chunk_id, embedding) in the scope
-    of each question (qid, kb, vector). The questions are a stated batch and travel in blocks; each task keeps its
-    own k best for a block with one matrix product, so what is shuffled does not grow with the vectors."""
+    of each question (qid, kb, vector). A question with a list ``doc_ids`` is asked of the vectors of these documents
+    (doc_id) only. Questions are counted and travel in broadcasts of about ``block``; each task keeps its own k best
+    for a block with one matrix product, so what is shuffled does not grow with the vectors."""
     spark = vectors.sparkSession
-    asked = questions.select("qid", "kb", "vector").collect()  # the batch, not the corpus
-    shared = spark.sparkContext.broadcast([(q.qid, q.kb, [float(x) for x in q.vector]) for q in asked])
+    parts = -(-questions.count() // block)
+    if parts > 1:
+        own = F.pmod(F.xxhash64(F.col("qid")), F.lit(parts))
+        found = [vector_search(vectors, questions.filter(own == i), k, clamp, 2 * block) for i in range(parts)]
+        return reduce(DataFrame.unionByName, found)
+    scoped = "doc_ids" in questions.columns
+    asked = questions.select("qid", "kb", "vector", F.col("doc_ids") if scoped else F.lit(None).alias("doc_ids")).collect()  # one block
+    shared = spark.sparkContext.broadcast([(q.qid, q.kb, [float(x) for x in q.vector], None if q.doc_ids is None else set(q.doc_ids)) for q in asked])
     schema = f"qid {dict(questions.dtypes)['qid']}, kb {dict(vectors.dtypes)['kb']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
 
     out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
@@ -106,18 +136,22 @@ def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_VECTOR,
             place = np.argsort(np.array(ids), kind="stable")
             matrix = unit(np.array(batch.column(2).to_pylist(), np.float64))[place]
             kbs, ids = kbs[place], [ids[i] for i in place]
+            docs = np.array(batch.column(3).to_pylist(), dtype=object)[place] if scoped else None
             for at in range(0, len(shared.value), 256):
                 block = shared.value[at : at + 256]
                 scores = np.round(unit(np.array([q[2] for q in block])) @ matrix.T, 6) + 0.0
                 rows = []
-                for (qid, kb, _), s in zip(block, np.maximum(scores, 0) if clamp else scores, strict=True):
+                for (qid, kb, _, only), s in zip(block, np.maximum(scores, 0) if clamp else scores, strict=True):
                     own = np.arange(len(ids)) if kb is None else np.flatnonzero(kbs == kb)
+                    if only is not None:
+                        own = np.array([i for i in own if docs[i] in only], np.int64)
                     for i in own[np.argsort(-s[own], kind="stable")[:k]]:
                         rows.append((qid, kbs[i], ids[i], float(s[i])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_schema, strict=True)], schema=out_schema)
 
-    return top_k(vectors.select("kb", "chunk_id", "embedding").mapInArrow(run, schema), ["qid"], k)
+    columns = ["kb", "chunk_id", "embedding", *(["doc_id"] if scoped else [])]
+    return top_k(vectors.select(*columns).mapInArrow(run, schema), ["qid"], k)
 
 
 def backfill(lexical: DataFrame, nearest: DataFrame, vectors: DataFrame, questions: DataFrame) -> DataFrame:
@@ -214,7 +248,15 @@ def under_component(section: Column, component: Column) -> Column:
     return (at > 0) & ~F.exists(below, lambda p: p.rlike(r"^附件\d"))
 
 
-def voted_chapter(pool: DataFrame, chunks: DataFrame, least: int = 4, depth: int = 200) -> DataFrame:
+def matched_component(section: Column, focused: Column) -> Column:
+    """Deepest part of a section path that, without its leading number, holds the focus or is held by it; null if none."""
+    parts = F.filter(F.transform(F.split(F.coalesce(section, F.lit("")), "/"), lambda p: F.trim(p)), lambda p: p != "")
+    bare = lambda p: F.regexp_replace(p, r"^[\d.]+\s*", "")
+    fits = F.filter(parts, lambda p: F.contains(bare(p), focused) | F.contains(focused, bare(p)))
+    return F.when(F.length(focused) > 0, F.try_element_at(fits, F.lit(-1)))
+
+
+def voted_chapter(pool: DataFrame, chunks: DataFrame, least: int = UNIT_LEAST, depth: int = UNIT_POOL) -> DataFrame:
     """qid, chapter: the chapter that most of the best ``depth`` hits (qid, chunk_id, rank) point to, each with weight
     one over its rank; ties go to the larger chapter, then by name. Chapters of fewer than ``least`` chunks lose."""
     placed = chunks.filter("section is not null and section <> ''").select("chunk_id", chapter_of(F.col("section")).alias("chapter"))
@@ -224,38 +266,111 @@ def voted_chapter(pool: DataFrame, chunks: DataFrame, least: int = 4, depth: int
     return votes.join(sizes, "chapter").withColumn("r", F.row_number().over(order)).filter((F.col("r") == 1) & (F.col("size") >= least)).select("qid", "chapter", "votes", "size")
 
 
-def chapter_members(chapters: DataFrame, chunks: DataFrame, cap: int = 40) -> DataFrame:
-    """All chunks of each question's chapter, by id, at most ``cap`` (the feature's own limit)."""
-    placed = chunks.withColumn("chapter", chapter_of(F.col("section")))
-    order = W.partitionBy("qid").orderBy("chunk_id")
-    return chapters.join(placed, "chapter").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("qid", "chapter", "chunk_id", "rank")
+def chapter_members(chapters: DataFrame, chunks: DataFrame, cap: int = EXPANDED_UNIT) -> DataFrame:
+    """All chunks of each question's chapter, by id, at most ``cap`` (the feature's own limit). Chapters are cut to the cap
+    before questions meet them."""
+    order = W.partitionBy("chapter").orderBy("chunk_id")
+    placed = chunks.select("chunk_id", chapter_of(F.col("section")).alias("chapter")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+    return chapters.join(placed, "chapter").select("qid", "chapter", "chunk_id", "rank")
+
+
+def component_members(asked: DataFrame, chunks: DataFrame, least: int = UNIT_LEAST) -> DataFrame:
+    """qid, chunk_id: the chunks under each question's section part (qid, kb, component), where there are at least ``least``.
+    Chunks meet questions by each part of their path, never all by all."""
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("section", F.lit("")), "/"), lambda p: F.trim(p)), lambda p: p != ""))
+    paths = chunks.select("kb", "chunk_id", "section", F.explode(parts).alias("part"))
+    # a part belongs to a component that it starts with: components are few, the parts are cut to their lengths
+    lengths = F.array_sort(F.collect_set(F.length("component")))
+    sizes = asked.groupBy().agg(lengths.alias("sizes"))
+    heads = paths.join(F.broadcast(sizes)).select("kb", "chunk_id", "section", "part", F.explode("sizes").alias("size")).filter(F.length("part") >= F.col("size"))
+    heads = heads.select("kb", "chunk_id", "section", F.col("part").substr(F.lit(1), F.col("size")).alias("component")).distinct()
+    own = asked.select("qid", F.col("kb").alias("scope"), "component").join(heads, "component").filter(in_scope(F.col("kb"), F.col("scope")))
+    own = own.filter(under_component(F.col("section"), F.col("component"))).select("qid", "chunk_id").distinct()
+    return own.withColumn("n", F.count("*").over(W.partitionBy("qid"))).filter(F.col("n") >= least).drop("n")
 
 
 def whole_document(results: DataFrame, chunks: DataFrame, cap: int = 60, least: int = MIN_CONTENT) -> DataFrame:
-    """Chunks of the best hit's document, by id, at most ``cap`` (the feature's own limit)."""
+    """Chunks of the best hit's document, by id, at most ``cap`` (the feature's own limit). Documents are cut to the cap
+    before questions meet them."""
     best = results.filter("rank = 1").select("qid", "doc_id")
-    own = best.join(chunks, "doc_id").filter(F.length("content") >= least)
-    return own.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("chunk_id"))).filter(F.col("rank") <= cap)
+    order = W.partitionBy("doc_id").orderBy("chunk_id")
+    firsts = chunks.filter(F.length("content") >= least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+    return best.join(firsts, "doc_id")
+
+
+def table_citations(answers: DataFrame, tables: DataFrame) -> DataFrame:
+    """Answers of the table channel as results: one a question, of score 1 and rank 1."""
+    at = tables.select("table_id", "kb", "doc_id", "source", "section", *(["chunk_id"] if "chunk_id" in tables.columns else []))
+    one = answers.select("qid", "table_id", F.col("answer").alias("snippet")).join(at, "table_id").drop("table_id")
+    return one.withColumns({"score": F.lit(1.0), "rank": F.lit(1), "block_type": F.lit("table"), "expanded": F.lit("table")})
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_FINAL, rerank=None, answered: DataFrame | None = None) -> DataFrame:
-    """qid, chunk_id, score, rank and the trace of stages, for questions (qid, question, kb, vector) that are not among
-    ``answered``: vectors and words are searched, lexical hits get a cosine, both lists are fused, cut, reranked if a
-    reranker is given, and the k best are kept."""
-    if answered is not None:
-        questions = questions.join(answered.select("qid").distinct(), "qid", "left_anti")
+def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_FINAL, rerank=None) -> DataFrame:
+    """qid, chunk_id, score, rank of all candidates, and the trace of stages: vectors and words are searched, lexical hits
+    get a cosine, both lists are fused and cut to TOP_RERANK, short chunks go, and what lies behind the cut fills up
+    to k where fewer are left; a reranker, if given, orders them anew. A question's list ``doc_ids``, if there is one,
+    limits both searches; its lexical search goes five times as deep before."""
     nearest = vector_search(vectors, questions)
-    lexical = normalised_by_kb(bm25(questions, chunks))
-    listed = backfill(lexical, nearest, vectors, questions)
+    if "doc_ids" in questions.columns:
+        deep = bm25(questions, chunks, 5 * TOP_LEXICAL).join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(questions.select("qid", "doc_ids"), "qid")
+        lexical = deep.filter(F.when(F.col("doc_ids").isNull(), F.col("rank") <= TOP_LEXICAL).otherwise(F.array_contains("doc_ids", F.col("doc_id")))).drop("doc_ids", "doc_id")
+    else:
+        lexical = bm25(questions, chunks)
+    lexical = staged(normalised_by_kb(lexical).drop("rank"), "lexical")
+    listed = staged(backfill(lexical, nearest, vectors, questions), "listed")
     fused = rrf(listed, lexical)
-    cut = top_k(fused, ["qid"], TOP_RERANK).withColumnRenamed("rank", "fused_rank").withColumnRenamed("score", "fused_score")
-    cut = cut.join(long_enough(chunks).select("chunk_id"), "chunk_id", "left_semi").withColumn("score", F.col("fused_score"))
+    ranked = fused.withColumn("fused_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), F.asc("chunk_id")))).withColumnRenamed("score", "fused_score")
+    kept = ranked.join(long_enough(chunks).select("chunk_id", F.lit(True).alias("long")), "chunk_id", "left")
+    inside = F.col("fused_rank") <= TOP_RERANK
+    n_kept = F.count_if(inside & F.col("long")).over(W.partitionBy("qid"))
+    kept = kept.withColumn("room", F.greatest(F.lit(0), F.lit(k) - n_kept)).filter((inside & F.col("long")) | (~inside & (F.col("fused_rank") <= TOP_RERANK + F.col("room"))))
+    kept = kept.withColumn("score", F.col("fused_score")).drop("long", "room")
     if rerank is not None:
-        cut = rerank(cut, questions, chunks)
-    best = top_k(cut, ["qid"], k)
+        kept = rerank(kept, questions, chunks)
+    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), F.asc("chunk_id"))))
     trace = listed.groupBy("qid", "chunk_id").agg(F.max("score").alias("vector_score"))
     words = lexical.groupBy("qid", "chunk_id").agg(F.max("score").alias("lexical_score"))
-    return best.join(trace, ["qid", "chunk_id"], "left").join(words, ["qid", "chunk_id"], "left")
+    return kept.join(trace, ["qid", "chunk_id"], "left").join(words, ["qid", "chunk_id"], "left")
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_FINAL, rerank=None, tables: DataFrame | None = None, lex: Lexicon = LEXICON) -> DataFrame:
+    """qid, chunk_id, score, rank, expanded and the trace of stages, for questions (qid, question, kb, vector and, if asked
+    of certain documents only, doc_ids).
+
+    Questions that ``tables`` answer exactly get that answer (expanded is table); the others are expanded with terms,
+    searched and ranked (candidates). With a reranker, which sees the question's focus, the section part that the best
+    hit shares with the focus comes whole (chapter); a question that asks for all of something gets the chapter that
+    its hits vote for (enumeration); any other its k best."""
+    answered = None
+    if tables is not None:
+        words = analyze(F.col("question")) if not lex.words else F.split("question", lex.words)
+        open_ = questions.filter("doc_ids IS NULL") if "doc_ids" in questions.columns else questions
+        asked = open_.select("qid", "kb", table_kind(F.col("question"), lex).alias("kind"), words.alias("words"))
+        answered = staged(table_citations(answer_tables(asked, tables), tables), "table-answers")
+        questions = questions.join(answered.select("qid"), "qid", "left_anti")
+    questions = staged(questions.withColumns({"asked": F.col("question"), "question": expand(F.col("question"), lex)}), "questions")
+    aimed = questions.withColumn("question", focus(F.col("question"), lex))
+    order = None if rerank is None else lambda cut, _, texts: rerank(cut, aimed, texts)
+    pool = staged(candidates(questions, chunks, vectors, k, order), "candidates")
+    placed = chunks.select("chunk_id", "section") if "section" in chunks.columns else None
+    best = pool.filter(F.col("rank") <= k).withColumn("expanded", F.lit(None).cast("string"))
+    if placed is not None:
+        grown = pool.limit(0).select("qid", "chunk_id", "score", "rank").withColumn("expanded", F.lit(None).cast("string"))
+        if order is not None:
+            top = pool.filter("rank = 1").join(placed, "chunk_id").join(aimed.select("qid", "kb", F.col("question").alias("focused")), "qid")
+            parts = top.withColumn("component", matched_component(F.col("section"), F.col("focused"))).filter("component IS NOT NULL").select("qid", "kb", "component")
+            members = order(component_members(parts, chunks).withColumn("score", F.lit(0.0)), None, chunks)
+            grown = staged(top_k(members.select("qid", "chunk_id", "score"), ["qid"], EXPANDED_CHAPTER).withColumn("expanded", F.lit("chapter")), "chapters")
+        listing = questions.filter(is_enumeration(F.col("asked"), lex)).select("qid").join(grown.select("qid").distinct(), "qid", "left_anti")
+        units = voted_chapter(pool.join(listing, "qid", "left_semi"), chunks)
+        listed = chapter_members(units, chunks, EXPANDED_UNIT if order is None else 2 * EXPANDED_UNIT).withColumn("score", F.lit(0.0)).select("qid", "chunk_id", "score")
+        if order is not None:
+            listed = order(listed, None, chunks).select("qid", "chunk_id", "score")
+        grown = staged(grown.unionByName(top_k(listed, ["qid"], EXPANDED_UNIT).withColumn("expanded", F.lit("enumeration"))), "expanded")
+        best = best.join(grown.select("qid").distinct(), "qid", "left_anti").unionByName(grown, allowMissingColumns=True)
+        best = best.join(chunks.select("chunk_id", F.col("kb").alias("own")), "chunk_id").join(questions.select("qid", F.col("kb").alias("scope")), "qid")
+        best = best.filter(in_scope(F.col("own"), F.col("scope"))).drop("own", "scope")
+    return best if answered is None else best.unionByName(answered, allowMissingColumns=True)
 
 
 def normal_name(text: Column) -> Column:

@@ -5,7 +5,7 @@ Patterns and word lists are data; other languages or domains pass their own.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,7 +56,7 @@ class Lexicon:
     document_words: tuple[str, ...] = ("规范", "标准", "预案", "文件", "文档", "规定", "指南", "导则", "资料", "制度", "办法", "规程", "要求", "内容")
     document_lead: str = "^(在|关于|对于|就)\\s*"
     extensions: str = "(?i)\\.(pdf|docx|md|markdown|txt|xlsx|csv)$"
-    field_order: tuple[str, ...] = field(default=(), repr=False)
+    words: str = ""  # what parts words; without it the analyzer does
 
 
 DEFAULT = Lexicon()

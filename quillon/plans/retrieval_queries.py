@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import analyze
 from ..functions.vectors import cosine
 from ..operators import retrieval as R
+from ..staging import small
 from .registry import query, read
 
 
@@ -61,8 +62,7 @@ def r3_bm25_normalised(spark, sf_dir):
 
 @query("a8_corpus_stats", f"WITH d AS (SELECT lang AS kb, len({TERMS}) AS dl FROM documents) SELECT kb, count(*) AS n, round(avg(dl), 6) AS avgdl FROM d GROUP BY kb")
 def a8_corpus_stats(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return R.corpus_stats(c, R.postings(c))[0].select("kb", "n", F.round("avgdl", 6).alias("avgdl"))
+    return R.corpus_stats(R.term_table(chunks(spark, sf_dir)))[0].select("kb", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("r4_vector_top50", f"""SELECT q.vec_id AS qid, e.vec_id AS chunk_id, greatest(round({COS}, 6), 0) AS score,
@@ -75,7 +75,7 @@ def r4_vector_top50(spark, sf_dir):
 @query("r5_cosine", f"SELECT q.vec_id AS qid, e.vec_id AS chunk_id, round({COS}, 6) AS cosine FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0")
 def r5_cosine(spark, sf_dir):
     asked = vector_questions(spark, sf_dir)
-    near = vectors(spark, sf_dir).join(F.broadcast(asked) if asked.count() <= R.BROADCAST_ROWS else asked, "kb")
+    near = vectors(spark, sf_dir).join(small(asked), "kb")
     return near.select("qid", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cosine"))
 
 
