@@ -102,6 +102,30 @@ def bad_citations(answer: Column, n_sources: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda n: (n < 1) | (n > n_sources))))
 
 
+def cited_pieces(answer: Column, n_sources: Column) -> Column:
+    """The answer in pieces (text, source), cut at citation marks that point to a source; source is null for plain text."""
+    marks = F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]|\z"), F.lit(0))
+    plain = F.split(answer, r"\[\d+\]")
+    number = lambda m: F.nullif(F.regexp_extract(m, r"(\d+)", 1), F.lit("")).try_cast("long")
+    valid = lambda m: number(m).isNotNull() & number(m).between(1, n_sources)
+    none = F.lit(None).cast("long")
+    parts = F.flatten(F.zip_with(plain, marks, lambda p, m: F.array(F.struct(p.alias("text"), none.alias("source")), F.when(valid(m), F.struct(m.alias("text"), number(m).alias("source"))).otherwise(F.struct(F.coalesce(m, F.lit("")).alias("text"), none.alias("source"))))))
+    # plain pieces that stand side by side, around a mark that points nowhere, are one
+    join = lambda done, x: F.when((F.size(done) > 0) & F.try_element_at(done, F.lit(-1))["source"].isNull() & x["source"].isNull(), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.concat(F.try_element_at(done, F.lit(-1))["text"], x["text"]).alias("text"), none.alias("source"))))).otherwise(F.concat(done, F.array(x)))
+    return F.aggregate(F.filter(parts, lambda x: F.coalesce(x["text"], F.lit("")) != ""), F.array().cast("array<struct<text:string,source:bigint>>"), join)
+
+
+def grams(text: Column) -> Column:
+    """Pairs of neighbouring characters, each once; a single character is its own. A text that holds another one of two
+    characters or more has all of its pairs."""
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) > 0, F.array_distinct(pair)).otherwise(F.array().cast("array<string>"))
+
+
+def characters(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
 def head_and_tail(text: Column, head: int = 2400, tail: int = 1600, mark: str = "\n…\n") -> Column:
     """Long text as its beginning and its end."""
     return F.when(F.length(text) <= head + tail, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(mark), F.substring(text, -tail, tail)))

@@ -9,18 +9,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.text import content_hash, strip
+from ..staging import fold_groups
 
 CHILD_MIN, CHILD_MAX, PARENT_MAX = 200, 500, 1600
 #: Where long text is cut, best first.
 SEPARATORS = ["\n\n", "\n", "。", "；", "，", " ", ""]
-CHUNK_SCHEMA = "doc_id long, chunk_index int, content string, section string, page int, block_type string, content_hash string, parent_content string, parent_hash string"
+CHUNK_SCHEMA = "doc_id long, chunk_index int, content string, section string, page int, block_type string, content_hash string, parent_content string, parent_hash string, table_data struct<table_id:string,columns:array<string>,rows:array<array<string>>,row_index:int>"
 
 
 def digest(text: str) -> str:
@@ -37,6 +38,8 @@ class Block:
     section: str | None = None
     page: int | None = None
     kind: str = "paragraph"
+    table_id: str | None = None
+    table: dict | None = None  # rows and header_path of a block; of a chunk what table_data() gives
 
 
 def split_long(text: str, size: int, overlap: int = 0, separators: list[str] = SEPARATORS) -> list[str]:
@@ -148,6 +151,16 @@ def is_noise(content: str, section: str | None) -> bool:
     return len(re.sub(r"[\s()\[\]（）]+", "", bare)) < 3
 
 
+def table_data(pack: list[Block]) -> dict | None:
+    """What the table channel reads of a chunk: its table, less the header row, if the chunk is one table and nothing else."""
+    found = {b.table_id: b.table for b in pack if b.table_id and b.table}
+    if len(found) != 1 or any(b.kind != "table" for b in pack):
+        return None
+    ((table_id, table),) = found.items()
+    columns, rows = table.get("header_path") or [], table.get("rows") or []
+    return {"table_id": table_id, "columns": columns, "rows": rows[1:] if columns and rows[:1] == [columns] else rows, "row_index": 0}
+
+
 def parent_child(blocks: list[Block], count=len) -> Iterator[tuple[Block, str]]:
     """Children (packed to CHILD_MAX tokens, flushed only from CHILD_MIN on, tables apart) with their parent's text: the
     section, or stretches of its children up to PARENT_MAX."""
@@ -155,9 +168,9 @@ def parent_child(blocks: list[Block], count=len) -> Iterator[tuple[Block, str]]:
     for b in (b for b in blocks if b.kind != "heading"):
         section = b.section or (groups[-1][0].section if groups else None)
         if groups and groups[-1][0].section == section:
-            groups[-1].append(Block(b.text, section, b.page, b.kind))
+            groups[-1].append(replace(b, section=section))
         else:
-            groups.append([Block(b.text, section, b.page, b.kind)])
+            groups.append([replace(b, section=section)])
     for group in groups:
         section, children = group[0].section, []
         pack: list[Block] = []
@@ -180,23 +193,37 @@ def parent_child(blocks: list[Block], count=len) -> Iterator[tuple[Block, str]]:
         for pack, text, parent in zip(children, texts, (p for p in parents for _ in p), strict=True):
             kind = "table" if all(b.kind == "table" for b in pack) else "text"
             page = next((b.page for b in pack if b.page), None)
-            child = Block(prefixed(section, text), section, page, kind)
+            child = Block(prefixed(section, text), section, page, kind, table=table_data(pack))
             if not is_noise(child.text, section):
                 yield child, prefixed(section, "\n".join(parent))
 
 
-def chunk_documents(blocks: DataFrame, how: str = "parent_child") -> DataFrame:
-    """Chunks of blocks (doc_id, idx, text, section, page, block_type) by document, as CHUNK_SCHEMA."""
-    schema = to_arrow_schema(blocks.sparkSession.createDataFrame([], CHUNK_SCHEMA).schema)
+def chunk_documents(blocks: DataFrame, how: str = "parent_child", count=len) -> DataFrame:
+    """Chunks of blocks (doc_id, idx, text, section, page, block_type and, if known, table_id and table of rows and
+    header_path) by document, as CHUNK_SCHEMA. ``count`` measures a text; a tokenizer's count may take the place of
+    characters."""
+    known = [c for c in ("doc_id", "idx", "text", "section", "page", "block_type", "table_id", "table") if c in blocks.columns]
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        own = [Block(r["text"] or "", r["section"], r["page"], r["block_type"], r.get("table_id"), r.get("table")) for r in rows]
+        pairs = parent_child(own, count) if how == "parent_child" else ((c, c.text) for c in merge_tiny(structure_chunks(own)))
+        return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p), c.table if how == "parent_child" else None) for i, (c, p) in enumerate(pairs)]
+
+    return fold_groups(blocks.select(*known), "doc_id", "idx", fold, CHUNK_SCHEMA)
+
+
+def contents_chunks(pages: DataFrame, title: str = "目录") -> DataFrame:
+    """doc_id, page, section, content, content_hash: each page of contents (doc_id, page, text) with text as a chunk of its own."""
+    body = strip(F.coalesce("text", F.lit("")))
+    content = F.concat(F.lit(f"## {title}\n"), body)
+    return pages.filter(body != "").select("doc_id", "page", F.lit(title).alias("section"), content.alias("content"), content_hash(content).alias("content_hash"))
 
-    def fold(table: pa.Table) -> pa.Table:
-        t = table.sort_by("idx").to_pydict()
-        rows = [Block(text or "", s, p, k) for text, s, p, k in zip(t["text"], t["section"], t["page"], t["block_type"], strict=True)]
-        pairs = parent_child(rows) if how == "parent_child" else ((c, c.text) for c in merge_tiny(structure_chunks(rows)))
-        out = [(t["doc_id"][0], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p)) for i, (c, p) in enumerate(pairs)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return blocks.groupBy("doc_id").applyInArrow(fold, CHUNK_SCHEMA)
+def chunk_tables(chunks: DataFrame) -> DataFrame:
+    """Slices of the tables that chunks carry, as tables.assemble() takes them; names hold within a document only."""
+    t = F.col("table_data")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(":"), t["table_id"])
+    return chunks.filter("table_data IS NOT NULL").select(name.alias("table_id"), t["row_index"].alias("row_index"), t["columns"].alias("columns"), t["rows"].alias("rows"), "section", "source", "doc_id", "kb")
 
 
 def chunk_store_rows(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_han_ratio, garble_ratio, squash
+from ..staging import small
 
 
 def keyword_hit(keywords: Column, *texts: Column) -> Column:
@@ -71,7 +72,7 @@ def root_cause(target: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:
 def unsupported_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, keyword of expectations that no chunk of the question's knowledge base holds."""
     wanted = gold.select("qid", "kb", F.explode("expect_keywords").alias("keyword"))
-    found = chunks.join(F.broadcast(wanted.select("kb", "keyword").distinct()), "kb").filter(F.col("content").contains(F.col("keyword"))).select("kb", "keyword").distinct()
+    found = chunks.join(small(wanted.select("kb", "keyword").distinct()), "kb").filter(F.col("content").contains(F.col("keyword"))).select("kb", "keyword").distinct()
     return wanted.join(found, ["kb", "keyword"], "left_anti").select("qid", "keyword")
 
 
@@ -107,3 +108,10 @@ def best_engines(scores: DataFrame) -> DataFrame:
     pages = scores.groupBy("doc_type", "engine").agg(F.array_sort(F.collect_set("page")).alias("p")).groupBy("doc_type").agg(F.assert_true(F.count_distinct("p") == 1, "engines saw different pages").alias("ok"))
     mean = scores.groupBy("doc_type", "engine").agg(F.round(F.avg("score"), 6).alias("score")).join(pages, "doc_type").filter("ok is null")
     return mean.groupBy("doc_type").agg(F.min_by("engine", F.struct(-F.col("score"), "engine")).alias("engine"), F.max("score").alias("score"))
+
+
+def weighted_score(metrics: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds score: the mean of the named measures (0 to 1 each) by weight, over those that are not null."""
+    known = [F.when(F.col(name).isNotNull(), F.lit(w)).otherwise(0.0) for name, w in weights.items()]
+    total = [F.coalesce(F.col(name), F.lit(0.0)) * w for name, w in weights.items()]
+    return metrics.withColumn("score", F.round(F.try_divide(sum(total, F.lit(0.0)), sum(known, F.lit(0.0))), 4))

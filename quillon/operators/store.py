@@ -1,11 +1,14 @@
 """Versioned tables in a directory: build beside, check the count, switch a pointer, clean up, export.
 
-Layout: root/table/version=V/ with a one-row pointer table root/table/_active. Readers see the version that
-the pointer names, so a version that is being built or failed its check is never read.
+Layout: root/table/version=V/ and numbered pointer files root/table/_active/N. Readers see the version that the
+last whole pointer names, so a version that is being built or failed its check is never read. A pointer is
+created, never changed: a writer that dies leaves the one before in force, and of two writers one fails.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,16 @@ class VersionedTable:
             return []
         return sorted(s.getPath().getName().removeprefix("version=") for s in fs.listStatus(Path(self.path)) if s.getPath().getName().startswith("version="))
 
-    def active(self) -> str | None:
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, version) of the whole pointers, the last one first."""
         fs, Path = self._fs()
-        return self.spark.read.text(f"{self.path}/_active").first().value if fs.exists(Path(f"{self.path}/_active")) else None
+        folder = Path(f"{self.path}/_active")
+        names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(folder) else []
+        rows = ((int(n), self.spark.read.text(f"{self.path}/_active/{n}").first()) for n in names)
+        return [(n, r.value) for n, r in rows if r and r.value]
+
+    def active(self) -> str | None:
+        return next((version for _, version in self._pointers()), None)
 
     def read(self) -> DataFrame:
         if (version := self.active()) is None:
@@ -39,14 +49,15 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.path}/version={version}")
         return self.spark.read.parquet(f"{self.path}/version={version}").count()
 
-    def switch(self, version: str) -> None:
-        """Points readers at a version: the new pointer is written aside and renamed over the old one."""
+    def switch(self, version: str, expected: str | None = None) -> None:
+        """Points readers at a version. ``expected`` is the version that must be active until then (compare and set)."""
         fs, Path = self._fs()
-        aside, pointer = f"{self.path}/_next", Path(f"{self.path}/_active")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(aside)
-        fs.delete(pointer, True)
-        if not fs.rename(Path(aside), pointer):
-            raise OSError(f"cannot switch {self.path} to {version}")
+        number, now = next(iter(self._pointers()), (0, None))
+        if expected is not None and now != expected:
+            raise ValueError(f"{self.path} is at {now}, not at {expected}")
+        file = fs.create(Path(f"{self.path}/_active/{number + 1:012d}"), False)  # fails if another writer was first
+        file.write(bytearray(f"{version}\n".encode()))
+        file.close()
 
     def publish(self, df: DataFrame, version: str, expected: int | None = None) -> int:
         """Build, compare the count, switch. A wrong count drops the new version and leaves the active one."""
@@ -114,11 +125,12 @@ def enqueue(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def append_audit(rows: DataFrame, path: str, max_detail: int = 500) -> bool:
-    """Appends audit rows, detail cut to its limit; a failure is reported, never raised."""
+    """Appends audit rows, detail cut to its limit; a failure is logged and reported, never raised."""
     try:
         rows.withColumn("detail", F.substring("detail", 1, max_detail)).write.mode("append").parquet(path)
         return True
     except Exception:  # an audit must not stop what it records
+        logging.getLogger(__name__).exception("audit rows were not written to %s", path)
         return False
 
 

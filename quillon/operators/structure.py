@@ -99,13 +99,17 @@ def advert_candidates(blocks: DataFrame) -> DataFrame:
 def completeness(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, missing_lines, skipped_long, missing_pages, uncovered_pages: non-heading lines of 4 to 100 characters that
     no chunk of the document holds, and pages with text but no chunk."""
-    blob = chunks.groupBy("doc_id").agg(F.array_join(F.collect_list(squash(F.col("content"))), " ").alias("blob"), F.collect_set("page").alias("chunk_pages"))
     body = blocks.filter("block_type <> 'heading'")
-    lines = lines_of(body).withColumn("key", squash(F.col("line"))).filter(F.length("key") >= 4)
-    judged = lines.join(blob, "doc_id", "left")
-    lost = (F.length("key") <= 100) & ~F.coalesce(F.contains("blob", "key"), F.lit(False))
-    by = judged.groupBy("doc_id").agg(F.count_if(lost).alias("missing_lines"), F.count_if(F.length("key") > 100).alias("skipped_long"), F.array_sort(F.collect_set(F.when(lost, F.col("page")))).alias("missing_pages"))
-    pages = body.groupBy("doc_id").agg(F.collect_set("page").alias("pages")).join(blob.select("doc_id", "chunk_pages"), "doc_id", "left")
+    lines = lines_of(body).withColumn("key", squash(F.col("line"))).filter(F.length("key") >= 4).select("doc_id", "page", "key", (F.length("key") > 100).alias("long"))
+    # most lines are whole lines of a chunk; only what is left meets the text of the document's chunks, one chunk a row
+    whole = chunks.select("doc_id", F.explode(F.split("content", "\n")).alias("line")).select("doc_id", F.xxhash64(squash(F.col("line"))).alias("h")).distinct().withColumn("whole", F.lit(True))
+    judged = lines.withColumn("h", F.xxhash64("key")).join(whole, ["doc_id", "h"], "left").withColumn("open", ~F.col("long") & F.col("whole").isNull())
+    asked = judged.filter("open").select("doc_id", "key").distinct()
+    within = asked.join(chunks.select("doc_id", squash(F.col("content")).alias("squashed")), "doc_id").filter(F.contains("squashed", "key")).select("doc_id", "key").distinct().withColumn("within", F.lit(True))
+    judged = judged.join(within, ["doc_id", "key"], "left").withColumn("lost", F.col("open") & F.col("within").isNull())
+    by = judged.groupBy("doc_id").agg(F.count_if("lost").alias("missing_lines"), F.count_if("long").alias("skipped_long"), F.array_sort(F.collect_set(F.when(F.col("lost"), F.col("page")))).alias("missing_pages"))
+    covered = chunks.groupBy("doc_id").agg(F.collect_set("page").alias("chunk_pages"))
+    pages = body.groupBy("doc_id").agg(F.collect_set("page").alias("pages")).join(covered, "doc_id", "left")
     pages = pages.select("doc_id", F.array_sort(F.array_except("pages", F.coalesce("chunk_pages", F.array().cast("array<int>")))).alias("uncovered_pages"))
     return by.join(pages, "doc_id")
 

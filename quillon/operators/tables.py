@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import squash
+from ..functions.text import characters, grams, squash
+from ..staging import small
 
 
 @dataclass(frozen=True)
@@ -171,10 +172,16 @@ def subject(words: Column, lex: TableLexicon = DEFAULT) -> Column:
 
 def answer_tables(questions: DataFrame, tables: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:
     """qid, kind, subject, answer, table_id, n_rows for each question (qid, kb, kind, words) that a table answers exactly;
-    no row for any other, which then goes to retrieval. Questions are a batch; each table of the scope is scored for
-    each question that shares a word with it."""
+    no row for any other, which then goes to retrieval. A table is scored for the questions of its scope with which it
+    shares a pair of characters; without one no word can stand in a cell, or hold one."""
     asked = questions.filter("kind is not null").select("qid", F.col("kb").alias("scope"), "kind", content_words(F.col("words"), lex).alias("words")).filter("size(words) > 0")
-    pairs = tables.filter("size(columns) > 0 and size(rows) > 0").join(F.broadcast(asked), F.col("scope").isNull() | (F.col("scope") == F.col("kb")))
+    full = tables.filter("size(columns) > 0 and size(rows) > 0")
+    said = F.flatten(F.transform("words", lambda w: F.concat(grams(w), characters(w))))
+    asked_grams = asked.select("qid", "scope", F.explode(F.array_distinct(said)).alias("gram"))
+    texts = F.concat(F.transform("columns", squash), F.transform(F.flatten("rows"), squash), _parts(F.col("section")), F.array(_stem(F.col("source"))))
+    held = full.select("kb", "table_id", F.explode(F.array_distinct(texts)).alias("text")).select("kb", "table_id", F.explode(grams(F.col("text"))).alias("gram"))
+    near = held.join(small(asked_grams), "gram").filter(F.col("scope").isNull() | (F.col("scope") == F.col("kb"))).select("qid", "kb", "table_id").distinct()
+    pairs = full.join(near, ["kb", "table_id"]).join(small(asked), "qid")
     pairs = pairs.withColumn("score", table_score(F.col("words"))).filter("score >= 1")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "table_id")
     best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1")

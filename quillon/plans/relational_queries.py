@@ -147,8 +147,8 @@ def a13_first_occurrence(spark, sf_dir):
 
 @query("a15_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
 def a15_grouping_sets(spark, sf_dir):
-    read(spark, sf_dir, "orders").createOrReplaceTempView("quillon_orders")
-    return spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM quillon_orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
+    orders = read(spark, sf_dir, "orders")
+    return orders.groupingSets([[], ["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
 @query("a16_mean_and_spread", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")

@@ -14,6 +14,7 @@ from ..operators import tables as T
 from ..operators import understanding as U
 from ..sources import readers
 from . import retrieval_queries as RQ
+from ..staging import small
 from .registry import query, read
 
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -138,8 +139,8 @@ def x9_table_scores(spark, sf_dir):
     asked = rows.select(F.col("table_id").alias("brand")).distinct()  # brands are a fixed list
     cells = rows.select("table_id", F.explode(F.array("p_name", "p_type", F.col("p_size").cast("string"))).alias("c")).distinct().withColumn("c", X.squash(F.col("c"))).filter("length(c) >= 2")
     word = X.squash(F.col("brand"))
-    hits = cells.join(F.broadcast(asked), (F.length(word) >= 2) & (F.col("c").contains(word) | word.contains(F.col("c")))).groupBy("brand", "table_id").agg(F.lit(2).alias("in_cells"))
-    scored = heads.join(F.broadcast(asked)).select("brand", "table_id", T.table_score(F.array(word)).alias("rest"))
+    hits = cells.join(small(asked), (F.length(word) >= 2) & (F.col("c").contains(word) | word.contains(F.col("c")))).groupBy("brand", "table_id").agg(F.lit(2).alias("in_cells"))
+    scored = heads.join(small(asked)).select("brand", "table_id", T.table_score(F.array(word)).alias("rest"))
     return scored.join(hits, ["brand", "table_id"], "left").select("brand", "table_id", (F.col("rest") + F.coalesce("in_cells", F.lit(0))).alias("score"))
 
 

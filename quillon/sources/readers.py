@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import iso_date_cell, strip
 
@@ -35,18 +38,36 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def markdown_blocks(documents: DataFrame) -> DataFrame:
     """doc_id, idx, text, section, block_type of markdown (doc_id, text). A heading cuts the stack of titles only where
     the stack is that deep; otherwise it is appended, so titles after a skipped level nest."""
-    lines = documents.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), strip)).alias("line_no", "line")).filter("line <> ''")
-    marks = F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 1)
-    lines = lines.withColumns({"level": F.length(marks), "title": strip(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2))})
-    w = W.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.withColumn("idx", F.row_number().over(w) - 1)
-    # the stack before a line is a fold over the headings before it
-    seen = F.collect_list(F.when(F.col("level") > 0, F.struct("level", "title"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    push = lambda stack, h: F.concat(F.when(F.size(stack) >= h["level"], F.slice(stack, F.lit(1), h["level"] - 1)).otherwise(stack), F.array(h["title"]))
-    lines = lines.withColumn("stack", F.aggregate(seen, F.array().cast("array<string>"), push))
-    heading = F.col("level") > 0
-    path = F.when(heading, F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack"))
-    return lines.select("doc_id", "idx", F.when(heading, F.col("title")).otherwise(F.col("line")).alias("text"), F.nullif(F.array_join(path, "/"), F.lit("")).alias("section"), F.when(heading, "heading").otherwise("paragraph").alias("block_type"))
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, idx int, text string, section string, block_type string"
+    kinds = to_arrow_schema(documents.sparkSession.createDataFrame([], schema).schema)
+    heading = re.compile(r"(#{1,6})\s+(.+)")
+
+    def blocks(doc_id: object, text: str | None) -> Iterator[tuple]:
+        stack: list[str] = []
+        lines = (x.strip() for x in re.split(r"\r\n|\r|\n", text or ""))
+        for idx, line in enumerate(x for x in lines if x):
+            if m := heading.fullmatch(line):
+                title = m[2].strip()
+                if len(stack) >= len(m[1]):
+                    stack = stack[: len(m[1]) - 1]
+                yield doc_id, idx, title, "/".join(stack) or None, "heading"
+                stack = [*stack, title]
+            else:
+                yield doc_id, idx, line, "/".join(stack) or None, "paragraph"
+
+    return _streamed(documents.select("doc_id", "text"), lambda row: blocks(*row), schema, kinds)
+
+
+def _streamed(rows: DataFrame, fn: Callable[[tuple], Iterable[tuple]], schema: str, kinds: pa.Schema, size: int = 4096) -> DataFrame:
+    """What ``fn`` makes of each row, in batches of at most ``size``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = chain.from_iterable(fn(tuple(c[i].as_py() for c in batch.columns)) for i in range(batch.num_rows))
+            while part := list(islice(made, size)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
 
 
 def text_blocks(documents: DataFrame) -> DataFrame:
@@ -147,19 +168,33 @@ def html_table(html: str | None) -> list[list[str]] | None:
 
 
 def html_tables(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The rows with table_no, header_path, rows of each table in their HTML."""
-
-    @F.udtf(returnType="table_no int, header_path array<string>, rows array<array<string>>")
-    class Tables:
-        def eval(self, html: str):
-            for i, t in enumerate(re.findall(r"(?is)<table\b.*?</table>", html or "")):
-                grid = html_table(t)
-                if grid:
-                    yield i, grid[0], grid
-
-    pages.createOrReplaceTempView("quillon_pages")
-    pages.sparkSession.udtf.register("quillon_html_tables", Tables)
-    return pages.sparkSession.sql(f"SELECT p.*, t.* FROM quillon_pages p, LATERAL quillon_html_tables(p.{column}) t")
+    """page_id, table_no, header_path, rows of each table in the HTML of pages."""
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, table_no int, header_path array<string>, rows array<array<string>>"
+    kinds = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def grids(row: tuple) -> Iterator[tuple]:
+        page_id, html = row
+        for i, t in enumerate(re.findall(r"(?is)<table\b.*?</table>", html or "")):
+            if grid := html_table(t):
+                yield page_id, i, grid[0], grid
+
+    return _streamed(pages.select("page_id", column), grids, schema, kinds)
+
+
+def read_docx(files: DataFrame) -> DataFrame:
+    """path, idx, text, section, block_type of DOCX files (path, content)."""
+    schema = "path string, idx int, text string, section string, block_type string"
+    kinds = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+    return _streamed(files.select("path", "content"), lambda row: ((row[0], i, *part) for i, part in enumerate(docx_parts(row[1]))), schema, kinds)
+
+
+def read_xlsx(files: DataFrame) -> DataFrame:
+    """path, sheet, header_path, rows of the sheets with a row in XLSX files (path, content), cells in normal form."""
+    schema = "path string, sheet string, grid array<array<string>>"
+    kinds = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+    raw = _streamed(files.select("path", "content"), lambda row: ((row[0], name, grid) for name, grid in xlsx_sheets(row[1])), schema, kinds)
+    table = table_struct(F.get("grid", F.lit(0)), F.slice("grid", F.lit(2), F.greatest(F.size("grid") - 1, F.lit(0))))
+    return raw.filter("size(grid) > 0").withColumn("table", table).select("path", "sheet", "table.header_path", "table.rows")
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 100_000
@@ -52,3 +55,31 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a hint to broadcast it, if a count finds at most ``rows`` rows; else as it is, for a shuffle join."""
     rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fold_groups(df: DataFrame, key: str, order: str, fn: Callable[[list[dict]], list[tuple]], schema: str, size: int = 4096) -> DataFrame:
+    """Rows that ``fn`` makes of each group's rows, in order. Sorted rows stream by, so a task holds one group at a time."""
+    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if group and row[key] != group[0][key]:
+                    out += fn(group)
+                    group = []
+                    if len(out) >= size:
+                        yield batch_of(out)
+                        out = []
+                group.append(row)
+        if group:
+            out += fn(group)
+        if out:
+            yield batch_of(out)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
