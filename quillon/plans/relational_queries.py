@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import in_pieces
+from ..operators import evaluation as E
+from ..operators import memory as M
 from ..operators import relational as R
 from .registry import query, read
 
@@ -41,13 +43,13 @@ def p5_optional_filters(spark, sf_dir):
 @query("p6_null_safe_scope", "WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS s FROM labels), b AS (SELECT DISTINCT s FROM a) SELECT doc_id, b.s AS s FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s")
 def p6_null_safe_scope(spark, sf_dir):
     a = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.col("quality")).alias("s"))
-    b = a.select(F.col("s").alias("scope")).distinct()
-    return a.join(b, F.col("s").eqNullSafe(F.col("scope"))).select("doc_id", F.col("scope").alias("s"))
+    b = a.select((F.col("s") + 0).cast("long").alias("s")).distinct()
+    return a.join(b, R.same_scope(a, b, ["s"])).select("doc_id", b["s"])
 
 
 @query("p14_expiry", "SELECT event_id FROM events WHERE NOT (TIMESTAMP '2024-01-15' - ts > INTERVAL 5 DAY)")
 def p14_expiry(spark, sf_dir):
-    return read(spark, sf_dir, "events").filter(F.expr("NOT ts < timestamp_ntz'2024-01-15' - interval 5 days")).select("event_id")
+    return read(spark, sf_dir, "events").filter(M.alive(F.col("ts"), F.lit("2024-01-15").cast("timestamp"), 5 * 86_400)).select("event_id")
 
 
 @query("j1_inner_join", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
@@ -151,9 +153,9 @@ def a15_grouping_sets(spark, sf_dir):
     return orders.groupingSets([[], ["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query("a16_mean_and_spread", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
+@query("a16_mean_and_spread", "SELECT event_type AS measure, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events GROUP BY event_type")
 def a16_mean_and_spread(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return E.rounds(read(spark, sf_dir, "events").select(F.col("event_type").alias("measure"), "value"))
 
 
 @query("a17_median_and_mode", "WITH m AS (SELECT p_brand, median(p_size) AS mid FROM part GROUP BY p_brand), w AS (SELECT p_brand, p_size, sum(p_retailprice) AS weight FROM part GROUP BY ALL) SELECT p_brand, mid, (SELECT arg_max(p_size, (round(weight, 4), p_size)) FROM w WHERE w.p_brand = m.p_brand) AS heaviest FROM m")
@@ -220,9 +222,9 @@ def u1_union_pool(spark, sf_dir):
     return a.union(read(spark, sf_dir, "customer").filter("c_acctbal > 9000").select("c_custkey")).distinct()
 
 
-@query("u2_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u2_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def u2_difference(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, sf_dir, "orders").select("o_custkey"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_partkey"))
 
 
 @query("u3_intersection", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM part WHERE p_size > 25")
