@@ -43,7 +43,7 @@ def p5_optional_filters(spark, sf_dir):
 @query("p6_null_safe_scope", "WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS s FROM labels), b AS (SELECT DISTINCT s FROM a) SELECT doc_id, b.s AS s FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s")
 def p6_null_safe_scope(spark, sf_dir):
     a = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.col("quality")).alias("s"))
-    b = a.select((F.col("s") + 0).cast("long").alias("s")).distinct()
+    b = a.select((F.col("s") + 0).cast("int").alias("s")).distinct()
     return a.join(b, R.same_scope(a, b, ["s"])).select("doc_id", b["s"])
 
 

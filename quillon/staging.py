@@ -51,6 +51,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table of texts over all cores, if its files have fewer splits than there are cores; a table of many
+    splits stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a hint to broadcast it, if a count finds at most ``rows`` rows; else as it is, for a shuffle join."""
     rows = BROADCAST_ROWS if rows is None else rows
