@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path, spread, staged  # noqa: F401
+
 #: Rows handed to a per-batch function at once; keeps a slice of long texts small.
 SLICE_ROWS = 256
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -18,7 +18,8 @@ WORD_SPACE = " \t\n\v\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_FALLBACK: dict[str, str] = {}
+#: Tables of long texts, on which work by row outweighs reading.
+TEXTS = {"documents", "pages", "conversations"}
 
 
 #: What a batch between Spark and Python may hold. Spark's own limits allow 64 MB, of which several copies may be in
@@ -32,41 +33,10 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared place the cluster names in ``spark.checkpoint.dir``.
-
-    Where that setting is absent, a local master (tests, notebooks) gets a temporary folder; on a cluster, whose
-    executors would not see it, this is an error. The folder goes when the session's JVM ends.
-    """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if app not in _FALLBACK:
-            _FALLBACK[app] = tempfile.mkdtemp(prefix="quillon-")
-        base = _FALLBACK[app]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quillon-{app}")
-    fs = path.getFileSystem(conf)
-    path = fs.makeQualified(path)
-    if not fs.exists(path):
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    uri = path.toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: its lineage ends there, and lost executors cost only a reread."""
     bound_batches(df.sparkSession)
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, name)
 
 
 #: Rows up to which the small side of a join may be broadcast, once they are counted.
@@ -120,4 +90,5 @@ def doc_fold(doc_id, folds: int = 5):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
