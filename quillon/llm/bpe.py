@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows, store, table
 
@@ -195,14 +197,15 @@ def encoded(documents: DataFrame, vocabulary: str, fn: Callable[[Codec, int | No
         c = codec(vocabulary, leaf_chars)
         return [(row, doc_id, at, t, id_bytes(c.encode(t))) for row, doc_id, at, t in part]
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one (row, at // fan) stand together, in order."""
+    def meet(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of one (row, at // fan) stand together, in order, and become one; in the last level, what ``fn`` makes of it."""
         c, held = codec(vocabulary, leaf_chars), []
 
         def one() -> pa.RecordBatch:
             text, ids = c.joined([(t, np.frombuffer(raw, "<u4")) for _, _, _, t, raw in held])
             row, doc_id, at = held[0][:3]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row, doc_id, at // fan, text, id_bytes(ids)), kinds, strict=True)], names=names)
+            made = fn(c, doc_id, ids) if last else (row, doc_id, at // fan, text, id_bytes(ids))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, ends if last else level_ends, strict=True)], schema=ends if last else level_ends)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -214,17 +217,19 @@ def encoded(documents: DataFrame, vocabulary: str, fn: Callable[[Codec, int | No
         if held:
             yield one()
 
-    names, kinds = ["row", "doc_id", "at", "text", "ids"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     level_schema = "row long, doc_id long, at long, text string, ids binary"
+    ends, level_ends = (to_arrow_schema(documents.sparkSession.createDataFrame([], x).schema) for x in (schema, level_schema))
     # parts are written once, so that their row numbers stay the same when a task runs again
     parts = store(long.mapInArrow(cut, "row long, doc_id long, at long, text string"), "bpe-parts")
     level = map_rows(parts.repartition("row", "at"), leaves, level_schema)
     n = parts.agg(F.max("at")).first()[0] + 1
-    while n > 1:
+    while True:  # one function of Python a stage, so a task needs one worker
         n = -(-n // fan)
-        group = F.floor(F.col("at") / fan)
-        level = level.repartition("row", group).sortWithinPartitions("row", "at").mapInArrow(meet, level_schema)
-    return short.unionByName(map_rows(level.select("doc_id", "ids"), lambda part: [fn(codec(vocabulary, leaf_chars), k, np.frombuffer(raw, "<u4")) for k, raw in part], schema))
+        last = n == 1
+        grouped = level.repartition("row", F.floor(F.col("at") / fan)).sortWithinPartitions("row", "at")
+        level = grouped.mapInArrow(partial(meet, last=last), schema if last else level_schema)
+        if last:
+            return short.unionByName(level)
 
 
 def encode_documents(documents: DataFrame, vocabulary: str, **sizes: int) -> DataFrame:
