@@ -113,3 +113,24 @@ def test_closest_tree_connects_and_prefers_near_pairs():
     assert sorted(step[frozenset(e)] for e in tree) == sorted(step[frozenset(e)] for e in links)
     dense = neardup.closest_tree(n, *np.triu_indices(n, 1), np.full(n * (n - 1) // 2, 9))
     assert sorted(dense) == [(v, 0) for v in range(1, n)]
+
+
+def test_components_of_random_graphs(spark):
+    from quillon.llm.components import connected_components
+
+    rng = random.Random(9)
+    graphs = [[(i, i + 1) for i in range(70)], [(0, i) for i in range(1, 50)], [(i, 99) for i in range(50)], [(5, 5)], [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]]
+    edges = [(1000 * g + a, 1000 * g + b) for g, own in enumerate(graphs) for a, b in own]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted((x, root(x)) for x in up)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
