@@ -125,6 +125,23 @@ def close_pairs(values: np.ndarray, radius: int = RADIUS, queries: int = 128) ->
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def cross_pairs(asked: np.ndarray, values: np.ndarray, radius: int = RADIUS, queries: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i in ``asked`` and j in ``values`` and distances of all pairs within the radius, between two groups."""
+    planes = planes_of(values)
+    words = planes.shape[1]
+    beyond = (np.arange(words * 64) >= len(values)).astype(np.uint8)
+    last = np.packbits(beyond, bitorder="little").view("<u8")
+    found = [(np.empty(0, np.int64),) * 3]
+    for at in range(0, len(asked), queries):
+        part = asked[at : at + queries]
+        flips = np.where(bits_of(part).T.astype(bool), FULL, np.uint64(0))
+        query, word = np.divmod(np.arange(len(part) * words), words)
+        left = count_planes(lambda k, b, f=flips, q=query, w=word: planes[k, w[b]] ^ f[k, q[b]], len(planes), np.tile(last, len(part)), radius)
+        block, lane, distance = near_lanes(*left, radius)
+        found.append((at + query[block], word[block] * 64 + lane, distance))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def small_pairs(values: np.ndarray, group: np.ndarray, radius: int = RADIUS, most: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As close_pairs, for many groups of at most ``most`` members at once; ``group`` ascends."""
     found = [(np.empty(0, np.int64),) * 3]

@@ -78,6 +78,52 @@ def test_classes_of_real_documents(spark, sf):
     check([(r.doc_id, r.text) for r in df.collect()], prints.join(classes, "s").collect())
 
 
+def families(n_families, size, n_words, seed=8):
+    """Copies of texts, each with 2 or 3 words changed, so that many pairs lie just below the least similarity."""
+    rng = random.Random(seed)
+    texts = []
+    for f in range(n_families):
+        base = [f"f{f}w{i}" for i in range(n_words)]
+        for c in range(size):
+            copy = list(base)
+            for x in rng.sample(range(n_words), rng.choice([2, 3])):
+                copy[x] = f"c{f}.{c}.{x}"
+            texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("chunk", [1024, 24])
+def test_no_link_is_lost_near_the_threshold(spark, chunk):
+    rows = families(6, 80, 200)
+    prints, classes = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), chunk)
+    check(rows, prints.join(classes, "s").collect())
+
+
+@pytest.mark.parametrize("chunk", [1024, 64])
+def test_a_key_of_many_different_documents(spark, chunk):
+    """A passage in many otherwise different texts puts them under the same keys; a few are near copies of each other."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + rng.choices(words, k=40) for _ in range(900)]
+    texts += [[*t[:-1], "x"] for t in texts[:60]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    prints, classes = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), chunk)
+    check(rows, prints.join(classes, "s").collect())
+
+
+def test_cross_pairs_are_all_pairs_between_two_groups():
+    from quillon.llm.simhash import cross_pairs
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, (150, 2), dtype=np.uint64)
+    y = np.concatenate([x[:70] ^ (np.uint64(1) << rng.integers(0, 63, (70, 2), dtype=np.uint64)), rng.integers(0, 1 << 63, (31, 2), dtype=np.uint64)])
+    got = set(zip(*(c.tolist() for c in cross_pairs(x, y, 9)), strict=True))
+    apart = lambda a, b: sum(int(p ^ q).bit_count() for p, q in zip(a, b, strict=True))
+    assert got == {(i, j, d) for i in range(150) for j in range(101) if (d := apart(x[i], y[j])) <= 9}
+    assert len(cross_pairs(x[:0], y, 9)[0]) == 0
+
+
 def test_one_of_each_class_stays(spark, edited):
     rows = [(k, t, k, "s", 1, True) for k, t in edited] + [(None, "one two", 1, "s", 1, True), (3, "one two", 2, "s", 1, True), (3, "one two", 2, "s", 1, True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, k long, s string, n long, stays boolean")
