@@ -18,83 +18,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import analyze, squash
 from ..staging import small, staged
+from .lexical import BLOCK_QUESTIONS, bm25, corpus_stats, in_scope, postings, term_table, top_k  # noqa: F401
 from .tables import answer_tables
 from .understanding import DEFAULT as LEXICON
 from .understanding import Lexicon, expand, focus, is_enumeration, table_kind
 
-#: Okapi constants, as published for the variant with a floor for negative idf.
-K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 TOP_VECTOR, TOP_LEXICAL, TOP_RERANK, TOP_FINAL = 50, 50, 100, 5
 MIN_CONTENT = 40
-#: Questions that one broadcast holds.
-BLOCK_QUESTIONS = 20_000
 EXPANDED_CHAPTER, EXPANDED_UNIT, UNIT_POOL, UNIT_LEAST = 15, 40, 200, 4
 
 
-def in_scope(chunk_kb: Column, question_kb: Column) -> Column:
-    return question_kb.isNull() | (question_kb == chunk_kb)
-
-
-def top_k(scored: DataFrame, by: list[str], k: int, id_col: str = "chunk_id") -> DataFrame:
-    """Rows of rank 1 to k in each group, with the rank; Spark keeps only k rows a group before its shuffle."""
-    w = W.partitionBy(*by).orderBy(F.desc("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-# -- lexical -----------------------------------------------------------------------------------------
-
-
-def tokens(chunks: DataFrame) -> DataFrame:
-    """kb, chunk_id, dl, term: a row for each word of each chunk; a chunk without words has one of null."""
-    terms = chunks.select("kb", "chunk_id", analyze(F.col("content")).alias("terms")).withColumn("dl", F.size("terms"))
-    # an outer explode, as Spark would otherwise add a filter that makes the terms a second time
-    return terms.select("kb", "chunk_id", "dl", F.explode_outer("terms").alias("term"))
-
-
-def term_table(chunks: DataFrame) -> DataFrame:
-    """kb, term, df, n, words of all terms, from one pass: n and words are chunks and words that were counted at this
-    term, so that they sum to those of the knowledge base. Only partial sums by (kb, term) are shuffled."""
-    terms = chunks.select("kb", analyze(F.col("content")).alias("terms"))
-    each = terms.select("kb", F.size("terms").alias("dl"), F.posexplode_outer(F.array_distinct("terms")).alias("at", "term"))
-    once = F.coalesce(F.col("at"), F.lit(0)) == 0
-    return each.groupBy("kb", "term").agg(F.count("term").alias("df"), F.count_if(once).alias("n"), F.sum(F.when(once, F.col("dl")).otherwise(0)).alias("words"))
-
-
-def corpus_stats(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From a term_table: (kb, n, avgdl, mean) and (kb, term, idf); an idf below zero becomes FLOOR times the knowledge
-    base's mean idf."""
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # terms of equal document frequency have equal idf, so the mean needs a row for each frequency only
-    levels = table.groupBy("kb", "df").agg(F.count("term").alias("terms"), F.sum("n").alias("k"), F.sum("words").alias("w"))
-    whole = W.partitionBy("kb")
-    levels = levels.withColumns({"n": F.sum("k").over(whole), "avgdl": F.sum("w").over(whole) / F.sum("k").over(whole)})
-    size = levels.groupBy("kb").agg(F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), (F.sum(raw * F.col("terms")) / F.sum("terms")).alias("mean"))
-    idf = table.filter("term IS NOT NULL").select("kb", "term", "df").join(small(size), "kb")
-    return size, idf.select("kb", "term", F.when(raw < 0, FLOOR * F.col("mean")).otherwise(raw).alias("idf"))
-
-
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = TOP_LEXICAL, pad: bool = False) -> DataFrame:
-    """qid, kb, chunk_id, score, rank: the k best chunks of each knowledge base in the question's scope. A word
-    said twice counts twice. With ``pad``, chunks without a common word follow with score 0, by id.
-
-    Words that nobody asks for leave before anything is shuffled; what is shuffled are counts of asked words."""
-    table = staged(term_table(chunks), "terms")
-    size, idf = corpus_stats(table)
-    asked = questions.select("qid", F.col("kb").alias("scope"), F.explode(analyze(F.col("question"))).alias("term")).groupBy("qid", "scope", "term").agg(F.count("*").alias("times"))
-    asked = staged(asked, "asked")
-    wanted = small(asked.select("term").distinct())
-    found = tokens(chunks).join(wanted, "term").groupBy("kb", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    known = small(idf.join(wanted, "term", "left_semi").join(small(size.select("kb", "avgdl")), "kb"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = found.join(known, ["kb", "term"]).join(small(asked), "term").filter(in_scope(F.col("kb"), F.col("scope")))
-    scored = hits.groupBy("qid", "kb", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * weight), 6).alias("score"))
-    if pad:  # at most k more rows of each knowledge base are ever needed
-        spare = small(top_k(chunks.select("kb", "chunk_id", F.lit(0.0).alias("score")), ["kb"], 2 * k).drop("rank"))
-        own = questions.filter("kb IS NOT NULL").select("qid", "kb").join(spare, "kb")
-        every = questions.filter("kb IS NULL").select("qid").join(spare)  # the stated questions against 2 k rows a knowledge base
-        scored = scored.unionByName(own).unionByName(every).groupBy("qid", "kb", "chunk_id").agg(F.sum("score").alias("score"))
-    return top_k(scored, ["qid", "kb"], k)
+# -- lexical (see lexical.py) ------------------------------------------------------------------------
 
 
 def normalised_by_kb(hits: DataFrame) -> DataFrame:

@@ -7,12 +7,56 @@ created, never changed: a writer that dies leaves the one before in force, and o
 
 from __future__ import annotations
 
+import json
 import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _last_pointer(fs, Path, folder: str) -> tuple[int, str | None]:
+    """From the highest number down to the first pointer that is whole, read through the file system."""
+    path = Path(folder)
+    names = sorted((s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(path) else []
+    for name in names:
+        file = fs.open(Path(f"{folder}/{name}"))
+        text = bytes(file.readAllBytes()).decode()
+        file.close()
+        if text.endswith("\n") and text.strip():
+            return int(names[0]), text.strip()
+    return (int(names[0]) if names else 0), None
+
+
+def _write_pointer(fs, Path, path: str, text: str) -> None:
+    file = fs.create(Path(path), False)  # fails if another writer was first
+    file.write(bytearray(f"{text}\n".encode()))
+    file.close()
+
+
+class Manifest:
+    """One state over several tables: numbered files, created and never changed, of which the last whole one counts. All that a
+    state names is written before, so a publication that fails leaves every table at the state before."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.path, self.Path = path, jvm.org.apache.hadoop.fs.Path
+        self.fs = self.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self) -> dict:
+        text = _last_pointer(self.fs, self.Path, self.path)[1]
+        if text is None:
+            raise LookupError(f"{self.path} has no state")
+        return json.loads(text)
+
+    def switch(self, state: dict, expected: str | None = None) -> None:
+        """Moves to ``state``, a dict with the name ``state``; ``expected`` is the name that must be active until then."""
+        number, now = _last_pointer(self.fs, self.Path, self.path)
+        name = json.loads(now)["state"] if now else None
+        if expected is not None and name != expected:
+            raise ValueError(f"{self.path} is at {name}, not at {expected}")
+        _write_pointer(self.fs, self.Path, f"{self.path}/{number + 1:012d}", json.dumps(state))
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
@@ -28,16 +72,13 @@ class VersionedTable:
             return []
         return sorted(s.getPath().getName().removeprefix("version=") for s in fs.listStatus(Path(self.path)) if s.getPath().getName().startswith("version="))
 
-    def _pointers(self) -> list[tuple[int, str]]:
-        """(number, version) of the whole pointers, the last one first."""
+    def _pointer(self) -> tuple[int, str | None]:
+        """Number and text of the last whole pointer; the number is that of the last file, whole or not."""
         fs, Path = self._fs()
-        folder = Path(f"{self.path}/_active")
-        names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(folder) else []
-        rows = ((int(n), self.spark.read.text(f"{self.path}/_active/{n}").first()) for n in names)
-        return [(n, r.value) for n, r in rows if r and r.value]
+        return _last_pointer(fs, Path, f"{self.path}/_active")
 
     def active(self) -> str | None:
-        return next((version for _, version in self._pointers()), None)
+        return self._pointer()[1]
 
     def read(self) -> DataFrame:
         if (version := self.active()) is None:
@@ -52,12 +93,10 @@ class VersionedTable:
     def switch(self, version: str, expected: str | None = None) -> None:
         """Points readers at a version. ``expected`` is the version that must be active until then (compare and set)."""
         fs, Path = self._fs()
-        number, now = next(iter(self._pointers()), (0, None))
+        number, now = self._pointer()
         if expected is not None and now != expected:
             raise ValueError(f"{self.path} is at {now}, not at {expected}")
-        file = fs.create(Path(f"{self.path}/_active/{number + 1:012d}"), False)  # fails if another writer was first
-        file.write(bytearray(f"{version}\n".encode()))
-        file.close()
+        _write_pointer(fs, Path, f"{self.path}/_active/{number + 1:012d}", version)
 
     def publish(self, df: DataFrame, version: str, expected: int | None = None) -> int:
         """Build, compare the count, switch. A wrong count drops the new version and leaves the active one."""
@@ -76,9 +115,11 @@ class VersionedTable:
 
     def collect_garbage(self, keep: list[str]) -> list[str]:
         """Drops versions that are neither active nor listed."""
-        gone = [v for v in self.versions() if v != self.active() and v not in keep]
+        active = self.active()
+        gone = [v for v in self.versions() if v != active and v not in keep]
+        fs, Path = self._fs()
         for v in gone:
-            self.drop(v)
+            fs.delete(Path(f"{self.path}/version={v}"), True)
         return gone
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import analyze
 from ..functions.vectors import cosine
 from ..operators import retrieval as R
-from ..staging import small
+from ..operators.lexical import PostingsIndex
+from ..staging import new_path, small
 from .registry import query, read
 
 
@@ -55,6 +56,19 @@ def r2_bm25(spark, sf_dir):
     return R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir), 50).filter("rank <= 10").select("qid", "kb", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("k4_stored_postings", f"WITH {BM25} SELECT qid, kb, chunk_id, score, rank FROM bm")
+def k4_stored_postings(spark, sf_dir):
+    """An index of two segments, of which one is then replaced by the segment of a newer version."""
+    index, all_ = PostingsIndex(spark, new_path(spark, "postings")), chunks(spark, sf_dir)
+    revised = F.col("chunk_id") % 10 == 3
+    index.add(all_.filter(~revised), "first")
+    index.add(all_.filter(revised).withColumn("content", F.reverse("content")), "draft")
+    index.publish(["first", "draft"], "one")
+    index.add(all_.filter(revised), "final")
+    index.publish(["first", "final"], "two", expected="one")
+    return index.search(questions(spark, sf_dir)).select("qid", "kb", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("r3_bm25_normalised", f"WITH {BM25}, n AS (SELECT *, max(score) OVER (PARTITION BY qid, kb) AS best FROM bm) SELECT qid, kb, chunk_id, round(score / best, 6) AS score FROM n WHERE best > 0")
 def r3_bm25_normalised(spark, sf_dir):
     return R.normalised_by_kb(R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir), 50)).select("qid", "kb", "chunk_id", "score")
