@@ -1,7 +1,9 @@
 """Exact answers from tables held in chunks: reassembly, cell tests, scoring, counts, totals, lists.
 
-A table is a row: table_id, columns array<string>, rows array<array<string>>, section, source, doc_id, kb.
-Words of a question are given as an array, so any analyzer may make them.
+A table is a head (table_id, kb, doc_id, source, section, columns, n_rows) and cells (table_id, row_no, col, value): a
+sheet of any length is as many rows as it has cells, never an array. Questions meet cells through the distinct
+values that contain one of their words or are contained in one. Words of a question are given as an array, so any
+analyzer may make them. Small tables may also be given whole, as rows of arrays (columns, rows).
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import characters, grams, squash
-from ..staging import small
+from ..functions.text import squash
+from ..staging import staged
+from .substrings import containing
 
 
 @dataclass(frozen=True)
@@ -41,15 +44,34 @@ class TableLexicon:
 DEFAULT = TableLexicon()
 
 
+def assembled(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads and cells of tables from their slices (table_id, row_index, columns, rows, section, source, doc_id, kb): rows are
+    numbered in order of row_index, and cut to the width of the first slice's columns. Cells that a short row lacks are
+    empty. Slices are numbered by their sizes alone; no table is gathered."""
+    slices = staged(parts, "slices")
+    order = W.partitionBy("table_id").orderBy("row_index", F.col("columns").cast("string"), F.xxhash64(F.to_json("rows"))).rowsBetween(W.unboundedPreceding, -1)
+    sized = slices.withColumn("before", F.coalesce(F.sum(F.size("rows")).over(order), F.lit(0)))
+    first = F.min_by(F.struct("columns", "section", "source", "doc_id", "kb"), F.struct("row_index", "before"))
+    heads = sized.groupBy("table_id").agg(first.alias("f"), F.sum(F.size("rows")).alias("n_rows"))
+    heads = staged(heads.select("table_id", "f.kb", "f.doc_id", "f.source", "f.section", "f.columns", "n_rows"), "table-heads")
+    rows = sized.select("table_id", "before", F.posexplode("rows").alias("at", "row")).join(heads.select("table_id", F.size("columns").alias("width")), "table_id")
+    fit = F.slice(F.concat("row", F.array_repeat(F.lit(""), F.col("width"))), F.lit(1), F.col("width"))
+    return heads, rows.select("table_id", (F.col("before") + F.col("at")).alias("row_no"), F.posexplode(fit).alias("col", "value"))
+
+
 def assemble(parts: DataFrame) -> DataFrame:
-    """Tables from their slices (table_id, row_index, columns, rows and what is the same in all slices): rows in order of
-    row_index, each padded or cut to the width of the first slice's columns."""
-    ordered = F.array_sort(F.collect_list(F.struct("row_index", "columns", "rows")))
-    t = parts.groupBy("table_id").agg(ordered.alias("s"), F.min("section").alias("section"), F.min("source").alias("source"), F.min("doc_id").alias("doc_id"), F.min("kb").alias("kb"))
-    t = t.withColumns({"columns": F.col("s")[0]["columns"], "rows": F.flatten(F.transform("s", lambda p: p["rows"]))})
-    n = F.size("columns")
-    fit = F.transform("rows", lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), n)), F.lit(1), n))
-    return t.withColumn("rows", fit).drop("s")
+    """Small tables from their slices as rows of arrays: assembled(), gathered again."""
+    heads, cells_ = assembled(parts)
+    rows = cells_.groupBy("table_id", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]).alias("row"))
+    whole = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda r: r["row"]).alias("rows"))
+    return heads.drop("n_rows").join(whole, "table_id")
+
+
+def as_cells(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads and cells of tables given as rows of arrays (columns, rows)."""
+    full = tables.filter("size(columns) > 0 and size(rows) > 0")
+    heads = full.select("table_id", "kb", "doc_id", "source", "section", "columns", F.size("rows").cast("long").alias("n_rows"))
+    return heads, full.select("table_id", F.posexplode("rows").alias("row_no", "row")).select("table_id", F.col("row_no").cast("long"), F.posexplode("row").alias("col", "value"))
 
 
 def namespaced(table_id: Column, doc_id: Column) -> Column:
@@ -131,87 +153,93 @@ def _parts(section: Column) -> Column:
     return F.filter(F.split(squash(F.coalesce(section, F.lit(""))), r"[/\\]"), lambda p: p != "")
 
 
-def _in_columns(w: Column) -> Column:
-    return F.exists("columns", lambda c: (squash(c) != "") & _either(squash(c), w))
-
-
-def _in_cells(w: Column) -> Column:
-    return F.exists(F.flatten("rows"), lambda c: (F.length(squash(c)) >= 2) & _either(squash(c), w))
-
-
-def table_score(words: Column) -> Column:
-    """8 for each section part, 3 for the file name, 3 for any column, 2 for any cell, per word."""
-    stem = _stem(F.col("source"))
-
-    def one(w: Column) -> Column:
-        parts = F.size(F.filter(_parts(F.col("section")), lambda p: p.contains(w))) * 8
-        return parts + F.when((stem != "") & stem.contains(w), 3).otherwise(0) + F.when(_in_columns(w), 3).otherwise(0) + F.when(_in_cells(w), 2).otherwise(0)
-
-    return F.aggregate(F.filter(words, lambda w: F.length(w) >= 2), F.lit(0), lambda s, w: (s + one(w)).cast("int"))
-
-
-def word_present(w: Column) -> Column:
-    stem = _stem(F.col("source"))
-    return _in_columns(w) | _in_cells(w) | F.exists(_parts(F.col("section")), lambda p: p.contains(w)) | ((stem != "") & stem.contains(w))
-
-
 def sheet_name(section: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(F.coalesce(section, F.lit("")), r"[/\\]"), lambda p: F.trim(p)), lambda p: p != ""), F.lit(-1)), F.lit(""))
 
 
-def subject(words: Column, lex: TableLexicon = DEFAULT) -> Column:
-    """struct(column, value) of the first cell that a specific word names; the name column is searched first."""
-    name = name_column(F.col("columns"), lex)
-    places = F.sequence(F.lit(0), F.size("columns") - 1)
-    order = F.concat(F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<int>")), F.filter(places, lambda i: name.isNull() | (i != name)))
-    specific = F.filter(words, lambda w: ~w.isin(*lex.generic, *lex.units))
-    hit = lambda w, i: F.filter(F.transform(cells(F.col("rows"), i), squash), lambda v: (F.length(v) >= 2) & _either(v, w))
-    found = F.flatten(F.transform(specific, lambda w: F.flatten(F.transform(order, lambda i: F.transform(F.slice(hit(w, i), 1, 1), lambda v: F.struct(i.alias("column"), v.alias("value")))))))
-    return F.get(found, F.lit(0))
-
-
-def answer_tables(questions: DataFrame, tables: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:
+def word_places(words: DataFrame, heads: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the words (word) stand: (word, table_id, points), one row for each kind of place in a table (8 for each section part
+    that contains the word, 3 for the file's name, 3 for the columns and 2 for the cells that contain it or are contained
+    in it); and (word, text) of the cell values among them."""
+    text = squash(F.col("value"))
+    values = staged(cells.select("table_id", text.alias("text")).filter("length(text) >= 2").distinct(), "cell-values")
+    names = heads.select("table_id", F.explode(F.transform("columns", squash)).alias("text")).distinct()
+    parts = heads.select("table_id", F.explode(_parts(F.col("section"))).alias("text")).groupBy("table_id", "text").agg(F.count("*").alias("n"))
+    stems = heads.select("table_id", _stem(F.col("source")).alias("text"))
+    words = words.select("word").distinct()
+    inner = [values.select("text"), names.select("text")]
+    texts = inner[0].unionByName(inner[1]).unionByName(parts.select("text")).unionByName(stems.select("text"))
+    holds = staged(containing(texts, words.select(F.col("word").alias("pattern"))).select("text", F.col("pattern").alias("word")), "texts-of-words")
+    held = containing(words.select(F.col("word").alias("text")), inner[0].unionByName(inner[1]).select(F.col("text").alias("pattern"))).select(F.col("pattern").alias("text"), F.col("text").alias("word"))
+    either = staged(holds.unionByName(held).distinct(), "words-and-texts")
+    # a column's name of one character may stand in a word, which pairs of characters do not tell
+    single = names.filter("length(text) = 1").join(words.select("word", F.explode(F.array_distinct(F.split("word", ""))).alias("text")), "text").select("word", "table_id")
+    near = either.join(names, "text").select("word", "table_id").unionByName(single).distinct()
+    in_cells = either.join(values, "text").select("word", "table_id").distinct()
+    in_parts = holds.join(parts, "text").groupBy("word", "table_id").agg((8 * F.sum("n")).alias("points"))
+    flat = lambda df, n: df.select("word", "table_id", F.lit(n).cast("long").alias("points"))
+    places = in_parts.unionByName(flat(holds.join(stems, "text"), 3)).unionByName(flat(near, 3)).unionByName(flat(in_cells, 2))
+    return staged(places, "word-places"), staged(either.join(values.select("text").distinct(), "text", "left_semi").select("word", "text"), "word-cells")
+
+
+def answer_cells(questions: DataFrame, heads: DataFrame, cells: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:
     """qid, kind, subject, answer, table_id, n_rows for each question (qid, kb, kind, words) that a table answers exactly;
-    no row for any other, which then goes to retrieval. A table is scored for the questions of its scope with which it
-    shares a pair of characters; without one no word can stand in a cell, or hold one."""
-    asked = questions.filter("kind is not null").select("qid", F.col("kb").alias("scope"), "kind", content_words(F.col("words"), lex).alias("words")).filter("size(words) > 0")
-    full = tables.filter("size(columns) > 0 and size(rows) > 0")
-    said = F.flatten(F.transform("words", lambda w: F.concat(grams(w), characters(w))))
-    asked_grams = asked.select("qid", "scope", F.explode(F.array_distinct(said)).alias("gram"))
-    texts = F.concat(F.transform("columns", squash), F.transform(F.flatten("rows"), squash), _parts(F.col("section")), F.array(_stem(F.col("source"))))
-    held = full.select("kb", "table_id", F.explode(F.array_distinct(texts)).alias("text")).select("kb", "table_id", F.explode(grams(F.col("text"))).alias("gram"))
-    near = held.join(small(asked_grams), "gram").filter(F.col("scope").isNull() | (F.col("scope") == F.col("kb"))).select("qid", "kb", "table_id").distinct()
-    pairs = full.join(near, ["kb", "table_id"]).join(small(asked), "qid")
-    pairs = pairs.withColumn("score", table_score(F.col("words"))).filter("score >= 1")
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "table_id")
-    best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1")
-    needed = F.filter("words", lambda x: (F.length(x) >= 3) & ~x.isin(*lex.generic, *lex.units, *lex.stop))
-    best = best.filter(F.forall(needed, lambda x: word_present(x)))
-
-    # a named thing: its cell in the count column, or the number of its rows
-    subj = best.filter("kind = 'count'").withColumn("s", subject(F.col("words"), lex))
-    rows = F.filter("rows", lambda r: squash(F.get(r, F.col("s")["column"])) == F.col("s")["value"])
-    number = F.when((F.size("m") == 1) & F.col("c").isNotNull(), F.coalesce(F.nullif(F.get(F.col("m")[0], F.col("c")), F.lit("")), F.lit("1"))).otherwise(F.size("m").cast("string"))
-    counted = subj.filter("s is not null").withColumns({"m": rows, "c": count_column(F.col("columns"), lex)}).filter("size(m) > 0")
-    counts = counted.select("qid", "kind", F.col("s")["value"].alias("subject"), F.concat(F.col("s")["value"], F.lit(" 数量: "), number).alias("answer"), "table_id", F.size("m").alias("n_rows"))
+    no row for any other, which then goes to retrieval. Tables are scored for the questions of their scope with which they
+    share a word; of the best one only the cells that a question needs are read."""
+    heads = staged(heads.filter("size(columns) > 0 and n_rows > 0").withColumns({"names": name_column(F.col("columns"), lex), "counts": count_column(F.col("columns"), lex)}), "heads")
+    cells = cells.join(heads.select("table_id"), "table_id", "left_semi")
+    asked = staged(questions.filter("kind is not null").select("qid", F.col("kb").alias("scope"), "kind", content_words(F.col("words"), lex).alias("words")).filter("size(words) > 0"), "asked")
+    said = asked.select("qid", "scope", "kind", "words", F.posexplode("words").alias("at", "word"))
+    places, values = word_places(said.select("word"), heads, cells)
+    met = said.select("qid", "scope", "at", "word").join(places, "word").join(heads.select("table_id", "kb"), "table_id").filter(F.col("scope").isNull() | (F.col("scope") == F.col("kb")))
+    found = staged(met.groupBy("qid", "table_id", "at", "word").agg(F.sum("points").alias("points")), "word-points")
+    scores = found.groupBy("qid", "table_id").agg(F.sum("points").alias("score"))
+    best = scores.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "table_id")).alias("x")).select("qid", F.col("x.table_id").alias("table_id"))
+    needed = said.filter((F.length("word") >= 3) & ~F.col("word").isin(*lex.generic, *lex.units, *lex.stop)).select("qid", "at")
+    lacking = needed.join(best, "qid").join(found, ["qid", "table_id", "at"], "left_anti").select("qid").distinct()
+    best = best.join(lacking, "qid", "left_anti").join(asked.select("qid", "kind", "words"), "qid").join(heads.select("table_id", "doc_id", "columns", "names", "counts"), "table_id")
+    best = staged(best, "best-tables")
+
+    # a named thing: the first specific word that names a cell, in the column of names if there; its cell in the count
+    # column, or the number of its rows
+    own = best.select("qid", "table_id", "kind", "names", "counts", F.posexplode("words").alias("at", "word"))
+    specific = own.filter((F.col("kind") == "count") & ~F.col("word").isin(*lex.generic, *lex.units))
+    normal = cells.select("table_id", "row_no", "col", squash(F.col("value")).alias("text"), "value")
+    hits = specific.join(values, "word").join(normal, ["table_id", "text"])
+    order = F.struct("at", F.when(F.col("col") == F.col("names"), -1).otherwise(F.col("col")), "row_no")
+    named = staged(hits.groupBy("qid", "table_id", "counts").agg(F.min_by(F.struct("col", "text"), order).alias("s")).select("qid", "table_id", "counts", "s.col", "s.text"), "subjects")
+    rows = named.join(normal.drop("value"), ["table_id", "col", "text"]).groupBy("qid", "table_id", "counts", "text").agg(F.count("*").alias("n"), F.min("row_no").alias("row_no"))
+    one = cells.select("table_id", "row_no", F.col("col").alias("counts"), "value")
+    told = rows.join(one, ["table_id", "row_no", "counts"], "left")
+    number = F.when((F.col("n") == 1) & F.col("counts").isNotNull(), F.coalesce(F.nullif("value", F.lit("")), F.lit("1"))).otherwise(F.col("n").cast("string"))
+    counts = told.select("qid", F.lit("count").alias("kind"), F.col("text").alias("subject"), F.concat("text", F.lit(" 数量: "), number).alias("answer"), "table_id", F.col("n").cast("int").alias("n_rows"))
 
     # no named thing: rows of one named sheet, else of all sheets of the best table's document
-    open_ = subj.filter("s is null").select("qid", F.col("doc_id").alias("anchor"))
-    pool = pairs.join(open_, "qid").withColumn("unit", F.get(F.filter("words", lambda x: x.isin(*lex.units) & word_present(x)), F.lit(0)))
-    unit = pool.groupBy("qid").agg(F.min_by("unit", F.when(F.col("unit").isNotNull(), F.array_position("words", F.col("unit")))).alias("u"))
-    pool = pool.join(unit, "qid").filter(word_present(F.col("u")))
-    named = F.exists(F.filter("words", lambda x: (x != F.col("u")) & ~x.isin(*lex.containers)), lambda x: sheet_name(F.col("section")).contains(x))
-    pool = pool.withColumn("named", named).withColumn("n_named", F.count_if("named").over(W.partitionBy("qid")))
-    aim = pool.filter(F.when(F.col("n_named") == 1, F.col("named")).otherwise(F.col("doc_id") == F.col("anchor")))
-    total = aim.groupBy("qid", "kind", F.col("u").alias("subject")).agg(F.sum(F.size("rows")).cast("int").alias("n_rows"), F.min("table_id").alias("table_id"))
-    totals = total.filter("n_rows > 0").select("qid", "kind", "subject", F.concat("subject", F.lit(" 总数: "), "n_rows").alias("answer"), "table_id", "n_rows")
+    open_ = best.filter("kind = 'count'").join(named.select("qid"), "qid", "left_anti").select("qid", F.col("doc_id").alias("anchor"))
+    units = found.join(open_, "qid").filter(F.col("word").isin(*lex.units))
+    unit = units.groupBy("qid").agg(F.min_by("word", "at").alias("u"))
+    pool = units.join(unit, "qid").filter("word = u").select("qid", "anchor", "table_id", "u").join(heads.select("table_id", "doc_id", "section", F.col("n_rows").alias("rows")), "table_id").join(asked.select("qid", "words"), "qid")
+    says = F.exists(F.filter("words", lambda x: (x != F.col("u")) & ~x.isin(*lex.containers)), lambda x: sheet_name(F.col("section")).contains(x))
+    pool = staged(pool.withColumn("named", says).drop("words", "section"), "sheets")
+    n_named = pool.groupBy("qid").agg(F.count_if("named").alias("n_named"))
+    aim = pool.join(n_named, "qid").filter(F.when(F.col("n_named") == 1, F.col("named")).otherwise(F.col("doc_id") == F.col("anchor")))
+    total = aim.groupBy("qid", F.col("u").alias("subject")).agg(F.sum("rows").cast("int").alias("n_rows"), F.min("table_id").alias("table_id"))
+    totals = total.select("qid", F.lit("count").alias("kind"), "subject", F.concat("subject", F.lit(" 总数: "), "n_rows").alias("answer"), "table_id", "n_rows")
 
     # a list: the names, of rows with the first specific word that occurs among them
-    lists = best.filter("kind = 'enum'").withColumn("c", name_column(F.col("columns"), lex)).filter("c is not null")
-    picks = F.filter("words", lambda x: (F.length(x) >= 3) & ~x.isin(*lex.generic) & F.exists("rows", lambda r: squash(F.get(r, F.col("c"))).contains(x)))
-    lists = lists.withColumn("pick", F.get(picks, F.lit(0)))
-    lists = lists.withColumn("m", F.filter("rows", lambda r: F.col("pick").isNull() | squash(F.get(r, F.col("c"))).contains(F.col("pick"))))
-    values = F.array_distinct(F.filter(cells(F.col("m"), F.col("c")), lambda v: v != ""))
-    text = F.concat(F.when(F.col("pick").isNotNull(), F.concat("pick", F.lit(" 相关: "))).otherwise(""), F.array_join(values, lex.list_comma))
-    enums = lists.filter(F.size(values) > 0).select("qid", "kind", F.get("columns", F.col("c")).alias("subject"), text.alias("answer"), "table_id", F.size("m").alias("n_rows"))
+    lists = best.filter("kind = 'enum' AND names IS NOT NULL").select("qid", "table_id", "names", "columns", "words")
+    listed = staged(lists.join(normal, "table_id").filter("col = names").select("qid", "table_id", "columns", "names", "words", "row_no", "text", "value"), "listed")
+    picks = F.filter("words", lambda x: (F.length(x) >= 3) & ~x.isin(*lex.generic) & F.contains("text", x))
+    first = listed.select("qid", F.explode(F.transform(picks, lambda x: F.struct(F.array_position("words", x).alias("at"), x.alias("word")))).alias("p")).groupBy("qid").agg(F.min("p").alias("p"))
+    chosen = listed.join(first.select("qid", F.col("p.word").alias("pick")), "qid", "left").filter(F.col("pick").isNull() | F.contains("text", "pick"))
+    each = chosen.groupBy("qid", "table_id", F.get("columns", F.col("names")).alias("subject"), "pick", "value").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n"))
+    values_ = F.transform(F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct("row_no", "value")))), lambda x: x["value"])  # the answer itself
+    text = F.concat(F.when(F.col("pick").isNotNull(), F.concat("pick", F.lit(" 相关: "))).otherwise(""), F.array_join("names", lex.list_comma))
+    enums = each.groupBy("qid", "table_id", "subject", "pick").agg(values_.alias("names"), F.sum("n").cast("int").alias("n_rows")).filter("size(names) > 0")
+    enums = enums.select("qid", F.lit("enum").alias("kind"), "subject", text.alias("answer"), "table_id", "n_rows")
     return counts.unionByName(totals).unionByName(enums)
+
+
+def answer_tables(questions: DataFrame, tables: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:
+    """answer_cells() for tables given as rows of arrays."""
+    return answer_cells(questions, *as_cells(tables), lex)

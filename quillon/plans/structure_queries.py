@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,7 +15,6 @@ from ..operators import tables as T
 from ..operators import understanding as U
 from ..sources import readers
 from . import retrieval_queries as RQ
-from ..staging import small
 from .registry import query, read
 
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -103,38 +103,80 @@ def r12_follow_ups(spark, sf_dir):
     return U.rewritten(users).select("conv_id", "turn", "search_text")
 
 
-def _part_rows(spark, sf_dir):
-    """The part table as the rows of one spreadsheet a brand; a table is never held as one array."""
-    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("table_id"), "p_name", "p_type", "p_size")
+#: Words of the sheets that the part table is read as.
+SHEETS = T.TableLexicon(name_columns=("name",), count_columns=("size",), generic=("parts", "sheet"), units=("parts",), containers=("sheet",), stop=())
 
 
-@query("x4_assembled_tables", "SELECT p_brand AS table_id, count(*) AS n_rows, count(DISTINCT p_type) AS n_types FROM part GROUP BY p_brand")
+def _sheets(spark, sf_dir):
+    """The part table as a spreadsheet of one sheet a brand: heads and cells."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("table_id"), "p_name", "p_type", F.col("p_size").cast("string").alias("size"))
+    heads = rows.groupBy("table_id").agg(F.count("*").alias("n_rows")).select(
+        "table_id", F.lit("part").alias("kb"), F.lit(1).alias("doc_id"), F.lit("parts.xlsx").alias("source"), F.concat(F.lit("parts.xlsx / "), "table_id").alias("section"),
+        F.array(F.lit("name"), F.lit("type"), F.lit("size")).alias("columns"), "n_rows",
+    )
+    return heads, rows.select("table_id", F.col("p_partkey").alias("row_no"), F.posexplode(F.array("p_name", "p_type", "size")).alias("col", "value"))
+
+
+CELLS = "c AS (SELECT p_brand AS t, p_partkey AS k, col, v, replace(v, ' ', '') AS x FROM (SELECT p_brand, p_partkey, unnest([0, 1, 2]) AS col, unnest([p_name, p_type, CAST(p_size AS VARCHAR)]) AS v FROM part)), n AS (SELECT DISTINCT t, x FROM c WHERE length(x) >= 2)"
+POINTS = """8 * CAST(contains(t, w) AS INT) + 8 * CAST(contains('parts.xlsx', w) AS INT) + 3 * CAST(contains('parts', w) AS INT)
++ 3 * CAST(list_bool_or([contains(h, w) OR contains(w, h) FOR h IN ['name', 'type', 'size']]) AS INT) + 2 * CAST(EXISTS (SELECT 1 FROM n WHERE n.t = tabs.t AND (contains(x, w) OR contains(w, x))) AS INT)"""
+
+
+def answers_sql(questions: str) -> str:
+    """Answers to questions (qid, kind, ws: list of words) from the sheets, said by comparing all with all."""
+    return f"""WITH {CELLS}, tabs AS (SELECT p_brand AS t, count(*) AS rows FROM part GROUP BY 1), q AS ({questions}),
+d AS (SELECT DISTINCT ws FROM q), w AS (SELECT ws, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM d),
+pw AS (SELECT w, t, {POINTS} AS p FROM (SELECT DISTINCT w FROM w) CROSS JOIN tabs), f AS (SELECT ws, pos, w.w, t, p FROM w JOIN pw USING (w) WHERE p > 0),
+s AS (SELECT ws, t, sum(p) AS s FROM f GROUP BY ALL), b0 AS (SELECT ws, arg_min(t, (-s, t)) AS t FROM s GROUP BY ws),
+b AS (SELECT * FROM b0 WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.ws = b0.ws AND length(w) >= 3 AND w NOT IN ('parts', 'sheet') AND NOT EXISTS (SELECT 1 FROM f WHERE f.ws = w.ws AND f.pos = w.pos AND f.t = b0.t))),
+j AS (SELECT b.ws, b.t, arg_min((col, x), (pos, col, k)) AS s FROM b JOIN w ON w.ws = b.ws AND w.w NOT IN ('parts', 'sheet') JOIN c ON c.t = b.t AND length(x) >= 2 AND (contains(x, w.w) OR contains(w.w, x)) GROUP BY ALL),
+m AS (SELECT j.ws, j.t, s[2] AS x, count(*) AS n, min(k) AS k FROM j JOIN c ON c.t = j.t AND c.col = s[1] AND c.x = s[2] GROUP BY ALL),
+a1 AS (SELECT m.ws, 'count' AS kind, m.x AS subject, m.x || ' 数量: ' || CASE WHEN n = 1 THEN coalesce(nullif(v, ''), '1') ELSE CAST(n AS VARCHAR) END AS answer, m.t AS table_id, CAST(n AS INT) AS n_rows FROM m LEFT JOIN c ON c.t = m.t AND c.k = m.k AND c.col = 2),
+z AS (SELECT f.ws, f.t, tabs.rows, EXISTS (SELECT 1 FROM w WHERE w.ws = f.ws AND w.w NOT IN ('parts', 'sheet') AND contains(f.t, w.w)) AS named FROM f JOIN b USING (ws) JOIN tabs ON tabs.t = f.t WHERE f.w = 'parts' AND f.ws NOT IN (SELECT ws FROM j)),
+a2 AS (SELECT ws, 'count' AS kind, 'parts' AS subject, 'parts 总数: ' || sum(rows) AS answer, min(t) AS table_id, CAST(sum(rows) AS INT) AS n_rows FROM z WHERE named OR (SELECT count(*) FROM z y WHERE y.ws = z.ws AND y.named) <> 1 GROUP BY ws),
+r AS (SELECT b.ws, b.t, arg_min(w, pos) AS pick FROM b JOIN w ON w.ws = b.ws AND length(w) >= 3 AND w NOT IN ('parts', 'sheet') JOIN c ON c.t = b.t AND col = 0 AND contains(x, w) GROUP BY ALL),
+l AS (SELECT b.ws, b.t, pick, v, min(k) AS k, count(*) AS n FROM b LEFT JOIN r ON r.ws = b.ws JOIN c ON c.t = b.t AND col = 0 AND (pick IS NULL OR contains(x, pick)) GROUP BY ALL),
+a3 AS (SELECT ws, 'enum' AS kind, 'name' AS subject, coalesce(pick || ' 相关: ', '') || string_agg(v, '、' ORDER BY k) AS answer, t AS table_id, CAST(sum(n) AS INT) AS n_rows FROM l GROUP BY ws, t, pick),
+a AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)
+SELECT qid, q.kind, subject, answer, table_id, n_rows FROM q JOIN a ON a.ws = q.ws AND a.kind = q.kind"""
+
+
+@query("x4_assembled_tables", "SELECT p_brand AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_no, unnest([0, 1, 2]) AS col, unnest([p_name, p_type, CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END]) AS value FROM part")
 def x4_assembled_tables(spark, sf_dir):
-    return _part_rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n_rows"), F.count_distinct("p_type").alias("n_types"))
+    """Sheets cut into slices of 16 keys, in which some rows lack their last cell."""
+    rows = read(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("string"))
+    row = F.when(F.col("p_size") % 7 == 0, F.array("p_name", "p_type")).otherwise(F.array("p_name", "p_type", "size"))
+    slices = rows.groupBy(F.col("p_brand").alias("table_id"), F.floor(F.col("p_partkey") / 16).alias("row_index")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("rows"))
+    parts = slices.select("table_id", "row_index", F.array(F.lit("name"), F.lit("type"), F.lit("size")).alias("columns"), F.transform("rows", lambda r: r["row"]).alias("rows"), F.lit("s").alias("section"), F.lit("f").alias("source"), F.lit(1).alias("doc_id"), F.lit("k").alias("kb"))
+    return T.assembled(parts)[1].withColumns({"row_no": F.col("row_no").cast("long"), "col": F.col("col").cast("int")})
 
 
-@query("x9_table_scores", "SELECT q.p_brand AS brand, t.p_brand AS table_id, CASE WHEN contains(t.p_brand, q.p_brand) THEN 8 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM (SELECT p_brand, unnest([replace(p_name, ' ', ''), replace(p_type, ' ', ''), CAST(p_size AS VARCHAR)]) AS c FROM part) p WHERE p.p_brand = t.p_brand AND length(c) >= 2 AND (contains(c, q.p_brand) OR contains(q.p_brand, c))) THEN 2 ELSE 0 END AS score FROM (SELECT DISTINCT p_brand FROM part) q CROSS JOIN (SELECT DISTINCT p_brand FROM part) t")
+@query("x9_table_scores", f"WITH {CELLS}, tabs AS (SELECT DISTINCT p_brand AS t FROM part) SELECT w AS brand, t AS table_id, {POINTS} AS score FROM (SELECT DISTINCT p_brand AS w FROM part) CROSS JOIN tabs WHERE {POINTS} > 0")
 def x9_table_scores(spark, sf_dir):
-    rows = _part_rows(spark, sf_dir)
-    heads = rows.select("table_id").distinct().select(
-        "table_id", F.array(F.lit("名称"), F.lit("类型"), F.lit("数量")).alias("columns"), F.array().cast("array<array<string>>").alias("rows"),
-        F.concat(F.lit("parts.xlsx / "), "table_id").alias("section"), F.lit("parts.xlsx").alias("source"),
-    )
-    asked = rows.select(F.col("table_id").alias("brand")).distinct()  # brands are a fixed list
-    cells = rows.select("table_id", F.explode(F.array("p_name", "p_type", F.col("p_size").cast("string"))).alias("c")).distinct().withColumn("c", X.squash(F.col("c"))).filter("length(c) >= 2")
-    word = X.squash(F.col("brand"))
-    hits = cells.join(small(asked), (F.length(word) >= 2) & (F.col("c").contains(word) | word.contains(F.col("c")))).groupBy("brand", "table_id").agg(F.lit(2).alias("in_cells"))
-    scored = heads.join(small(asked)).select("brand", "table_id", T.table_score(F.array(word)).alias("rest"))
-    return scored.join(hits, ["brand", "table_id"], "left").select("brand", "table_id", (F.col("rest") + F.coalesce("in_cells", F.lit(0))).alias("score"))
+    heads, cells = _sheets(spark, sf_dir)
+    places, _ = T.word_places(heads.select(F.col("table_id").alias("word")), heads, cells)
+    return places.groupBy(F.col("word").alias("brand"), "table_id").agg(F.sum("points").cast("int").alias("score"))
 
 
-@query("x11_counts", "SELECT p_partkey AS qid, p_name || ' 数量: ' || CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) = 1 THEN CAST(p_size AS VARCHAR) ELSE CAST(count(*) OVER (PARTITION BY p_brand, p_name) AS VARCHAR) END AS answer FROM part")
+@query("x11_counts", answers_sql("SELECT p_partkey AS qid, 'count' AS kind, [replace(p_name, ' ', ''), p_brand] AS ws FROM part"))
 def x11_counts(spark, sf_dir):
-    rows = _part_rows(spark, sf_dir).withColumn("name", X.squash(F.col("p_name")))
-    found = rows.groupBy("table_id", "name").agg(F.count("*").alias("n"), F.min("p_size").alias("size"))
-    number = F.when(F.col("n") == 1, F.col("size").cast("string")).otherwise(F.col("n").cast("string"))
-    same = F.col("r.table_id").eqNullSafe(F.col("f.table_id")) & F.col("r.name").eqNullSafe(F.col("f.name"))
-    return rows.alias("r").join(found.alias("f"), same).select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" 数量: "), number).alias("answer"))
+    """How many of each part's name its sheet has, asked once for each part."""
+    asked = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.lit("part").alias("kb"), F.lit("count").alias("kind"), F.array(X.squash(F.col("p_name")), "p_brand").alias("words"))
+    return T.answer_cells(asked, *_sheets(spark, sf_dir), lex=SHEETS)
+
+
+ASKED = [("count", ["parts"]), ("enum", ["ring"]), ("enum", []), ("count", ["absent", "parts"]), ("enum", ["parts", "sheet"])]
+ASKED_SQL = " UNION ALL ".join(f"SELECT CAST(row_number() OVER (ORDER BY p_brand) * 10 + {i} AS BIGINT) AS qid, '{kind}' AS kind, list_concat([p_brand], {words or 'CAST([] AS VARCHAR[])'}) AS ws FROM (SELECT DISTINCT p_brand FROM part)" for i, (kind, words) in enumerate(ASKED))
+
+
+@query("x14_sheet_answers", answers_sql(ASKED_SQL))
+def x14_sheet_answers(spark, sf_dir):
+    """Totals and lists of each brand's sheet, and questions that no sheet answers."""
+    heads, cells = _sheets(spark, sf_dir)
+    number = F.row_number().over(W.orderBy("table_id"))  # of the sheets
+    asked = heads.select("table_id", number.alias("i")).select("table_id", "i", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(kind).alias("kind"), F.array(*(F.lit(w) for w in words)).cast("array<string>").alias("more")) for j, (kind, words) in enumerate(ASKED)))).alias("a"))
+    asked = asked.select((F.col("i") * 10 + F.col("a.j")).cast("long").alias("qid"), F.lit("part").alias("kb"), "a.kind", F.concat(F.array("table_id"), "a.more").alias("words"))
+    return T.answer_cells(asked, heads, cells, SHEETS)
 
 
 def _cache(spark, sf_dir):

@@ -1,11 +1,15 @@
 """Literals of the table channel and of question understanding."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.operators import tables as T
 from quillon.operators import understanding as U
+from quillon.operators.substrings import containing
 
 
 def value(spark, column, **row):
@@ -118,9 +122,45 @@ def test_text_functions(spark):
     assert len(value(spark, X.hash_embedding(F.col("s")), s="x")) == 64
 
 
+def test_slices_are_numbered_without_gathering_a_table(spark):
+    schema = "table_id string, row_index int, columns array<string>, rows array<array<string>>, section string, source string, doc_id int, kb string"
+    rows = [("t", i, ["a", "b"] if i else ["a", "b", "c"], [[f"{i}.{j}", "x", "y", "z"][: 1 + j % 4] for j in range(i % 5)], f"s{i}", "f", i, "k") for i in range(40)]
+    heads, cells = T.assembled(spark.createDataFrame(rows, schema).repartition(3))
+    want = [(r + [""] * 3)[:3] for _, _, _, own, *_ in rows for r in own]
+    got = sorted((r.row_no, r.col, r.value) for r in cells.collect())
+    assert got == [(n, c, v) for n, r in enumerate(want) for c, v in enumerate(r)]
+    head = heads.first()
+    assert head.columns == ["a", "b", "c"] and head.section == "s0" and head.n_rows == len(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_containing_equals_all_with_all(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abac漢😀 ", k=rng.choice([0, 1, 2, 3, 5, 9])))
+    texts, patterns = [word() for _ in range(300)] + [None], [word() for _ in range(80)] + [None]
+    got = containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(t, p) for t in texts if t for p in patterns if p and len(p) >= 2 and p in t}
+
+
+def test_a_frequent_pair_is_no_key_for_patterns_with_a_rarer_one(spark):
+    texts = spark.createDataFrame([(f"ab{i}",) for i in range(500)], "text string")
+    patterns = spark.createDataFrame([(f"ab{i}",) for i in range(0, 500, 10)], "pattern string")
+    found = containing(texts, patterns)
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*\(gram#\d+ = gram#\d+\)", joined)
+    assert found.count() == sum(str(j).startswith(str(i)) for i in range(0, 500, 10) for j in range(500))
+
+
 def test_table_queries_hold_no_table_as_an_array(spark, sf):
     from quillon import plans
 
-    for name in ("x4_assembled_tables", "x9_table_scores", "x11_counts"):
+    for name in ("x9_table_scores", "x11_counts", "x14_sheet_answers"):
         plan = plans.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-        assert "collect_list" not in plan
+        assert "array<array<string>>" not in plan and plan.count("collect_list") <= (name != "x9_table_scores")  # the list that is the answer
+
+
+def test_empty_tables_and_questions(spark, tables):
+    asked = spark.createDataFrame([(1, None, "count", ["水泵", "多少"]), (2, None, None, ["水泵"]), (3, None, "enum", None)], "qid int, kb string, kind string, words array<string>")
+    assert [r.answer for r in T.answer_tables(asked, tables).collect()] == ["水泵 数量: 2"]
+    assert T.answer_tables(asked, tables.limit(0)).count() == 0 == T.answer_tables(asked.limit(0), tables).count()
