@@ -118,8 +118,11 @@ def cited_pieces(answer: Column, n_sources: Column) -> Column:
 def grams(text: Column) -> Column:
     """Pairs of neighbouring characters, each once; a single character is its own. A text that holds another one of two
     characters or more has all of its pairs."""
-    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(F.length(text) > 0, F.array_distinct(pair)).otherwise(F.array().cast("array<string>"))
+    one = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    # by a list of the characters, as finding each in a long text by its place takes time by the square of its length
+    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+    pair = F.transform(F.array(one), pairs)[0]
+    return F.when(F.length(text) > 1, F.array_distinct(pair)).when(F.length(text) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def characters(text: Column) -> Column:

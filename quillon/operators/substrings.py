@@ -18,9 +18,21 @@ from ..staging import small, staged
 def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text, pattern), each once, of texts (text) that contain patterns (pattern) of two characters or more."""
     held = staged(texts.select("text").filter("length(text) >= 2").distinct().select("text", F.explode(grams(F.col("text"))).alias("gram")), "text-pairs")
+    return held.join(small(_filed(held, patterns)), "gram").filter(F.contains("text", "pattern")).select("text", "pattern")
+
+
+def holders(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern), each once, as containing() for long texts (id, text), equal ids being one text: only their ids travel with
+    their pairs of characters, and a text is read once more for the patterns it may hold."""
+    held = staged(texts.select("id", F.explode(grams(F.col("text"))).alias("gram")), "text-pairs")
+    met = held.join(small(_filed(held, patterns)), "gram").select("id", "pattern")
+    return texts.select("id", "text").join(met, "id").filter(F.contains("text", "pattern")).select("id", "pattern").distinct()
+
+
+def _filed(held: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, gram): each pattern's rarest pair of characters among those ``held``."""
     often = held.groupBy("gram").agg(F.count("*").alias("n"))
     own = patterns.select("pattern").filter("length(pattern) >= 2").distinct().select("pattern", F.explode(grams(F.col("pattern"))).alias("gram"))
     # a pattern with a pair that no text has is in none of them
     rated = own.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    filed = rated.groupBy("pattern").agg(F.min(F.struct("n", "gram")).alias("x")).filter("x.n > 0").select("pattern", F.col("x.gram").alias("gram"))
-    return held.join(small(filed), "gram").filter(F.contains("text", "pattern")).select("text", "pattern")
+    return rated.groupBy("pattern").agg(F.min(F.struct("n", "gram")).alias("x")).filter("x.n > 0").select("pattern", F.col("x.gram").alias("gram"))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import characters, grams, strip
-from ..staging import small
+from ..functions.text import characters, strip
+from .substrings import containing
 
 
 @dataclass(frozen=True)
@@ -123,17 +123,19 @@ def rewritten(messages: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
 def named_documents(questions: DataFrame, documents: DataFrame, lex: Lexicon = DEFAULT, least_ratio: float = 0.4) -> DataFrame:
     """qid, doc_id: documents (doc_id, filename, kb) that a question (qid, question, kb) names, at most one a candidate. An
     exact name comes first, then the mutual substring with the best ratio of lengths, then the smaller id. Names and
-    documents meet by a shared pair of characters, which a mutual substring always has."""
+    documents meet by the rarest pair of characters of the shorter one."""
     titles = F.regexp_extract_all("question", F.lit("《([^《》]{2,80})》"), F.lit(1))
     pieces = F.transform(F.split("question", lex.inside), lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), lex.document_lead, ""), "[《》]", ""))
     names = F.array_distinct(F.concat(F.transform(titles, lambda t: F.trim(t)), F.filter(pieces, lambda p: F.length(p).between(2, 40) & ~p.isin(*lex.document_words))))
     asked = questions.select("qid", F.col("kb").alias("scope"), F.explode(names).alias("name"))
     stem = F.regexp_replace("filename", lex.extensions, "")
     docs = documents.select("doc_id", "kb", stem.alias("stem"))
-    said = asked.select("qid", "scope", "name", F.explode(F.array_distinct(F.concat(grams(F.col("name")), characters(F.col("name"))))).alias("gram"))
-    near = docs.select("doc_id", "kb", "stem", F.explode(grams(F.col("stem"))).alias("gram")).join(small(said), "gram").drop("gram").distinct()
-    inside = F.col("stem").contains(F.col("name")) | F.col("name").contains(F.col("stem"))
-    both = near.filter((F.col("scope").isNull() | (F.col("scope") == F.col("kb"))) & inside)
+    named, stems = asked.select("name").distinct(), docs.select("stem").distinct()
+    wide = containing(stems.select(F.col("stem").alias("text")), named.select(F.col("name").alias("pattern"))).select(F.col("text").alias("stem"), F.col("pattern").alias("name"))
+    narrow = containing(named.select(F.col("name").alias("text")), stems.select(F.col("stem").alias("pattern"))).select(F.col("pattern").alias("stem"), F.col("text").alias("name"))
+    single = named.select("name", F.explode(characters(F.col("name"))).alias("stem")).join(stems.filter("length(stem) = 1"), "stem").select("stem", "name")
+    met = wide.unionByName(narrow).unionByName(single).distinct()
+    both = asked.join(met, "name").join(docs, "stem").filter(F.col("scope").isNull() | (F.col("scope") == F.col("kb")))
     ratio = F.least(F.length("stem"), F.length("name")) / F.greatest(F.length("stem"), F.length("name"))
     scored = both.withColumn("ratio", F.when(F.col("stem") == F.col("name"), 2.0).otherwise(ratio)).filter(F.col("ratio") >= least_ratio)
     best = scored.groupBy("qid", "name").agg(F.max_by("doc_id", F.struct("ratio", (-F.col("doc_id")).alias("i"))).alias("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fixture_queries, relational_queries, retrieval_queries, structure_queries  # noqa: F401
+from . import derived_queries, relational_queries, retrieval_queries, structure_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

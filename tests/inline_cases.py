@@ -1,4 +1,4 @@
-"""Operators on text of the domain that the given tables have none of: small inline tables of Chinese documents.
+"""Cases of operators on text of the domain that the given tables have none of: small inline tables of Chinese documents.
 
 Where SQL can say the rule, the oracle computes it from the same rows. Where it cannot, the oracle states the rows that
 follow from the rule, written out by hand.
@@ -9,20 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..operators import answers as A
-from ..operators import chunking as C
-from ..operators import evaluation as E
-from ..operators import layout as L
-from ..operators import memory as M
-from ..operators import relational as Q
-from ..operators import retrieval as R
-from ..operators import store as D
-from ..operators import structure as S
-from ..operators import tables as T
-from ..operators import understanding as U
-from ..sources import readers
-from .registry import query
+from quillon.functions import text as X
+from quillon.operators import answers as A
+from quillon.operators import chunking as C
+from quillon.operators import evaluation as E
+from quillon.operators import layout as L
+from quillon.operators import memory as M
+from quillon.operators import relational as Q
+from quillon.operators import retrieval as R
+from quillon.operators import store as D
+from quillon.operators import structure as S
+from quillon.operators import tables as T
+from quillon.operators import understanding as U
+from quillon.sources import readers
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(name, sql):
+    """Keeps a case (spark, sf_dir) -> DataFrame and the SQL of its rows."""
+
+    def add(fn):
+        QUERIES[name], ORACLE[name] = fn, sql
+        return fn
+
+    return add
+
 
 KINDS = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quillon import plans
+from tests import inline_cases
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,11 +29,9 @@ def plain(v):
     return v.isoformat() if isinstance(v, (date, datetime)) else v
 
 
-@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
-def test_query_equals_its_sql(spark, sf, duck, name):
-    df = plans.queries()[name](spark, sf)
+def same(df, duck, sql):
     cols = sorted(df.columns)
-    want = duck.execute(plans.oracle_sql()[name])
+    want = duck.execute(sql)
     names = [d[0] for d in want.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
@@ -40,6 +39,16 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    same(plans.queries()[name](spark, sf), duck, plans.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(inline_cases.QUERIES))
+def test_inline_case(spark, sf, duck, name):
+    same(inline_cases.QUERIES[name](spark, sf), duck, inline_cases.ORACLE[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_runs(spark, sf, name):
     df = plans.queries()[name](spark, sf)
