@@ -232,9 +232,11 @@ class ShardReader:
 
 
 def write_shards(documents: DataFrame, directory: str, vocabulary: str, block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> DataFrame:
-    """Encodes and writes all documents; returns a stored manifest (shard, path, n_ids)."""
+    """Encodes and writes all documents; returns a stored manifest (shard, path, n_ids). Documents of equal or null id are dealt to
+    shards by the hash of their text, so such an id may hold any share of the rows; only rows equal in both stay together."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    hashed = rows.withColumn("h", F.xxhash64("text"))  # the text itself would be in the sample that ranges are cut from
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx, enc = TaskContext.get(), encoder(vocabulary)

@@ -486,6 +486,22 @@ def test_packed_documents(spark, odd, real, empty, library):
     assert packing.read_shards(packing.write_shards(empty, directory, bpe.default_vocabulary()), directory).count() == 0
 
 
+def test_documents_of_one_id_are_in_several_shards(spark, library):
+    rows = [(None if k % 2 else 5, f"text {k} {'x ' * (k % 50)}", "shard", k, 1.5) for k in range(600)] + [(1, None, "a", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, start long, shard double")  # names of its own columns
+    directory = packing.new_path(spark, "t")
+    manifest = packing.write_shards(df, directory, bpe.default_vocabulary())
+    assert manifest.count() >= 3
+    got = sorted(packing.read_shards(manifest, directory).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    crcs = lambda own: sorted((k is not None, k or 0, c) for k, c in own)
+    assert crcs((r.doc_id, r.ids_crc32) for r in got) == crcs((k, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for k, t, *_ in rows)
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
