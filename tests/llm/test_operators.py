@@ -490,7 +490,9 @@ def test_documents_of_one_id_are_in_several_shards(spark, library):
     rows = [(None if k % 2 else 5, f"text {k} {'x ' * (k % 50)}", "shard", k, 1.5) for k in range(600)] + [(1, None, "a", 0, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string, start long, shard double")  # names of its own columns
     directory = packing.new_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would make one shard of so few rows
     manifest = packing.write_shards(df, directory, bpe.default_vocabulary())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() >= 3
     got = sorted(packing.read_shards(manifest, directory).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
