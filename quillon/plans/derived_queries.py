@@ -17,6 +17,7 @@ from ..operators import store as D
 from ..operators import structure as S
 from ..operators import understanding as U
 from ..sources import readers
+from ..streaming.jobs import job_stages, live_entries, run_to_end
 from .registry import query, read
 
 STRIPPED = r"regexp_replace(line, '^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '')"
@@ -170,6 +171,46 @@ def m6_embedding_cache(spark, sf_dir):
     return M.store_cached(rows, fresh, F.lit("2024-01-01").cast("timestamp"), cap=50).select("id")
 
 
+#: A year; the query's own leases do not run out.
+LEASE = 31_536_000
+STEP = """{'ms': x.ms, 'ev': x.ev, 'lease': CASE WHEN s.stage = 'queued' AND x.ev = 'claim' OR s.stage = 'running' AND (x.ev = 'heartbeat' OR x.ev = 'border' AND NOT s.p) THEN x.ms + 31536000000 ELSE s.lease END,
+'n': s.n + CASE WHEN s.stage = 'queued' AND x.ev = 'claim' THEN 1 ELSE 0 END, 'p': s.stage = 'running' AND (s.p OR x.ev = 'cancel') AND x.ev NOT IN ('succeed', 'fail') AND NOT (x.ev = 'border' AND s.p),
+'stage': CASE WHEN s.stage = '' AND x.ev = 'enqueue' THEN 'queued' WHEN s.stage = 'queued' AND x.ev = 'claim' THEN 'running' WHEN s.stage = 'queued' AND x.ev = 'cancel' THEN 'cancelled' WHEN s.stage = 'running' AND x.ev = 'border' AND s.p THEN 'cancelled'
+  WHEN s.stage = 'running' AND x.ev = 'succeed' THEN 'succeeded' WHEN s.stage = 'running' AND x.ev = 'fail' THEN 'failed' WHEN s.stage = 'failed' AND x.ev = 'retry' THEN 'queued' ELSE s.stage END}"""
+EVENTS = ("enqueue", "claim", "heartbeat", "cancel", "border", "fail", "retry", "succeed", "claim", "border")
+
+
+def event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream of files; a pattern, as a stream's plain path must be a folder."""
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("g5_job_stream", f"""WITH e AS (SELECT user_id % 500 AS job_id, epoch_ms(ts) AS ms, ({list(EVENTS)})[(event_id * 7 + user_id) % 10 + 1] AS ev FROM events),
+l AS (SELECT job_id, list({{'ms': ms, 'ev': ev, 'lease': CAST(0 AS BIGINT), 'n': 0, 'p': false, 'stage': ''}} ORDER BY ms, ev) AS xs FROM e GROUP BY job_id),
+f AS (SELECT job_id, list_reduce(xs, lambda s, x: {STEP}, {{'ms': CAST(0 AS BIGINT), 'ev': '', 'lease': CAST(0 AS BIGINT), 'n': 0, 'p': false, 'stage': ''}}) AS s FROM l)
+SELECT job_id, s.stage AS stage, CAST(s.n AS INT) AS attempt FROM f""")
+def g5_job_stream(spark, sf_dir):
+    """Events as those of 500 jobs, read as a stream and folded by keyed state: a cancel waits for the job's next border."""
+    events = event_stream(spark, sf_dir).withWatermark("ts", "1 day")
+    kind = F.element_at(F.array(*map(F.lit, EVENTS)), ((F.col("event_id") * 7 + F.col("user_id")) % 10 + 1).cast("int"))
+    told = events.select((F.col("user_id") % 500).alias("job_id"), kind.alias("event"), F.timestamp_millis(F.unix_millis("ts")).alias("at"), "ts")
+    stages = run_to_end(job_stages(told, LEASE), "job-stages")
+    return stages.groupBy("job_id").agg(F.max_by("stage", "batch").alias("stage"), F.max_by("attempt", "batch").alias("attempt"))
+
+
+@query("g9_cache_uses", """WITH u AS (SELECT user_id AS key, date_trunc('milliseconds', ts) AS used FROM events), g AS (SELECT *, CASE WHEN used - lag(used) OVER (PARTITION BY key ORDER BY used) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM u),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY used ROWS UNBOUNDED PRECEDING) AS life FROM g)
+SELECT key, min(used) AS since, max(used) AS last, count(*) AS uses FROM n GROUP BY key, life""")
+def g9_cache_uses(spark, sf_dir):
+    """Events as uses of their user's cache entry, which is gone after six hours without one."""
+    events = event_stream(spark, sf_dir)
+    touches = events.select(F.col("user_id").alias("key"), F.timestamp_millis(F.unix_millis("ts")).alias("at"))
+    lives = run_to_end(live_entries(touches, 6 * 3600), "cache-uses")
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return lives.groupBy("key", "since").agg(F.max("last").alias("last"), F.max("uses").alias("uses")).select("key", local("since"), local("last"), "uses")
+
+
 # -- evaluation --------------------------------------------------------------------------------------
 
 SCORED = """r AS (SELECT doc_id // 10 AS qid, doc_id % 10 + 1 AS rank, text AS snippet, source || ' / ' || lang AS section, source, doc_id % 2 AS page FROM documents),

@@ -151,11 +151,42 @@ def test_verdicts(spark):
 
 
 def test_job_steps():
-    assert J.step("", 0, 0, "enqueue", 0) == ("queued", 0, 0)
-    assert J.step("queued", 0, 0, "claim", 1000) == ("running", 1, 121_000)
-    assert J.step("running", 1, 121_000, "heartbeat", 61_000) == ("running", 1, 181_000)
-    assert J.step("running", 1, 121_000, "succeed", 122_000) == ("failed", 1, 121_000)
-    assert J.step("succeeded", 1, 0, "cancel", 0)[0] == "succeeded"
+    assert J.step("", 0, 0, False, "enqueue", 0) == ("queued", 0, 0, False)
+    assert J.step("queued", 0, 0, False, "claim", 1000) == ("running", 1, 121_000, False)
+    assert J.step("running", 1, 121_000, False, "heartbeat", 61_000) == ("running", 1, 181_000, False)
+    assert J.step("running", 1, 121_000, False, "succeed", 122_000) == ("failed", 1, 121_000, False)
+    assert J.step("succeeded", 1, 0, False, "cancel", 0)[0] == "succeeded"
+
+
+def test_a_cancel_waits_for_the_border():
+    pending = J.step("running", 1, 121_000, False, "cancel", 2000)
+    assert pending == ("running", 1, 121_000, True)
+    assert J.step(*pending, "heartbeat", 3000) == ("running", 1, 123_000, True)
+    assert J.step(*pending, "border", 3000) == ("cancelled", 1, 121_000, False)
+    assert J.step(*pending, "succeed", 3000) == ("succeeded", 1, 121_000, False)  # what is made stays
+    assert J.step(*pending, "fail", 3000) == ("failed", 1, 121_000, False)
+    assert J.step("running", 1, 121_000, False, "border", 3000) == ("running", 1, 123_000, False)
+    assert J.step("queued", 0, 0, False, "cancel", 0)[0] == "cancelled"
+
+
+def test_cache_entries_expire_by_key_and_survive_a_restart(spark, tmp_path):
+    src, ckpt, out = (str(tmp_path / x) for x in ("src", "ckpt", "out"))
+
+    def run(rows, batch):
+        spark.createDataFrame(rows, "key long, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        stream = J.live_entries(spark.readStream.schema("key long, at timestamp").parquet(src), 600, "0 seconds")
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{out}/run={batch}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {(r.key, r.since.strftime("%H:%M"), r.uses, r.expired) for r in spark.read.parquet(f"{out}/run={batch}").collect()}
+
+    first = run([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:04:00"), (1, "2024-01-01 00:30:00")], 1)
+    assert first >= {(1, "00:00", 2, True), (1, "00:30", 1, False), (2, "00:04", 1, False)}
+    second = run([(1, "2024-01-01 00:35:00"), (2, "2024-01-01 00:36:00"), (3, "2024-01-01 01:30:00")], 2)
+    # the state of 1 was kept over the restart; 2 had expired, so its use made a new entry
+    assert {(1, "00:30", 2, False), (2, "00:36", 1, False), (3, "01:30", 1, False)} <= second | first and (2, "00:04", 1, True) in first | second
+    third = run([(4, "2024-01-01 03:00:00")], 3)
+    assert {(1, "00:30", 2, True), (2, "00:36", 1, True)} <= second | third
 
 
 def test_job_stream_survives_a_restart(spark, tmp_path):
