@@ -21,7 +21,7 @@ from ..staging import small, staged
 from .lexical import BLOCK_QUESTIONS, bm25, corpus_stats, in_scope, postings, term_table, top_k  # noqa: F401
 from .tables import answer_tables
 from .understanding import DEFAULT as LEXICON
-from .understanding import Lexicon, expand, focus, is_enumeration, table_kind
+from .understanding import Lexicon, expand, focus, is_enumeration, named_documents, table_kind
 
 RRF_K = 60
 TOP_VECTOR, TOP_LEXICAL, TOP_RERANK, TOP_FINAL = 50, 50, 100, 5
@@ -308,5 +308,29 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int
     return best if answered is None else best.unionByName(answered, allowMissingColumns=True)
 
 
+def respond(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_FINAL, rerank=None, tables: DataFrame | None = None, active: DataFrame | None = None, documents: DataFrame | None = None, lex: Lexicon = LEXICON) -> DataFrame:
+    """qid, rank, result, level: the retriever's whole answer to a batch of questions.
+
+    ``active`` (doc_id, version) leaves only chunks and vectors of published versions. A question that names documents
+    (doc_id, filename, kb) and has no ``doc_ids`` of its own is asked of these. What retrieve() finds becomes the public
+    structure (contract) with its source; level says how far the cosines of a question's results support an answer,
+    and is sufficient where a table answers exactly."""
+    if active is not None:  # by document and version, as two versions of a document may be stored
+        keys = ["doc_id", "version"]
+        chunks, vectors = (df.join(active.select(*keys), keys, "left_semi") for df in (chunks, vectors))
+    if documents is not None:
+        named = named_documents(questions, documents, lex).groupBy("qid").agg(F.collect_list("doc_id").alias("named"))  # a document a name
+        given = F.col("doc_ids") if "doc_ids" in questions.columns else F.lit(None).cast("array<bigint>")
+        questions = questions.join(named, "qid", "left").withColumn("doc_ids", F.coalesce(given, F.col("named").cast("array<bigint>"))).drop("named")
+    found = staged(retrieve(questions, chunks, vectors, k, rerank, tables, lex), "found")
+    plain = found.filter("expanded IS NULL OR expanded <> 'table'").select("qid", "chunk_id", "score", "rank", "expanded", "vector_score")
+    full = hydrate(plain.drop("rank"), chunks)
+    exact = found.filter("expanded = 'table'") if tables is not None else None
+    rows = full if exact is None else full.unionByName(exact.select(*(c for c in exact.columns if c in {*full.columns, "block_type"})), allowMissingColumns=True)
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("vector_score", F.lit(0.0)).alias("s")))), lambda x: x["s"])  # k a question
+    level = rows.groupBy("qid").agg(F.when(F.bool_or(F.coalesce(F.col("expanded") == "table", F.lit(False))), "sufficient").otherwise(evidence_level(scores)).alias("level"))
+    return contract(rows).join(level, "qid")
+
+
 def normal_name(text: Column) -> Column:
     return F.lower(squash(text))

@@ -59,6 +59,23 @@ def c12_document_titles(spark, sf_dir):
     return lines.select("doc_id", S.heading_level(line).cast("int").alias("level")).groupBy("doc_id", "level").agg(F.count("*").alias("n"))
 
 
+@query("c15_restored_titles", """WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+SELECT doc_id, CAST(i AS INT) AS idx, 0 AS line, 0 AS kind, CAST(i AS INT) AS n, 'heading' AS block_type, (i + 1) || ' 标题' AS text FROM l WHERE i % 7 = 3 AND i < 99
+UNION ALL SELECT doc_id, CAST(i AS INT), 0, 1, 0, CASE WHEN i % 7 = 3 OR i % 7 = 5 AND i >= 99 THEN 'paragraph' ELSE 'heading' END, CASE WHEN i % 7 = 3 THEN x WHEN i % 7 = 5 AND i >= 99 THEN (i + 1) || ' 标题' || chr(10) || 'x' || x ELSE (i + 1) || ' 标题' END FROM l
+UNION ALL SELECT doc_id, CAST(i AS INT), 1, 1, 0, 'paragraph', 'x' || x FROM l WHERE i % 7 = 5 AND i < 99""")
+def c15_restored_titles(spark, sf_dir):
+    """Documents with a numbered title for each line, of which each seventh is lost and another stands inside a paragraph; the
+    contents list the first 99."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x"))
+    i, x = F.col("i"), F.col("x")
+    title = F.concat((i + 1).cast("string"), F.lit(" 标题"))
+    text = F.when(i % 7 == 3, x).when(i % 7 == 5, F.concat(title, F.lit("\nx"), x)).otherwise(title)
+    page = F.floor(i / 5).cast("int") + 1
+    blocks = lines.select("doc_id", i.alias("idx"), text.alias("text"), page.alias("page"), F.when((i % 7).isin(3, 5), "paragraph").otherwise("heading").alias("block_type"))
+    entries = lines.filter(i < 99).select("doc_id", i.alias("n"), (i + 1).cast("string").alias("number"), F.lit("标题").alias("title"), page.alias("physical_page"))
+    return L.injected(blocks, entries).select("doc_id", "idx", "line", "kind", "n", "block_type", "text")
+
+
 @query("s12_source_engines", """SELECT source, total, CASE WHEN total <= 0 THEN 'text' WHEN layout AND ((scanned >= 3 AND scanned >= 0.3 * total) OR (complex_pages >= 3 AND complex_pages >= 0.3 * total)) THEN 'layout' WHEN scanned > 0 THEN 'ocr' ELSE 'text' END AS engine
 FROM (SELECT source, count(*) AS total, count(*) FILTER (lang = 'de') AS scanned, count(*) FILTER (doc_id % 3 = 0) AS complex_pages, length(source) > 4 AS layout FROM documents GROUP BY source)""")
 def s12_source_engines(spark, sf_dir):

@@ -128,6 +128,27 @@ def r20_retrieve(spark, sf_dir):
     return R.retrieve(asked, c, v).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+LIVE = HYBRID.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 9)").replace("CROSS JOIN embeddings e)", "CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 10 <> 9) e)")
+
+
+@query("r20_responses", LIVE + r""",
+cut AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS fr FROM fused QUALIFY fr <= 100),
+ok AS (SELECT cut.*, text, lang, source FROM cut JOIN documents ON doc_id = chunk_id WHERE length(trim(text, E' \t\n\r')) >= 40),
+best5 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM ok QUALIFY rank <= 5),
+near5 AS (SELECT t.*, coalesce((SELECT max(vl.score) FROM vl WHERE vl.qid = t.qid AND vl.chunk_id = t.chunk_id), 0) AS near FROM best5 t),
+lev AS (SELECT qid, max(CASE WHEN rank = 1 THEN near END) AS top, count(*) FILTER (near >= 0.6) AS strong FROM near5 GROUP BY qid)
+SELECT qid, rank, chunk_id, sha256(text) AS text, round(score, 4) AS score, lang AS kb, source AS section, CASE WHEN top >= 0.8 OR strong >= 2 THEN 'sufficient' WHEN top >= 0.5 THEN 'partial' WHEN top >= 0.3 THEN 'weak' ELSE 'none' END AS level FROM near5 JOIN lev USING (qid)""")
+def r20_responses(spark, sf_dir):
+    """Whole answers from the published versions; each tenth document has none."""
+    asked, c, v = _mixed(spark, sf_dir)
+    c = c.withColumn("version", F.lit(2))
+    v = v.withColumns({"doc_id": F.col("chunk_id"), "version": F.lit(2)})
+    old = c.withColumns({"version": F.lit(1), "chunk_id": F.col("chunk_id") + 1_000_000_000, "content": F.lit("withdrawn text of an old version")})
+    live = c.filter("doc_id % 10 <> 9").select("doc_id", "version")
+    r = R.respond(asked, c.unionByName(old), v, active=live)
+    return r.select("qid", F.col("rank").cast("long").alias("rank"), F.col("result.source.chunk_id").alias("chunk_id"), F.sha2("result.text", 256).alias("text"), "result.score", F.col("result.source.kb").alias("kb"), F.col("result.source.section").alias("section"), "level")
+
+
 @query("r9_rerank")
 def r9_rerank(spark, sf_dir):
     asked, c, v = _mixed(spark, sf_dir)
