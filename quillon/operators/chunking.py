@@ -1,7 +1,8 @@
 """Chunks from blocks: ordered folds inside a document, documents in parallel.
 
-A fold needs its document's blocks in order, so each document is one group of sorted, streamed rows; that
-is bounded by the document, not by the corpus.
+Parents and children are folded section by section: a document is cut where the fold's state is reset anyway, at a
+change of section, and chunks are numbered afterwards, so a document of any length is in many tasks, and what one
+task holds is a section. Chunks by structure are folded document by document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, strip
-from ..staging import fold_groups
+from ..staging import fold_groups, ordered_runs
 
 CHILD_MIN, CHILD_MAX, PARENT_MAX = 200, 500, 1600
 #: Where long text is cut, best first.
@@ -204,12 +205,26 @@ def chunk_documents(blocks: DataFrame, how: str = "parent_child", count=len) ->
     characters."""
     known = [c for c in ("doc_id", "idx", "text", "section", "page", "block_type", "table_id", "table") if c in blocks.columns]
 
-    def fold(rows: list[dict]) -> list[tuple]:
-        own = [Block(r["text"] or "", r["section"], r["page"], r["block_type"], r.get("table_id"), r.get("table")) for r in rows]
-        pairs = parent_child(own, count) if how == "parent_child" else ((c, c.text) for c in merge_tiny(structure_chunks(own)))
-        return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p), c.table if how == "parent_child" else None) for i, (c, p) in enumerate(pairs)]
-
-    return fold_groups(blocks.select(*known), "doc_id", "idx", fold, CHUNK_SCHEMA)
+    def row_of(r: dict) -> Block:
+        return Block(r["text"] or "", r["section"], r["page"], r["block_type"], r.get("table_id"), r.get("table"))
+
+    def by_document(rows: list[dict]) -> list[tuple]:
+        chunks = merge_tiny(structure_chunks([row_of(r) for r in rows]))
+        return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), c.text, digest(c.text), None) for i, c in enumerate(chunks)]
+
+    def by_section(rows: list[dict]) -> list[tuple]:
+        pairs = parent_child([replace(row_of(r), section=r["filled"]) for r in rows], count)
+        return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p), c.table, rows[0]["run"]) for i, (c, p) in enumerate(pairs)]
+
+    given = blocks.select(*known)
+    if how != "parent_child":
+        return fold_groups(given, "doc_id", "idx", by_document, CHUNK_SCHEMA)
+    # an empty section is none, as is a null one
+    told = given.filter("block_type <> 'heading' OR block_type IS NULL").withColumn("section", F.nullif("section", F.lit("")))
+    runs = ordered_runs(told, "doc_id", ["idx"], "section", "sections").withColumn("unit", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run"))
+    made = fold_groups(runs, "unit", "idx", by_section, f"{CHUNK_SCHEMA}, stretch long")
+    numbered = ordered_runs(made, "doc_id", ["stretch", "chunk_index"], "section", "chunks")
+    return numbered.withColumn("chunk_index", F.col("place").cast("int")).select(*(c for c in made.columns if c != "stretch"))
 
 
 def contents_chunks(pages: DataFrame, title: str = "目录") -> DataFrame:

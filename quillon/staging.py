@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,3 +91,48 @@ def fold_groups(df: DataFrame, key: str, order: str, fn: Callable[[list[dict]],
             yield batch_of(out)
 
     return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def ordered_runs(df: DataFrame, key: str, order: list[str], value: str, name: str = "runs") -> DataFrame:
+    """``df`` with ``place``, the number of the row within its ``key`` in the order, ``filled``, its ``value`` or the last one before it
+    that is not null, and ``run``, a number that grows where filled changes.
+
+    Ranges of the sort order are scanned apart, so a key of any share of the rows is in many tasks. What was open at the end
+    of a range is carried into the next one for the keys that reach over its border, which are two rows a range at most."""
+    spark = df.sparkSession
+    kinds = dict(df.dtypes)
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    added = [("part", "int"), ("place", "bigint"), ("filled", kinds[value]), ("run", "bigint")]
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*df.dtypes, *added])
+    out = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, place, filled, run = TaskContext.get().partitionId(), (), -1, None, 0
+        for batch in batches:
+            rows = []
+            for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if (k,) != last:
+                    last, place, filled, run = (k,), -1, None, 0
+                place += 1
+                if v is not None and v != filled:
+                    filled, run = v, run + 1
+                rows.append((part, place, filled, run))
+            if rows:
+                cols = [pa.array(c, out.field(n).type) for c, (n, _) in zip(zip(*rows, strict=True), added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=out)
+
+    # written, so that ranges and places stay the same when a task runs again
+    local = staged(ranged.mapInArrow(scan, schema), name)
+    ends = local.groupBy(key, "part").agg(F.count("*").alias("n"), F.max_by("filled", "place").alias("end"), F.max("run").alias("runs"), F.min_by(value, F.when(F.col(value).isNotNull(), F.col("place"))).alias("first"))
+    over = ends.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("parts")).filter("parts > 1")
+    carried, held = [], {}
+    for r in sorted(ends.join(over, F.col(key).eqNullSafe(F.col("_k"))).collect(), key=lambda r: r["part"]):
+        start, carry, base = held.get(r[key], (0, None, 0))
+        same = carry is not None and r["first"] == carry
+        carried.append((r[key], r["part"], start, carry, base, same))
+        held[r[key]] = start + r["n"], carry if r["end"] is None else r["end"], base + r["runs"] - (1 if same and r["runs"] else 0)
+    borders = spark.createDataFrame(carried, f"_key {kinds[key]}, _part int, _start long, _carry {kinds[value]}, _base long, _same boolean")
+    joined = local.join(F.broadcast(borders), F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part")), "left")
+    more = F.when(F.coalesce("_same", F.lit(False)) & (F.col("run") > 0), 1).otherwise(0)
+    whole = {"place": F.col("place") + F.coalesce("_start", F.lit(0)), "filled": F.coalesce("filled", "_carry"), "run": F.coalesce("_base", F.lit(0)) + F.col("run") - more}
+    return joined.withColumns(whole).select(*df.columns, "place", "filled", "run")

@@ -1,6 +1,7 @@
 """Structure, chunking and readers: literals and properties."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -130,3 +131,54 @@ def test_splitting_and_merging():
     got = C.merge_tiny([C.Block("## s\nab", "s"), C.Block("## s\n" + "c" * 50, "s", 2), C.Block("x", "t"), C.Block("y", "u")])
     assert [c.text for c in got] == ["## s\nab\n" + "c" * 50, "x", "y"]
     assert C.is_noise("## a / b\nb", "a / b") and C.is_noise("图1.2 (a)", None) and not C.is_noise("表1.2 参数", None)
+
+
+def by_hand(rows):
+    """place, last value so far and run of each row (key, i, value), in order."""
+    out, last = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        place, filled, run = last.get(k, (-1, None, 0))
+        if v is not None and v != filled:
+            filled, run = v, run + 1
+        last[k] = out[k, i] = place + 1, filled, run
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_runs_cross_ranges(spark, seed):
+    from quillon.staging import ordered_runs
+
+    rng = random.Random(seed)
+    rows = [(k, i, rng.choice([None, None, None, "a", "b"]) if n < 3000 else None if rng.random() < 0.999 else rng.choice("ab")) for k, n in ((1, 2500), (2, 1), (None, 2000), (3, 4000), (4, 5)) for i in range(n)]
+    got = ordered_runs(spark.createDataFrame([(*r, "x") for r in rows], "k long, i long, v string, other string"), "k", ["i"], "v").collect()
+    want = by_hand(rows)
+    assert {(r.k, r.i): (r.place, r.filled) for r in got} == {k: w[:2] for k, w in want.items()}
+    for k in (1, 2, None, 3, 4):  # runs are told apart just where they change, and grow
+        own = sorted((r.i, r.run) for r in got if r.k == k)
+        steps = [(b[1] - a[1] > 0, want[k, b[0]][2] != want[k, a[0]][2]) for a, b in zip(own, own[1:], strict=False)]
+        assert all(a == b for a, b in steps) and all(b[1] >= a[1] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_a_long_document_is_chunked_as_by_one_fold(spark):
+    rng = random.Random(5)
+    rows = []
+    for d, n in ((1, 3000), (2, 4), (None, 600)):
+        section = None
+        for i in range(n):
+            section = rng.choice([section] * 30 + [f"s{rng.randrange(9)}", None, ""])
+            rows.append((d, i, "w " * rng.choice([1, 20, 120]), section, i // 50, rng.choice(["paragraph"] * 8 + ["table", "heading", "soft_heading"])))
+    df = spark.createDataFrame(rows, BLOCKS)
+    made = C.chunk_documents(df.repartition(7))
+    got = sorted(((r.doc_id or 0, r.chunk_index, r.content, r.parent_content, r.page) for r in made.collect()))
+    want = []
+    for d in (1, 2, None):
+        own = [C.Block(t, s, p, k) for a, _, t, s, p, k in rows if a == d]
+        want += [(d or 0, i, c.text, p, c.page) for i, (c, p) in enumerate(C.parent_child(own))]
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
+
+
+def test_token_counts_may_measure_chunks(spark):
+    words = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(1, i, words, "s", 1, "paragraph") for i in range(12)], BLOCKS)
+    tokens = C.chunk_documents(df, count=lambda t: len(t.split())).collect()
+    assert all(len(r.content.split()) <= C.CHILD_MAX + 2 for r in tokens) and len(tokens) < len(C.chunk_documents(df).collect())
