@@ -5,6 +5,11 @@ by 0.8 or more, found by SimHash, one of each class stays.
 repeated_strings: strings of 200 bytes that start at several places are cut out of the texts.
 decontamination: documents that contain a benchmark item go. tokens: byte-level BPE ids of what is left.
 Each stage sees all rows and columns that its predecessor kept, written as Parquet and read again.
+
+Defined cases: a null text is empty: all such rows are near duplicates of each other and one stays; a null doc_id is an
+id like any other and comes first where the least stays; repeated rows are one document; texts of any length pass whole;
+an empty table gives no rows; other columns travel through all stages but the last, whatever their names; ties between
+near duplicates go to the least (doc_id, hash of the text).
 """
 
 from __future__ import annotations

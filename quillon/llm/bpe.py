@@ -13,7 +13,8 @@ and never inside a run of letters, whatever stands farther away; a window's edge
 places, otherwise it keeps growing.
 
 Defined cases: a null text is the empty text (no ids, decodes to the empty text); the text of a special
-token is that token, as the library has it, and is never cut; repeated rows are encoded one by one.
+token is that token, as the library has it, and is never cut; repeated rows are encoded one by one. An empty table gives no
+rows; other columns are not read, so their names may clash; long texts are parts that several tasks encode.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ common.BROADCAST_ROWS, and joined by a shuffle otherwise.
 
 Defined cases: null texts have no words; an item without words is never found; an item of fewer than
 five words is one shingle, found only in a document of just these words; documents with equal id and
-text give one row for each item; a null document id is kept as null.
+text give one row for each item; a null document id is kept as null. An empty table of documents
+or items gives no rows; a text of any length is one row's array of words; where documents come back, their columns
+travel in a struct, so their names may clash.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ once. The HEAD most used words are broadcast, so the words that are joined have
 
 Defined cases: a null text is the empty text, one end token; a null id counts as the empty text in the
 fold; without training rows all counts are 0 and pieces keep their starting scores; repeated rows are
-counted and scored one by one.
+counted and scored one by one. An empty table gives no rows; other columns are not read, so their
+names may clash; a text of any length is scored word by word.
 """
 
 from __future__ import annotations

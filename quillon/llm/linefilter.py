@@ -12,7 +12,8 @@ large a share of its characters is rejected.
   length, or a line of STUTTER_WORDS words or more of which STUTTER_SHARE repeat the word before them.
 
 Defined cases: a null text is the empty text; lines without a word are neither judged nor counted; a
-document without words is not kept; repeated rows are judged one by one.
+document without words is not kept; repeated rows are judged one by one. An empty table gives no rows; other
+columns are not read, so their names may clash; a text of any length is judged line by line in one task.
 """
 
 from __future__ import annotations

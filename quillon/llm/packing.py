@@ -11,7 +11,8 @@ Shard: blocks | footer | footer length (u64) | magic. Footer: bits, block ids, i
 null flags (u8). All little-endian.
 
 Defined cases: a null text is the empty text (just the end id); null document ids come first; rows with
-equal ids follow in order of their text; an empty table writes no shard.
+equal ids follow in order of their text's hash, in as many shards as they need; an empty table writes no shard. Other columns are not read, so their names may
+clash; a text of any length is encoded in one task, its ids are written in blocks.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ A task unites what it finds and emits a star for each set, never all pairs.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; texts of fewer than
 three words have one shingle; rows with equal ids share a class only if their fingerprints link; null
-ids get a class whose id is the smallest id in it, null if there is none.
+ids get a class whose id is the smallest id in it, null if there is none. An empty table gives no rows; other columns are not
+read, so their names may clash; long texts are hashed in spans.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ last into single strings, of which equal ones are one. Every string is thus solv
 
 Defined cases: a null text is the empty text; documents shorter than MIN_BYTES lose nothing; rows
 repeated with the same id and text are different places, so both lose all that is long enough (their
-text travels once); matches never span documents.
+text travels once); matches never span documents. An empty table gives no rows; long texts are cut in
+strides; where documents come back, their own columns cannot clash with those used here.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ chunk of a record besides what the source row itself holds.
 Defined cases: a null payload is the empty payload, which is a payload like any other; a null id
 gives a record without id header and reads back as null (such a row is a revisit when another row
 with an id has its payload); rows repeated with the same id and payload are all responses, since each
-carries the largest id; an empty table writes no record and reads back as no rows.
+carries the largest id; an empty table writes no record and reads back as no rows. Other columns of the pages are not read, so
+their names may clash; a payload of any length is streamed in chunks.
 """
 
 from __future__ import annotations
