@@ -69,6 +69,7 @@ def corpus_stats(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = W.partitionBy("kb")
     levels = levels.withColumns({"n": F.sum("k").over(whole), "avgdl": F.sum("w").over(whole) / F.sum("k").over(whole)})
     size = levels.groupBy("kb").agg(F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), (F.sum(raw * F.col("terms")) / F.sum("terms")).alias("mean"))
+    size = staged(size, "sizes")  # read by each of the joins below and in search()
     idf = table.filter("term IS NOT NULL").select("kb", "term", "df").join(small(size), "kb")
     return size, idf.select("kb", "term", F.when(raw < 0, FLOOR * F.col("mean")).otherwise(raw).alias("idf"))
 
@@ -244,7 +245,7 @@ def search(find, size: DataFrame, idf: DataFrame, questions: DataFrame, k: int,
         rows = [(q.qid, q.scope, {t.term: t.times for t in q.terms}) for q in asked.filter(own == i).collect()]
         terms = sorted({t for *_, own_terms in rows for t in own_terms})
         wanted = asked.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-        known = small(idf.join(small(wanted), "term").join(small(size.select("kb", "avgdl")), "kb"))
+        known = small(staged(idf.join(small(wanted), "term").join(small(size.select("kb", "avgdl")), "kb"), "asked-terms"))
         found.append(score_blocks(find(terms).join(known, ["kb", "term"]), rows, k, dict(questions.dtypes)["qid"], counter))
     return top_k(reduce(DataFrame.unionByName, found), ["qid", "kb"], k)
 
