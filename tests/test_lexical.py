@@ -136,3 +136,22 @@ def test_a_manifest_that_was_not_written_whole_does_not_count(spark, tmp_path):
     assert m.read() == {"state": "a"}
     m.switch({"state": "c"}, expected="a")
     assert m.read() == {"state": "c"}
+
+
+def test_whole_answers_of_tables_named_documents_and_live_versions(spark):
+    from quillon.operators import retrieval as R
+    from tests import inline_cases as I
+
+    rows = [("a", i, d, s, t, 1) for i, d, s, t in I.SECTIONS] + [("a", 100 + i, d, s, "旧版：" + t, 0) for i, d, s, t in I.SECTIONS]
+    chunks = spark.createDataFrame(rows, "kb string, chunk_id long, doc_id long, section string, content string, version int")
+    vectors = spark.createDataFrame([("a", i, d, I.VECTORS[i], 1) for i, d, _, _ in I.SECTIONS], "kb string, chunk_id long, doc_id long, embedding array<double>, version int")
+    active = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, version int")  # document 3 is withdrawn
+    files = spark.createDataFrame([(2, "总则说明.pdf", "a"), (3, "水泵手册.pdf", "a")], "doc_id long, filename string, kb string")
+    asked = [(1, "动力配电箱的数量是多少", "a", [1.0, 0.0, 0.0]), (2, "《总则说明》写了什么", "a", [1.0, 0.0, 0.0]), (3, "水泵选型", "a", [0.0, 0.0, 1.0])]
+    questions = spark.createDataFrame(asked, "qid long, question string, kb string, vector array<double>")
+    found = R.respond(questions, chunks, vectors, 3, tables=I.tables(spark), active=active, documents=files).collect()
+    by = {q: sorted((r for r in found if r.qid == q), key=lambda r: r["rank"]) for q in (1, 2, 3)}
+    assert [(r.result.text, r.level) for r in by[1]] == [("动力配电箱 数量: 3", "sufficient")]
+    assert sorted(r.result.source.chunk_id for r in by[2]) == [11, 12, 13]  # of the named document only, though others are nearer
+    assert by[3] and all(r.result.source.chunk_id < 20 for r in by[3])  # neither old versions nor the withdrawn document
+    assert all(len(r.result.source) == 9 for r in found)
