@@ -5,11 +5,18 @@ Time is a parameter everywhere. Tables are never updated in place: each step ret
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..staging import stream_groups
 from .relational import evict_oldest
 
 SCOPE = ["user_id", "kb_id", "doc_scope", "style"]
@@ -72,14 +79,55 @@ def store_cached(cache: DataFrame, fresh: DataFrame, now: Column, ttl_seconds: i
 
 
 def remember(memories: DataFrame, fresh: DataFrame, limit: float = MEMORY_LIMIT, pool: int = MEMORY_POOL, cap: int = MEMORY_CAP) -> DataFrame:
-    """Memories after storing one batch of fresh entries, each of a question of its own: the newest similar entry of the
-    scope is replaced, and keeps its hits if its status is the same."""
-    twin = in_scope(memories, fresh.withColumnRenamed("id", "qid"), pool).filter((F.col("sim") >= limit) & subjects_match(F.col("a.subject"), F.col("e.subject")))
-    w = W.partitionBy("a.qid").orderBy(F.desc("e.updated_at"), F.desc("e.id"))
-    twin = twin.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("a.qid").alias("id"), F.col("e.id").alias("old_id"), F.when(F.col("a.status") == F.col("e.status"), F.col("e.hit_count")).alias("old_hits"))
-    kept = memories.join(twin.select(F.col("old_id").alias("id")), "id", "left_anti")
-    new = fresh.join(twin, "id", "left").withColumn("hit_count", F.coalesce("old_hits", "hit_count")).drop("old_id", "old_hits")
-    return evict_oldest(kept, ["user_id", "kb_id"], cap).unionByName(new.select(*memories.columns))
+    """Memories after storing the fresh entries one by one, oldest first, so that later entries of a batch meet earlier ones.
+
+    The newest similar entry among the newest ``pool`` of the same scope is replaced, and its hits are kept if its status is the
+    same. An entry that replaces none of its status, in a (user, knowledge base) at its cap, first sends the oldest fifth of
+    the cap away. Entries without an answer are not stored; vectors of another length are never similar; ties in time
+    follow the id, status and answer.
+
+    A (user, knowledge base) is one task's stream, which holds its memories: at most ``cap`` of them once they were stored by this
+    function."""
+    place, kill = itemgetter("doc_scope", "style"), max(1, int(cap * 0.2))
+
+    def alike(new: dict, vector: np.ndarray, held: list) -> int | None:
+        """Position of the newest held entry that the new one repeats."""
+        near = list(islice((i for i in range(len(held) - 1, -1, -1) if place(held[i][1]) == place(new)), pool))
+        near = [i for i in near if held[i][2].shape == vector.shape]
+        if not near:
+            return None
+        sims = np.round(np.stack([held[i][2] for i in near]) @ vector, 6)
+        return next((i for i, sim in zip(near, sims, strict=True) if sim >= limit and _same_subject(new["subject"], held[i][1]["subject"])), None)
+
+    def fold(rows: Iterator[dict]) -> Iterator[tuple]:
+        held: list[tuple] = []  # (order, row, unit vector), oldest first
+        for row in rows:
+            vector = _unit(row["vector"])
+            if row.pop("_fresh"):
+                at = alike(row, vector, held)
+                old = held.pop(at)[1] if at is not None else None
+                if old is not None and old["status"] == row["status"]:
+                    row["hit_count"] = old["hit_count"]
+                elif len(held) >= cap:
+                    del held[:kill]
+            insort(held, ([(v is not None, v) for v in (row.pop("_at"), row["id"])], row, vector), key=itemgetter(0))
+        return (tuple(row.values()) for _, row, _ in held)
+
+    told = fresh.filter("answer IS NOT NULL AND answer <> ''").select(*memories.columns)
+    both = memories.withColumn("_fresh", F.lit(False)).unionByName(told.withColumn("_fresh", F.lit(True)))
+    timed = both.withColumn("_at", F.unix_micros(F.col("updated_at").cast("timestamp")))
+    return stream_groups(timed, ["user_id", "kb_id"], ["_fresh", "_at", "id", "status", "answer"], fold, both.drop("_fresh").schema)
+
+
+def _unit(vector: list[float] | None) -> np.ndarray:
+    v = np.asarray(vector or [], dtype=np.float64)
+    size = np.sqrt(v @ v)
+    return v / size if size else np.zeros_like(v)
+
+
+def _same_subject(a: str | None, b: str | None) -> bool:
+    """``subjects_match`` of two values."""
+    return not a or not b or a in b or b in a
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, profile: Column, embed) -> tuple[DataFrame, DataFrame]:

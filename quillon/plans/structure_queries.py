@@ -205,6 +205,13 @@ def m7_memory_recall(spark, sf_dir):
     return M.recall(e, asked, limit=0.1)
 
 
+@query("m8_remember")
+def m8_remember(spark, sf_dir):
+    """All vectors as answers that 97 users rate one after the other: the memories that are left."""
+    e = _cache(spark, sf_dir)[0].withColumns({"user_id": F.col("id") % 97, "hit_count": F.lit(0)})
+    return M.remember(e.limit(0), e).select("user_id", "id", "status")
+
+
 @query("e4_recall", f"""WITH {RQ.BM25}, o AS (SELECT qid, chunk_id, max(score) AS score FROM bm GROUP BY qid, chunk_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS r FROM o QUALIFY r <= 10),
 h AS (SELECT b.item_id AS qid, max(CASE WHEN r <= 5 AND contains(d.text, b.text) THEN 1 ELSE 0 END) AS h5, max(CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END) AS h10

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 100_000
@@ -93,6 +96,33 @@ def fold_groups(df: DataFrame, key: str, order: str, fn: Callable[[list[dict]],
     return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
+def stream_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterable[tuple]], schema: StructType, size: int = 256) -> DataFrame:
+    """Rows that ``fold`` makes of each group, whose rows it gets one by one in order; a task holds what ``fold`` keeps of them.
+    Null keys are a group."""
+    kinds = to_arrow_schema(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                yield from batch.slice(start, size).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, group in groupby(rows(batches), key=itemgetter(*keys)):
+            for row in fold(group):
+                out.append(row)
+                if len(out) >= size:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def ordered_runs(df: DataFrame, key: str, order: list[str], value: str, name: str = "runs") -> DataFrame:
     """``df`` with ``place``, the number of the row within its ``key`` in the order, ``filled``, its ``value`` or the last one before it
     that is not null, and ``run``, a number that grows where filled changes.

@@ -1,6 +1,7 @@
 """Caches, memory, versions, evaluation, answers and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,56 @@ def test_memory_prefers_bad(spark):
     assert {(r.id, r.answer) for r in M.remember(e, fresh).collect()} == {(2, "b"), (9, "new")}
 
 
+def remembered_by_hand(held, fresh, limit, pool, cap):
+    """Rows as dicts, one after the other, as the store of one knowledge base would take them."""
+    held = sorted(held, key=lambda r: (r["t"], r["id"]))
+    for new in sorted(fresh, key=lambda r: (r["t"], r["id"])):
+        if not new["answer"]:
+            continue
+        own = lambda r: (r["user_id"], r["kb_id"]) == (new["user_id"], new["kb_id"])  # noqa: B023, E731
+        scope = [r for r in held if own(r) and (r["doc_scope"], r["style"]) == (new["doc_scope"], new["style"])]
+        twin = None
+        for r in scope[::-1][:pool]:
+            a, b = r["vector"], new["vector"]
+            size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+            near = len(a) == len(b) and (sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0) >= limit
+            subject = not r["subject"] or not new["subject"] or r["subject"] in new["subject"] or new["subject"] in r["subject"]
+            if near and subject:
+                twin = r
+                break
+        new = dict(new)
+        if twin:
+            held.remove(twin)
+        if twin and twin["status"] == new["status"]:
+            new["hit_count"] = twin["hit_count"]
+        elif sum(map(own, held)) >= cap:
+            for r in [r for r in held if own(r)][: max(1, int(cap * 0.2))]:
+                held.remove(r)
+        held = sorted([*held, new], key=lambda r: (r["t"], r["id"]))
+    return held
+
+
+@pytest.mark.parametrize(("seed", "pool", "cap"), [(0, 100, 300), (1, 3, 10), (2, 2, 5)])
+def test_remember_in_order(spark, seed, pool, cap):
+    rng = random.Random(seed)
+    kinds = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.9], [0.0, 0.0, 0.0], [1.0, 0.0]]
+    rows = [
+        {
+            "id": i, "user_id": rng.choice([1, 1, 1, 2, None]), "kb_id": rng.choice([5, None]), "doc_scope": rng.choice(["d", None, None]), "style": "s", "status": rng.choice(["good", "bad"]),
+            "subject": rng.choice(["x", "xy", "z", "", None]), "vector": rng.choice(kinds), "answer": rng.choice(["a", "b", "b", "", None]), "hit_count": rng.randrange(9), "t": f"2024-01-{1 + i // 12:02d}",
+        }
+        for i in range(240)
+    ]
+    frame = lambda part: spark.createDataFrame([tuple(r.values()) for r in part], ENTRY.replace("updated_at timestamp", "t string")).withColumn("updated_at", F.col("t").cast("timestamp"))
+    told = lambda df: sorted((r.id, r.hit_count, r.answer) for r in df.collect())
+    want = sorted((r["id"], r["hit_count"], r["answer"]) for r in remembered_by_hand([], rows, 0.93, pool, cap))
+    whole = M.remember(frame(rows).limit(0), frame(rows), pool=pool, cap=cap)
+    assert told(whole) == want and whole.columns == frame(rows).columns
+    some = M.remember(M.remember(frame(rows).limit(0), frame(rows[:96]), pool=pool, cap=cap), frame(rows[96:]), pool=pool, cap=cap)
+    assert told(some) == want  # batches are like one by one
+    assert told(M.remember(frame(rows), frame(rows).limit(0))) == sorted((r["id"], r["hit_count"], r["answer"]) for r in rows)
+
+
 def test_eviction_and_embedding_cache(spark):
     e = entries(spark, [(i, 1, None, None, None, "good", None, [1.0], str(i), f"2024-01-{i:02d}") for i in range(1, 11)])
     assert sorted(r.id for r in M.store_cached(e, entries(spark, [(99, 1, None, None, None, "good", None, [1.0], "n", "2024-02-01")]), at(spark, "2024-02-01"), cap=10).collect()) == [*range(3, 11), 99]
