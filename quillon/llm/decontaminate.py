@@ -10,7 +10,9 @@ out. Candidate pairs are then verified by counting equal shingles as text.
 
 Items with the same shingles form one class, shown by its smallest id and the list of its members. The
 sketch and the list of candidate documents are broadcast only if their counted rows stay below
-common.BROADCAST_ROWS, and joined by a shuffle otherwise.
+common.BROADCAST_ROWS, and joined by a shuffle otherwise. Before a shuffle join with the sketch, document
+shingles pass a blocked Bloom filter of its hashes: BLOCKS bitmaps of 4 KB, 64 MB as arrays at most, are
+broadcast whatever the sketch's size; each hash sets two bits of one block. The filter has no false negative.
 
 Defined cases: null texts have no words; an item without words is never found; an item of fewer than
 five words is one shingle, found only in a document of just these words; documents with equal id and
@@ -24,10 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .common import lower_ascii, maybe_broadcast, store, table
 
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
+#: Bitmaps of the Bloom filter, a power of two, each of 32,768 bits.
+BLOCKS = 8192
 
 
 def words_of(text: Column) -> Column:
@@ -77,6 +82,26 @@ def sketches(shingles: DataFrame) -> DataFrame:
     return ordered.select("item_id", F.explode(F.slice("hs", F.lit(1), F.least(k, F.size("hs")).cast("int"))).alias("h"), least_words.alias("least_words"))
 
 
+def filter_bits(h: Column) -> tuple[Column, list[Column]]:
+    """Block of a hash and the positions of its two bits there, from different bits of the hash."""
+    return (h.bitwiseAND(F.lit(BLOCKS - 1))).cast("int"), [F.shiftrightunsigned(h, n).bitwiseAND(F.lit(32767)) for n in (49, 34)]
+
+
+def bloom_filter(hashes: DataFrame) -> DataFrame:
+    """Blocked Bloom filter (block, quads) of the column h: a block's bits in 1024 numbers of 32 bits, first byte highest."""
+    block, bits = filter_bits(F.col("h"))
+    maps = hashes.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    quad = lambda i: F.conv(F.hex(F.substring("bitmap", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    return maps.select("block", F.transform(F.sequence(F.lit(0), F.lit(1023)), quad).alias("quads"))
+
+
+def passing(stream: DataFrame, bloom: DataFrame) -> DataFrame:
+    """Rows of ``stream`` whose h may be in the filter."""
+    block, bits = filter_bits(F.col("h"))
+    is_set = [F.getbit(F.get("quads", F.shiftright(p, 5).cast("int")), (24 - p.bitwiseAND(F.lit(24)) + p.bitwiseAND(F.lit(7))).cast("int")) == 1 for p in bits]
+    return stream.withColumn("block", block).join(F.broadcast(bloom), "block").filter(is_set[0] & is_set[1]).select(*stream.columns)
+
+
 def verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), item_id, item_ids, n_shared, n_shingles of each containment."""
     classes, shingles = item_classes(benchmark)
@@ -88,6 +113,8 @@ def verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), words_of(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     stream = hashed.select("doc_id", "t", F.size("words").alias("n_words"), F.explode(shingle_hashes("hashes", "words")).alias("h"))
+    if n_sketch > common.BROADCAST_ROWS:
+        stream = passing(stream, store(bloom_filter(sketch), "sketch-filter"))
     pairs = stream.join(maybe_broadcast(sketch, n_sketch), "h").filter("n_words >= least_words").select("doc_id", "t", "item_id").distinct()
     pairs = store(pairs, "candidates")
 

@@ -267,6 +267,18 @@ def test_decontamination(spark, odd, real, sf, monkeypatch, limit):
         assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(k for k, t in rows if not found_by_hand([(k, t)], items + more))
 
 
+def test_bloom_filter_of_the_sketch(spark):
+    from pyspark.sql import functions as F
+
+    inside, others = spark.range(20_000).select(F.xxhash64("id").alias("h")), spark.range(20_000, 220_000).select("id", F.xxhash64("id").alias("h"))
+    bloom = decontaminate.bloom_filter(inside)
+    assert decontaminate.passing(inside, bloom).count() == 20_000  # none is lost
+    assert decontaminate.passing(others, bloom).count() < 2_000
+    assert bloom.count() <= decontaminate.BLOCKS and bloom.selectExpr("max(size(quads))").first()[0] == 1024
+    plan = decontaminate.passing(others, bloom)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and decontaminate.passing(others, bloom.limit(0)).count() == 0
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
