@@ -119,7 +119,20 @@ def test_line_rules():
     assert not linefilter.judge(1, good + bad + bad.replace("a", "e") + bad.replace("o", "u"))[7]
 
 
-def verdict_by_hand(text):
+def repeated_by_hand(texts):
+    """Lines that stand between lines of ten or more classes on either side."""
+    sides = {}
+    for text in texts:
+        lines = [x.strip(" \t\n\v\f\r") for x in (text or "").split("\n")]
+        lines = [x for x in lines if x]
+        for a, x, b in zip(lines, lines[1:], lines[2:], strict=False):
+            if len(x) >= 20:
+                for side, y in enumerate((a, b)):
+                    sides.setdefault(x, (set(), set()))[side].add(xxhash.xxh64_intdigest(y.encode(), 42) & 63)
+    return {x for x, (a, b) in sides.items() if min(len(a), len(b)) >= 10}
+
+
+def verdict_by_hand(text, repeated=frozenset()):
     """The kept verdict from the rules as the docstring states them, line by line."""
     if base_rules(text)[5]:
         return False
@@ -138,6 +151,7 @@ def verdict_by_hand(text):
         shouts = sum(w[-2:] in ("!!", "??") for w in words)
         bad = bad or (symbols >= 2 and symbols >= 0.3 * n) or (shouts >= 2 and shouts >= 0.3 * n)
         bad = bad or (n < 4 and words[-1][-1] not in linefilter.END_MARKS)
+        bad = bad or line.strip(" \t\n\v\f\r") in repeated
         whole += chars
         left += 0 if bad else chars
     return 1 - left / whole <= 0.6
@@ -146,7 +160,26 @@ def verdict_by_hand(text):
 def test_line_cleaning_verdict(odd, real):
     for df, rows in (odd, real):
         got = sorted(((r.doc_id, r.kept) for r in linefilter.clean_lines(df).collect()), key=str)
-        assert got == sorted(((k, verdict_by_hand(t)) for k, t in rows), key=str)
+        repeated = repeated_by_hand(t for _, t in rows)
+        assert got == sorted(((k, verdict_by_hand(t, repeated)) for k, t in rows), key=str)
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_lines_repeated_over_the_corpus(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    prose = lambda k: f"Here the {k} cats sat on mat number {k * k}, and they looked at sky {k + 3} for a while."
+    footer = "Call our friendly team between nine and five on working days.\t"
+    own = "A paragraph that is written once, though this document was copied to many places."
+    rows = [(k, "\n".join([prose(2 * k), "", footer, prose(2 * k + 1)])) for k in range(60)]
+    rows += [(100 + k, "\n".join([prose(900), own, prose(901), f"Only this closing line differs in copy {k} of the page."])) for k in range(60)]
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (200, "\n".join([prose(500), footer * 6, footer, footer, footer, prose(501)])), (201, footer), (202, None), (203, "")]
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "doc_id long, text string, repeated int, h string")
+    got = {(r.doc_id, r.n_repeated, r.kept) for r in linefilter.clean_lines(df).collect()}
+    repeated = repeated_by_hand(t for _, t in rows)
+    assert repeated == {footer.strip()}
+    count = lambda t: sum(x.strip() in repeated for x in (t or "").split("\n"))
+    assert got == {(k, count(t), verdict_by_hand(t, repeated)) for k, t in rows}
+    assert linefilter.clean_lines(df).count() == len(rows)
 
 
 def test_boilerplate_in_long_lines():
