@@ -13,7 +13,8 @@ large a share of its characters is rejected.
   line of LEAST_CHARS characters or more that the whole corpus repeats in different surroundings: the hashes
   of the lines before it, and of those after it, fall into SURROUNDINGS or more of 64 classes each. Copies
   and near copies of a document give a line the same neighbours, so they do not make it boilerplate; a first
-  or last line has one neighbour and is not counted.
+  or last line has one neighbour and is not counted. Such lines go, but say nothing about the rest: the share
+  that a document loses is that of its other lines. A document of nothing else is rejected.
 
 Defined cases: a null text is the empty text; lines without a word are neither judged nor counted; a
 document without words is not kept; repeated rows are judged one by one. An empty table gives no rows; other
@@ -98,7 +99,7 @@ def judge(doc_id: int | None, text: str | None, repeated: list[int] | None = Non
     raw = text.encode("utf-8", "surrogatepass").split()
     n_words, word_chars = len(raw), len(text) - sum(text.count(c) for c in WORD_SPACE)
     n_symbols = sum(text.count(c) for c in SYMBOLS)
-    seen, dup, n_lines, kept_lines, kept_chars = set(), 0, 0, [], 0
+    seen, dup, n_lines, kept_lines, kept_chars, own_chars = set(), 0, 0, [], 0, word_chars
     bad = {"punctuation": 0, "navigation": 0, "boilerplate": 0, "repeated": 0}
     for at, line in enumerate(text.split("\n")):
         stripped = line.strip(WORD_SPACE)
@@ -112,12 +113,14 @@ def judge(doc_id: int | None, text: str | None, repeated: list[int] | None = Non
         rule = line_verdict(stripped, words) or ("repeated" if at in repeated else None)
         if rule:
             bad[rule] += 1
+            if rule == "repeated":
+                own_chars -= sum(map(len, words))
         else:
             kept_lines.append(line)
             kept_chars += sum(map(len, words))
     repeats = repeat_words(raw)
     failed = n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words
-    lost = 1.0 - kept_chars / word_chars if word_chars else 0.0
+    lost = 1.0 - kept_chars / own_chars if own_chars else float(word_chars > 0)
     kept = not failed and lost <= MAX_LOST_SHARE
     return doc_id, n_words, word_chars, n_symbols, dup, repeats, failed, kept, n_lines, bad["punctuation"], bad["navigation"], bad["boilerplate"], bad["repeated"], lost, "\n".join(kept_lines)
 

@@ -151,10 +151,11 @@ def verdict_by_hand(text, repeated=frozenset()):
         shouts = sum(w[-2:] in ("!!", "??") for w in words)
         bad = bad or (symbols >= 2 and symbols >= 0.3 * n) or (shouts >= 2 and shouts >= 0.3 * n)
         bad = bad or (n < 4 and words[-1][-1] not in linefilter.END_MARKS)
-        bad = bad or line.strip(" \t\n\v\f\r") in repeated
+        if not bad and line.strip(" \t\n\v\f\r") in repeated:
+            continue
         whole += chars
         left += 0 if bad else chars
-    return 1 - left / whole <= 0.6
+    return whole > 0 and 1 - left / whole <= 0.6
 
 
 def test_line_cleaning_verdict(odd, real):
@@ -172,7 +173,7 @@ def test_lines_repeated_over_the_corpus(spark, monkeypatch, limit):
     own = "A paragraph that is written once, though this document was copied to many places."
     rows = [(k, "\n".join([prose(2 * k), "", footer, prose(2 * k + 1)])) for k in range(60)]
     rows += [(100 + k, "\n".join([prose(900), own, prose(901), f"Only this closing line differs in copy {k} of the page."])) for k in range(60)]
-    rows += [(None, rows[3][1]), (3, rows[3][1]), (200, "\n".join([prose(500), footer * 6, footer, footer, footer, prose(501)])), (201, footer), (202, None), (203, "")]
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (200, "\n".join([prose(500), footer * 6, footer, footer, footer, prose(501)])), (201, footer), (204, "\n".join([footer] * 12)), (205, "\n".join([prose(700), "aa*** bb%%% cc### dd " * 9] + [footer] * 9)), (202, None), (203, "")]
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "doc_id long, text string, repeated int, h string")
     got = {(r.doc_id, r.n_repeated, r.kept) for r in linefilter.clean_lines(df).collect()}
     repeated = repeated_by_hand(t for _, t in rows)
