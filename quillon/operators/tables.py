@@ -185,12 +185,17 @@ def word_places(words: DataFrame, heads: DataFrame, cells: DataFrame) -> tuple[D
 def answer_cells(questions: DataFrame, heads: DataFrame, cells: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:
     """qid, kind, subject, answer, table_id, n_rows for each question (qid, kb, kind, words) that a table answers exactly;
     no row for any other, which then goes to retrieval. Tables are scored for the questions of their scope with which they
-    share a word; of the best one only the cells that a question needs are read."""
+    share a word; of the best one only the cells that a question needs are read. Questions of one scope, kind and list of words
+    are answered once, and equal cells of a column are one row with their number, so no pair of a question and a row is made."""
     heads = staged(heads.filter("size(columns) > 0 and n_rows > 0").withColumns({"names": name_column(F.col("columns"), lex), "counts": count_column(F.col("columns"), lex)}), "heads")
     cells = cells.join(heads.select("table_id"), "table_id", "left_semi")
-    asked = staged(questions.filter("kind is not null").select("qid", F.col("kb").alias("scope"), "kind", content_words(F.col("words"), lex).alias("words")).filter("size(words) > 0"), "asked")
+    normal = cells.groupBy("table_id", "col", squash(F.col("value")).alias("text"), "value").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n"))
+    normal = staged(normal, "distinct-cells")
+    every = questions.filter("kind is not null").select("qid", F.col("kb").alias("scope"), "kind", content_words(F.col("words"), lex).alias("words")).filter("size(words) > 0")
+    every = staged(every.withColumn("asked", F.to_json(F.struct("scope", "kind", "words"))), "asked")
+    asked = staged(every.select(F.col("asked").alias("qid"), "scope", "kind", "words").distinct(), "asked-once")
     said = asked.select("qid", "scope", "kind", "words", F.posexplode("words").alias("at", "word"))
-    places, values = word_places(said.select("word"), heads, cells)
+    places, values = word_places(said.select("word"), heads, normal)
     met = said.select("qid", "scope", "at", "word").join(places, "word").join(heads.select("table_id", "kb"), "table_id").filter(F.col("scope").isNull() | (F.col("scope") == F.col("kb")))
     found = staged(met.groupBy("qid", "table_id", "at", "word").agg(F.sum("points").alias("points")), "word-points")
     scores = found.groupBy("qid", "table_id").agg(F.sum("points").alias("score"))
@@ -204,11 +209,10 @@ def answer_cells(questions: DataFrame, heads: DataFrame, cells: DataFrame, lex:
     # column, or the number of its rows
     own = best.select("qid", "table_id", "kind", "names", "counts", F.posexplode("words").alias("at", "word"))
     specific = own.filter((F.col("kind") == "count") & ~F.col("word").isin(*lex.generic, *lex.units))
-    normal = cells.select("table_id", "row_no", "col", squash(F.col("value")).alias("text"), "value")
     hits = specific.join(values, "word").join(normal, ["table_id", "text"])
     order = F.struct("at", F.when(F.col("col") == F.col("names"), -1).otherwise(F.col("col")), "row_no")
     named = staged(hits.groupBy("qid", "table_id", "counts").agg(F.min_by(F.struct("col", "text"), order).alias("s")).select("qid", "table_id", "counts", "s.col", "s.text"), "subjects")
-    rows = named.join(normal.drop("value"), ["table_id", "col", "text"]).groupBy("qid", "table_id", "counts", "text").agg(F.count("*").alias("n"), F.min("row_no").alias("row_no"))
+    rows = named.join(normal.drop("value"), ["table_id", "col", "text"]).groupBy("qid", "table_id", "counts", "text").agg(F.sum("n").alias("n"), F.min("row_no").alias("row_no"))
     one = cells.select("table_id", "row_no", F.col("col").alias("counts"), "value")
     told = rows.join(one, ["table_id", "row_no", "counts"], "left")
     number = F.when((F.col("n") == 1) & F.col("counts").isNotNull(), F.coalesce(F.nullif("value", F.lit("")), F.lit("1"))).otherwise(F.col("n").cast("string"))
@@ -228,16 +232,17 @@ def answer_cells(questions: DataFrame, heads: DataFrame, cells: DataFrame, lex:
 
     # a list: the names, of rows with the first specific word that occurs among them
     lists = best.filter("kind = 'enum' AND names IS NOT NULL").select("qid", "table_id", "names", "columns", "words")
-    listed = staged(lists.join(normal, "table_id").filter("col = names").select("qid", "table_id", "columns", "names", "words", "row_no", "text", "value"), "listed")
+    listed = staged(lists.join(normal, "table_id").filter("col = names").select("qid", "table_id", "columns", "names", "words", "row_no", "text", "value", "n"), "listed")
     picks = F.filter("words", lambda x: (F.length(x) >= 3) & ~x.isin(*lex.generic) & F.contains("text", x))
     first = listed.select("qid", F.explode(F.transform(picks, lambda x: F.struct(F.array_position("words", x).alias("at"), x.alias("word")))).alias("p")).groupBy("qid").agg(F.min("p").alias("p"))
     chosen = listed.join(first.select("qid", F.col("p.word").alias("pick")), "qid", "left").filter(F.col("pick").isNull() | F.contains("text", "pick"))
-    each = chosen.groupBy("qid", "table_id", F.get("columns", F.col("names")).alias("subject"), "pick", "value").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n"))
+    each = chosen.groupBy("qid", "table_id", F.get("columns", F.col("names")).alias("subject"), "pick", "value").agg(F.min("row_no").alias("row_no"), F.sum("n").alias("n"))
     values_ = F.transform(F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct("row_no", "value")))), lambda x: x["value"])  # the answer itself
     text = F.concat(F.when(F.col("pick").isNotNull(), F.concat("pick", F.lit(" 相关: "))).otherwise(""), F.array_join("names", lex.list_comma))
     enums = each.groupBy("qid", "table_id", "subject", "pick").agg(values_.alias("names"), F.sum("n").cast("int").alias("n_rows")).filter("size(names) > 0")
     enums = enums.select("qid", F.lit("enum").alias("kind"), "subject", text.alias("answer"), "table_id", "n_rows")
-    return counts.unionByName(totals).unionByName(enums)
+    told_once = counts.unionByName(totals).unionByName(enums)
+    return told_once.withColumnRenamed("qid", "asked").join(every.select("qid", "asked"), "asked").select("qid", "kind", "subject", "answer", "table_id", "n_rows")
 
 
 def answer_tables(questions: DataFrame, tables: DataFrame, lex: TableLexicon = DEFAULT) -> DataFrame:

@@ -164,3 +164,14 @@ def test_empty_tables_and_questions(spark, tables):
     asked = spark.createDataFrame([(1, None, "count", ["水泵", "多少"]), (2, None, None, ["水泵"]), (3, None, "enum", None)], "qid int, kb string, kind string, words array<string>")
     assert [r.answer for r in T.answer_tables(asked, tables).collect()] == ["水泵 数量: 2"]
     assert T.answer_tables(asked, tables.limit(0)).count() == 0 == T.answer_tables(asked.limit(0), tables).count()
+
+
+def test_equal_questions_and_cells_are_one_row(spark, monkeypatch):
+    stages = {}
+    plain = T.staged
+    monkeypatch.setattr(T, "staged", lambda df, name: stages.setdefault(name, plain(df, name)))
+    table = spark.createDataFrame([("t", ["名称", "数量"], [["水泵", "2"]] * 40, "s", "f", 1, "a")], "table_id string, columns array<string>, rows array<array<string>>, section string, source string, doc_id int, kb string")
+    asked = spark.createDataFrame([(i // 2, None, "count", ["水泵"]) for i in range(60)], "qid int, kb string, kind string, words array<string>")
+    got = T.answer_tables(asked, table).collect()
+    assert sorted(r.qid for r in got) == [i // 2 for i in range(60)] and {(r.answer, r.n_rows) for r in got} == {("水泵 数量: 40", 40)}
+    assert stages["asked-once"].count() == 1 and stages["distinct-cells"].count() == 2
