@@ -151,11 +151,15 @@ def x4_assembled_tables(spark, sf_dir):
     return T.assembled(parts)[1].withColumns({"row_no": F.col("row_no").cast("long"), "col": F.col("col").cast("int")})
 
 
-@query("x9_table_scores", f"WITH {CELLS}, tabs AS (SELECT DISTINCT p_brand AS t FROM part) SELECT w AS brand, t AS table_id, {POINTS} AS score FROM (SELECT DISTINCT p_brand AS w FROM part) CROSS JOIN tabs WHERE {POINTS} > 0")
+@query("x9_table_scores", f"WITH {CELLS}, tabs AS (SELECT DISTINCT p_brand AS t FROM part) SELECT w AS brand, t AS table_id, {POINTS} AS score FROM (SELECT DISTINCT p_brand AS w FROM part) CROSS JOIN tabs")
 def x9_table_scores(spark, sf_dir):
+    """Each brand's word against each sheet, those without a point included."""
     heads, cells = _sheets(spark, sf_dir)
-    places, _ = T.word_places(heads.select(F.col("table_id").alias("word")), heads, cells)
-    return places.groupBy(F.col("word").alias("brand"), "table_id").agg(F.sum("points").cast("int").alias("score"))
+    words = heads.select(F.col("table_id").alias("brand"))
+    places, _ = T.word_places(words.select(F.col("brand").alias("word")), heads, cells)
+    scores = places.groupBy(F.col("word").alias("brand"), "table_id").agg(F.sum("points").alias("points"))
+    pairs = words.crossJoin(heads.select("table_id"))  # the brands squared: the rows of the answer
+    return pairs.join(scores, ["brand", "table_id"], "left").select("brand", "table_id", F.coalesce("points", F.lit(0)).cast("int").alias("score"))
 
 
 @query("x11_counts", answers_sql("SELECT p_partkey AS qid, 'count' AS kind, [replace(p_name, ' ', ''), p_brand] AS ws FROM part"))

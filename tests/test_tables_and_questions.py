@@ -175,3 +175,11 @@ def test_equal_questions_and_cells_are_one_row(spark, monkeypatch):
     got = T.answer_tables(asked, table).collect()
     assert sorted(r.qid for r in got) == [i // 2 for i in range(60)] and {(r.answer, r.n_rows) for r in got} == {("水泵 数量: 40", 40)}
     assert stages["asked-once"].count() == 1 and stages["distinct-cells"].count() == 2
+
+
+def test_scores_of_all_pairs_of_brands_and_sheets(spark, sf):
+    from quillon import plans
+
+    rows = plans.queries()["x9_table_scores"](spark, sf).collect()
+    brands = {r.brand for r in rows}
+    assert {(r.brand, r.table_id) for r in rows} == {(a, b) for a in brands for b in brands} and any(r.score == 0 for r in rows)
