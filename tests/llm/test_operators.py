@@ -796,3 +796,18 @@ def test_long_texts_score_as_in_one_span(monkeypatch):
     whole = model.logit(ids, model.taps())
     monkeypatch.setattr(toxicity, "SPAN", 7)
     assert model.logit(ids, model.taps()) == pytest.approx(whole, abs=1e-5)
+
+
+def test_toxicity_learns_from_documents_beyond_its_start(spark):
+    ids = list(range(1200))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in ids], "doc_id long, toxic int")
+    plain = "the sun is on the hill and it is warm by the lake".split()
+    bare = spark.createDataFrame([(k, "") for k in ids], "doc_id long, text string")
+    start = {k for k, *_ in toxicity.training_sample(bare, labels, 20)}
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.sample(plain, 9) + ([] if k % 4 else ["vile" if k in start else "rotten"]) + rng.sample(plain, 9))
+    docs = spark.createDataFrame([(k, text(k)) for k in ids], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, toxicity.fit(docs, labels, 20)).collect()}
+    assert sum(got[k] == int(k % 4 == 0) for k in ids if k not in start) >= 0.95 * (len(ids) - len(start))
+    again = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels, 20)).collect()}
+    assert again == {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs.repartition(5), labels, 20)).collect()}
