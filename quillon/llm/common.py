@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import new_path, spread, staged  # noqa: F401
+from ..staging import BATCH_ROWS, bound_batches, new_path, spread, staged  # noqa: F401
 
 #: Rows handed to a per-batch function at once; keeps a slice of long texts small.
 SLICE_ROWS = 256
@@ -22,17 +22,6 @@ _BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 TEXTS = {"documents", "pages", "conversations"}
 
 
-#: What a batch between Spark and Python may hold. Spark's own limits allow 64 MB, of which several copies may be in
-#: memory at once for each core.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Limits this session's Arrow batches, as rows here are whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: its lineage ends there, and lost executors cost only a reread."""
     bound_batches(df.sparkSession)

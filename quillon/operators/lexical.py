@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import analyze
-from ..staging import small, staged
+from ..staging import bound_batches, small, staged
 from .store import Manifest
 
 #: Okapi constants, as published for the variant with a floor for negative idf.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Chunks of a block, buckets of terms, and questions that one broadcast holds.
 BLOCK, BUCKETS, BLOCK_QUESTIONS = 1024, 64, 20_000
+#: Questions whose terms are weighed at once: a matrix of their terms by a block's chunks.
+AT_ONCE = 256
 #: Scores are rounded to this many digits; a bound that rounds below the k-th score leaves a block out.
 DIGITS = 6
 
@@ -81,6 +84,7 @@ def postings(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """kb, term, block, ids, tfs, dls, max_tf, min_dl of chunks (kb, chunk_id, content), of the ``wanted`` terms or all. A task
     makes blocks of the chunks it reads, so no row for a chunk and term is shuffled; block names are unique to the task."""
     spark = chunks.sparkSession
+    bound_batches(spark)
     kind = dict(chunks.dtypes)
     schema = f"kb {kind['kb']}, term string, block long, ids array<{kind['chunk_id']}>, tfs array<int>, dls array<int>, max_tf int, min_dl int"
     out = to_arrow_schema(spark.createDataFrame([], schema).schema)
@@ -157,6 +161,7 @@ def score_blocks(rows: DataFrame, questions: list[tuple], k: int, qid_kind: str,
 
     ``questions`` are (qid, scope, {term: times}); ``counter``, an accumulator, counts blocks and those left out."""
     spark = rows.sparkSession
+    bound_batches(spark)
     kind = dict(rows.dtypes)
     schema = f"qid {qid_kind}, kb {kind['kb']}, chunk_id {kind['ids'].removeprefix('array<')[:-1]}, score double"
     out = to_arrow_schema(spark.createDataFrame([], schema).schema)
@@ -167,14 +172,17 @@ def score_blocks(rows: DataFrame, questions: list[tuple], k: int, qid_kind: str,
     by_term = {t: tuple(np.array(x) for x in zip(*pairs, strict=True)) for t, pairs in asked.items()}
     shared = spark.sparkContext.broadcast(([q[:2] for q in questions], by_term))
 
-    def solve(best: _Best, inside: np.ndarray, block: list[dict]) -> None:
+    def solve(best: _Best, inside: np.ndarray, parts: list[pa.RecordBatch]) -> None:
         by_term = shared.value[1]
-        avgdl = block[0]["avgdl"]
+        column = lambda name: pa.chunked_array([p.column(name) for p in parts])
+        number = lambda name: column(name).to_numpy().astype(float)
+        names = column("term").to_pylist()
+        avgdl = column("avgdl")[0].as_py()
         norm = lambda dl: K1 * (1 - B + B * dl / avgdl)
-        idf = np.array([r["idf"] for r in block])
-        top = np.array([r["max_tf"] * (K1 + 1) / (r["max_tf"] + norm(r["min_dl"])) for r in block])
-        at, times = [np.concatenate(x) for x in zip(*(by_term[r["term"]] for r in block), strict=True)]
-        term = np.repeat(np.arange(len(block)), [len(by_term[r["term"]][0]) for r in block])
+        idf, max_tf = number("idf"), number("max_tf")
+        top = max_tf * (K1 + 1) / (max_tf + norm(number("min_dl")))
+        at, times = [np.concatenate(x) for x in zip(*(by_term[t] for t in names), strict=True)]
+        term = np.repeat(np.arange(len(names)), [len(by_term[t][0]) for t in names])
         bound = np.bincount(at, np.maximum(times * idf[term] * top[term], 0), len(inside))
         hit = np.bincount(at, minlength=len(inside)) > 0
         open_ = hit & inside & (np.round(bound + 10.0**-DIGITS, DIGITS) >= best.least)
@@ -182,42 +190,57 @@ def score_blocks(rows: DataFrame, questions: list[tuple], k: int, qid_kind: str,
             counter.add((int((hit & inside).sum()), int((hit & inside & ~open_).sum())))
         if not open_.any():
             return
-        ids, column = np.unique(np.concatenate([np.array(r["ids"], object) for r in block]), return_inverse=True)
-        weight = np.zeros((len(block), len(ids)))
-        tf, dl = (np.concatenate([r[c] for r in block]).astype(float) for c in ("tfs", "dls"))
-        weight[np.repeat(np.arange(len(block)), [len(r["ids"]) for r in block]), column] = tf * (K1 + 1) / (tf + norm(dl))
+        flat = lambda name: np.concatenate([p.column(name).flatten().to_numpy(zero_copy_only=False) for p in parts])
+        ids, place = np.unique(flat("ids"), return_inverse=True)
+        tf, dl = flat("tfs").astype(float), flat("dls").astype(float)
+        weight = tf * (K1 + 1) / (tf + norm(dl))
+        line = np.repeat(np.arange(len(names)), np.concatenate([p.column("ids").value_lengths().to_numpy() for p in parts]))
         order = np.argsort(at, kind="stable")
         at, times, term = at[order], times[order], term[order]
         first = np.searchsorted(at, np.arange(len(inside) + 1))
-        for q in np.flatnonzero(open_):
-            own = slice(first[q], first[q + 1])
-            part = weight[term[own]]
-            found = np.flatnonzero(part.any(axis=0))
-            score = np.round((times[own] * idf[term[own]]) @ part[:, found], DIGITS) + 0.0
-            best.add(q, score, ids[found])
+        asked = np.flatnonzero(open_)
+        for begin in range(0, len(asked), AT_ONCE):
+            some = asked[begin : begin + AT_ONCE]
+            used = np.zeros(len(names), bool)
+            for q in some:
+                used[term[first[q] : first[q + 1]]] = True
+            own_line = np.cumsum(used) - 1
+            dense = np.zeros((int(used.sum()), len(ids)))
+            here = used[line]
+            dense[own_line[line[here]], place[here]] = weight[here]
+            for q in some:
+                own = slice(first[q], first[q + 1])
+                part = dense[own_line[term[own]]]
+                found = np.flatnonzero(part.any(axis=0))
+                score = np.round((times[own] * idf[term[own]]) @ part[:, found], DIGITS) + 0.0
+                best.add(q, score, ids[found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value[0]
         best = inside = kb = number = None
-        block: list[dict] = []
+        block: list[pa.RecordBatch] = []  # the rows of a block, as they came
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = [(names[q][0], kb, i, float(s)) for q in range(len(names)) for i, s in zip(best.ids[q], best.scores[q], strict=True)]
-            for at in range(0, len(found), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[at : at + (1 << 14)], strict=True), out, strict=True)], schema=out)
+            found = ((names[q][0], kb, i, float(s)) for q in range(len(names)) for i, s in zip(best.ids[q], best.scores[q], strict=True))
+            while some := list(islice(found, 1 << 14)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if block and (row["kb"], row["block"]) != (kb, number):
+            if not batch.num_rows:
+                continue
+            kbs, blocks = batch.column("kb").to_pylist(), batch.column("block").to_numpy()
+            starts = [0, *(i for i in range(1, len(kbs)) if (kbs[i], blocks[i]) != (kbs[i - 1], blocks[i - 1]))]
+            for a, b in zip(starts, [*starts[1:], len(kbs)], strict=True):
+                if block and (kbs[a], blocks[a]) != (kb, number):
                     solve(best, inside, block)
                     block = []
-                if best is None or row["kb"] != kb:
+                if best is None or kbs[a] != kb:
                     if best is not None:
                         yield from flush()
-                    kb = row["kb"]
+                    kb = kbs[a]
                     best, inside = _Best(len(names), k), np.array([scope is None or scope == kb for _, scope in names])
-                number = row["block"]
-                block.append(row)
+                number = blocks[a]
+                block.append(batch.slice(a, b - a))
         if block:
             solve(best, inside, block)
         if best is not None:

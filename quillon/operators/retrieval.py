@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import analyze, squash
-from ..staging import small, staged
+from ..staging import gathered, small, staged
 from .lexical import BLOCK_QUESTIONS, bm25, corpus_stats, in_scope, postings, term_table, top_k  # noqa: F401
 from .tables import answer_tables
 from .understanding import DEFAULT as LEXICON
@@ -64,9 +64,7 @@ def vector_search(vectors: DataFrame, questions: DataFrame, k: int = TOP_VECTOR,
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             kbs, ids = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
             place = np.argsort(np.array(ids), kind="stable")
             matrix = unit(np.array(batch.column(2).to_pylist(), np.float64))[place]

@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 100_000
+#: What a batch between Spark and Python may hold. Spark's own limits allow 64 MB, of which several copies may be in
+#: memory at once for each core.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _FALLBACK: dict[str, str] = {}
 
 
@@ -55,6 +58,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits this session's Arrow batches, as rows here are whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 10_000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows put together until they hold ``rows`` or ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A freshly read table of texts over all cores, if its files have fewer splits than there are cores; a table of many
     splits stays as it is read."""

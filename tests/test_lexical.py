@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.accumulators import AccumulatorParam
 
@@ -155,3 +156,24 @@ def test_whole_answers_of_tables_named_documents_and_live_versions(spark):
     assert sorted(r.result.source.chunk_id for r in by[2]) == [11, 12, 13]  # of the named document only, though others are nearer
     assert by[3] and all(r.result.source.chunk_id < 20 for r in by[3])  # neither old versions nor the withdrawn document
     assert all(len(r.result.source) == 9 for r in found)
+
+
+def test_batches_are_bounded_and_questions_are_weighed_in_parts(spark, monkeypatch):
+    from quillon import staging
+    from quillon.operators import lexical
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    chunks = spark.createDataFrame([("a" if i % 3 else "b", i, " ".join(f"w{i * j % 17}" for j in range(1, 9))) for i in range(300)], "kb string, chunk_id long, content string")
+    asked = spark.createDataFrame([(q, f"w{q % 17} w{q * 3 % 17} w{q % 17}", None if q % 2 else "a") for q in range(40)], "qid long, question string, kb string")
+    rows = lambda: sorted(tuple(r) for r in lexical.bm25(asked, chunks, 7).collect())
+    want = rows()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == staging.BATCH_ROWS
+    monkeypatch.setattr(lexical, "AT_ONCE", 3)
+    assert rows() == want and len(want) > 100
+
+
+def test_batches_are_put_together_again():
+    from quillon import staging
+
+    parts = [pa.record_batch({"x": list(range(n))}) for n in (3, 0, 4, 9, 1)]
+    assert [b.num_rows for b in staging.gathered(parts, 6)] == [7, 9, 1]
