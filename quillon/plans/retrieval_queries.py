@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, norm
 from ..operators import retrieval as R
 from ..operators.lexical import PostingsIndex
 from ..staging import new_path, small
@@ -88,9 +88,12 @@ def r4_vector_top50(spark, sf_dir):
 
 @query("r5_cosine", f"SELECT q.vec_id AS qid, e.vec_id AS chunk_id, round({COS}, 6) AS cosine FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0")
 def r5_cosine(spark, sf_dir):
-    asked = vector_questions(spark, sf_dir)
-    near = vectors(spark, sf_dir).join(small(asked), "kb")
-    return near.select("qid", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cosine"))
+    # a vector's length is found once, not again for each pair
+    asked = vector_questions(spark, sf_dir).withColumn("length", norm(F.col("vector")))
+    near = vectors(spark, sf_dir).withColumn("size", norm(F.col("embedding"))).join(small(asked), "kb")
+    sizes = F.col("size") * F.col("length")
+    near = near.withColumn("cosine", F.when(sizes == 0, F.lit(0.0)).otherwise(dot(F.col("embedding"), F.col("vector")) / sizes))
+    return near.select("qid", "chunk_id", F.round("cosine", 6).alias("cosine"))
 
 
 def _mixed(spark, sf_dir):

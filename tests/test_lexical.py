@@ -177,3 +177,10 @@ def test_batches_are_put_together_again():
 
     parts = [pa.record_batch({"x": list(range(n))}) for n in (3, 0, 4, 9, 1)]
     assert [b.num_rows for b in staging.gathered(parts, 6)] == [7, 9, 1]
+
+
+def test_lengths_of_vectors_are_found_before_pairs(spark, sf):
+    from quillon import plans
+
+    plan = plans.queries()["r5_cosine"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join", 1)[0].count("aggregate(") == 1
