@@ -1,7 +1,7 @@
 """Chunks from blocks: ordered folds inside a document, documents in parallel.
 
 Parents and children are folded section by section: a document is cut where the fold's state is reset anyway, at a
-change of section, and chunks are numbered afterwards, so a document of any length is in many tasks, and what one
+change of section, and chunks are numbered afterwards from one narrow row a section, so a document of any length is in many tasks, and what one
 task holds is a section. Chunks by structure are folded document by document.
 """
 
@@ -17,16 +17,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, strip
-from ..staging import fold_groups, ordered_runs
+from ..staging import fold_groups, ordered_runs, small, staged
 
 CHILD_MIN, CHILD_MAX, PARENT_MAX = 200, 500, 1600
 #: Where long text is cut, best first.
 SEPARATORS = ["\n\n", "\n", "。", "；", "，", " ", ""]
+#: A text with three characters that are neither white space nor brackets.
+THREE_MARKS = re.compile(r"(?:[\s()\[\]（）]*[^\s()\[\]（）]){3}")
 CHUNK_SCHEMA = "doc_id long, chunk_index int, content string, section string, page int, block_type string, content_hash string, parent_content string, parent_hash string, table_data struct<table_id:string,columns:array<string>,rows:array<array<string>>,row_index:int>"
 
 
 def digest(text: str) -> str:
-    return hashlib.sha256(re.sub(r"\s+", "", text).encode()).hexdigest()
+    return hashlib.sha256("".join(text.split()).encode()).hexdigest()
 
 
 def prefixed(section: str | None, text: str) -> str:
@@ -148,8 +150,9 @@ def is_noise(content: str, section: str | None) -> bool:
     body = content.split("\n", 1)[-1].strip()
     if not body or (section and body == section.split("/")[-1].strip()):
         return True
-    bare = re.sub(r"(?m)^\(\w\)\s*$", "", re.sub(r"图\d+(?:\.\d+)*", "", body))
-    return len(re.sub(r"[\s()\[\]（）]+", "", bare)) < 3
+    bare = re.sub(r"图\d+(?:\.\d+)*", "", body) if "图" in body else body
+    bare = re.sub(r"(?m)^\(\w\)\s*$", "", bare) if "(" in bare else bare
+    return THREE_MARKS.match(bare) is None
 
 
 def table_data(pack: list[Block]) -> dict | None:
@@ -169,34 +172,40 @@ def parent_child(blocks: list[Block], count=len) -> Iterator[tuple[Block, str]]:
     for b in (b for b in blocks if b.kind != "heading"):
         section = b.section or (groups[-1][0].section if groups else None)
         if groups and groups[-1][0].section == section:
-            groups[-1].append(replace(b, section=section))
+            groups[-1].append(b)
         else:
-            groups.append([replace(b, section=section)])
+            groups.append([b if b.section == section else replace(b, section=section)])
     for group in groups:
         section, children = group[0].section, []
         pack: list[Block] = []
+        size = 0
         for atom in group:
-            size = sum(count(b.text) for b in pack)
+            more = count(atom.text)
             apart = pack and (pack[0].kind == "table") != (atom.kind == "table")
-            if pack and (apart or (size + count(atom.text) > CHILD_MAX and size >= CHILD_MIN)):
+            if pack and (apart or (size + more > CHILD_MAX and size >= CHILD_MIN)):
                 children.append(pack)
-                pack = []
+                pack, size = [], 0
             pack.append(atom)
+            size += more
         if pack:
             children.append(pack)
         texts = ["\n".join(b.text for b in c) for c in children]
-        parents, fits = [], count("\n".join(b.text for b in group)) <= PARENT_MAX
+        parents, fits, size = [], count("\n".join(b.text for b in group)) <= PARENT_MAX, 0
         for t in texts:
-            if parents and (fits or sum(map(count, parents[-1])) + count(t) <= PARENT_MAX):
+            more = count(t)
+            if parents and (fits or size + more <= PARENT_MAX):
                 parents[-1].append(t)
+                size += more
             else:
                 parents.append([t])
-        for pack, text, parent in zip(children, texts, (p for p in parents for _ in p), strict=True):
+                size = more
+        wholes = (whole for p in parents for whole in [prefixed(section, "\n".join(p))] * len(p))
+        for pack, text, whole in zip(children, texts, wholes, strict=True):
             kind = "table" if all(b.kind == "table" for b in pack) else "text"
             page = next((b.page for b in pack if b.page), None)
             child = Block(prefixed(section, text), section, page, kind, table=table_data(pack))
             if not is_noise(child.text, section):
-                yield child, prefixed(section, "\n".join(parent))
+                yield child, whole
 
 
 def chunk_documents(blocks: DataFrame, how: str = "parent_child", count=len) -> DataFrame:
@@ -213,8 +222,12 @@ def chunk_documents(blocks: DataFrame, how: str = "parent_child", count=len) ->
         return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), c.text, digest(c.text), None) for i, c in enumerate(chunks)]
 
     def by_section(rows: list[dict]) -> list[tuple]:
-        pairs = parent_child([replace(row_of(r), section=r["filled"]) for r in rows], count)
-        return [(rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), p, digest(p), c.table, rows[0]["run"]) for i, (c, p) in enumerate(pairs)]
+        out, last, hashed = [], None, ""
+        for i, (c, p) in enumerate(parent_child([row_of({**r, "section": r["filled"]}) for r in rows], count)):
+            if p != last:
+                last, hashed = p, digest(p)
+            out.append((rows[0]["doc_id"], i, c.text, c.section, c.page, c.kind, digest(c.text), p, hashed, c.table, rows[0]["run"]))
+        return out
 
     given = blocks.select(*known)
     if how != "parent_child":
@@ -222,9 +235,14 @@ def chunk_documents(blocks: DataFrame, how: str = "parent_child", count=len) ->
     # an empty section is none, as is a null one
     told = given.filter("block_type <> 'heading' OR block_type IS NULL").withColumn("section", F.nullif("section", F.lit("")))
     runs = ordered_runs(told, "doc_id", ["idx"], "section", "sections").withColumn("unit", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run"))
-    made = fold_groups(runs, "unit", "idx", by_section, f"{CHUNK_SCHEMA}, stretch long")
-    numbered = ordered_runs(made, "doc_id", ["stretch", "chunk_index"], "section", "chunks")
-    return numbered.withColumn("chunk_index", F.col("place").cast("int")).select(*(c for c in made.columns if c != "stretch"))
+    made = staged(fold_groups(runs, "unit", "idx", by_section, f"{CHUNK_SCHEMA}, stretch long"), "chunks")
+    # a section's chunks follow those of the sections before it: one narrow row a section is summed, and only later sections move
+    sizes = made.groupBy(F.col("doc_id").alias("_doc"), F.col("stretch").alias("_stretch")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("_doc").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
+    later = staged(sizes.withColumn("_before", before).filter("_before > 0").drop("n"), "chunks-before")
+    moved = made.join(small(later), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("stretch") == F.col("_stretch")), "left")
+    number = (F.col("chunk_index") + F.coalesce("_before", F.lit(0))).cast("int")
+    return moved.withColumn("chunk_index", number).select(*(c for c in made.columns if c != "stretch"))
 
 
 def contents_chunks(pages: DataFrame, title: str = "目录") -> DataFrame:

@@ -101,15 +101,15 @@ def fold_groups(df: DataFrame, key: str, order: str, fn: Callable[[list[dict]],
         group: list[dict] = []
         out: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-                if group and row[key] != group[0][key]:
-                    out += fn(group)
-                    group = []
-                    if len(out) >= size:
-                        yield batch_of(out)
-                        out = []
-                group.append(row)
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    if group and row[key] != group[0][key]:
+                        out += fn(group)
+                        group = []
+                        if len(out) >= size:
+                            yield batch_of(out)
+                            out = []
+                    group.append(row)
         if group:
             out += fn(group)
         if out:

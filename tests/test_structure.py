@@ -182,3 +182,16 @@ def test_token_counts_may_measure_chunks(spark):
     df = spark.createDataFrame([(1, i, words, "s", 1, "paragraph") for i in range(12)], BLOCKS)
     tokens = C.chunk_documents(df, count=lambda t: len(t.split())).collect()
     assert all(len(r.content.split()) <= C.CHILD_MAX + 2 for r in tokens) and len(tokens) < len(C.chunk_documents(df).collect())
+
+
+def test_a_section_is_folded_once_and_measured_in_proportion(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        return len(text)
+
+    n = 600
+    df = spark.createDataFrame([(1, i, "x", "s", 1, "paragraph") for i in range(n)], BLOCKS)
+    assert C.chunk_documents(df, count=count).count() > 1
+    assert calls.value <= 3 * n
