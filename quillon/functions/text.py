@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 #: White space in every script, spelt out because the default class differs between engines.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters one by one: those of one byte, and the others.
+NARROW_SPACES, WIDE_SPACES = " \t\n\v\f\r", "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 HAN = r"[\x{4E00}-\x{9FFF}]"
 
 
 def squash(text: Column) -> Column:
     """Text without any white space: the normal form of cells, column names and hashed content."""
-    return F.regexp_replace(text, SPACE + "+", "")
+
+    def without(text: Column, marks: str) -> Column:
+        return F.aggregate(F.array(*map(F.lit, marks)), text, lambda x, c: F.when(F.contains(x, c), F.replace(x, c, F.lit(""))).otherwise(x))
+
+    # characters are searched as bytes, which costs less than half of a regular expression
+    return F.transform(F.array(without(text, NARROW_SPACES)), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(without(x, WIDE_SPACES)))[0]
 
 
 def strip(text: Column) -> Column:
     """Text without white space at its ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(text, F.lit(NARROW_SPACES + WIDE_SPACES))
 
 
 def analyze(text: Column) -> Column:
@@ -30,7 +37,7 @@ def analyze(text: Column) -> Column:
 
     mixed = F.regexp_extract_all(low, F.lit(rf"{HAN}+|(?:(?!{HAN})[\p{{L}}\p{{N}}])+"), F.lit(0))
     plain = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))  # most texts have no Han
-    return F.when(low.rlike(HAN), F.flatten(F.transform(mixed, pairs))).otherwise(plain)
+    return F.when(~low.rlike(HAN), plain).otherwise(F.flatten(F.transform(mixed, pairs)))
 
 
 def content_hash(text: Column) -> Column:

@@ -14,6 +14,7 @@ from ..operators import structure as S
 from ..operators import tables as T
 from ..operators import understanding as U
 from ..sources import readers
+from ..staging import staged
 from . import retrieval_queries as RQ
 from .registry import query, read
 
@@ -253,7 +254,7 @@ def c25_section_prefix(spark, sf_dir):
 @query("m1_embed_missing", f"SELECT doc_id, sha256({SQUASH}) AS content_hash, CASE WHEN sha256({SQUASH}) < '8' THEN 0.5 ELSE CAST('0x' || substr(sha256((SELECT min(d.text) FROM documents d WHERE sha256({SQUASH.replace('text', 'd.text')}) = sha256({SQUASH.replace('text', 'documents.text')}))), 1, 2) AS INT) / 255.0::DOUBLE END AS first FROM documents")
 def m1_embed_missing(spark, sf_dir):
     """Half of the contents are in the cache, with a vector of their own; the others are embedded once each."""
-    chunks = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), X.content_hash(F.col("text")).alias("content_hash"))
+    chunks = staged(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), X.content_hash(F.col("text")).alias("content_hash")), "hashed")
     profile = X.profile_fingerprint(model="hash", dim=64)
     cache = chunks.filter("content_hash < '8'").select("content_hash").distinct().select("content_hash", profile.alias("profile"), F.array(F.lit(0.5)).alias("vector"))
     full, _ = M.embed_missing(chunks, cache, profile, X.hash_embedding)

@@ -266,3 +266,19 @@ def test_publishing_batches(spark, tmp_path):
     q = J.publish_each(stream, str(tmp_path / "ck"), lambda b, v: b.write.mode("overwrite").parquet(str(tmp_path / "out" / v)))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out" / "*")).count() == 5
+
+
+def test_white_space_goes_as_by_the_expression_and_hashes_are_made_once(spark, sf):
+    import re
+
+    from quillon import plans
+    from quillon.functions.text import NARROW_SPACES, SPACE, WIDE_SPACES, squash, strip
+
+    marks = NARROW_SPACES + WIDE_SPACES
+    rows = [(None,), ("",), (" ",), (marks,), (f"{marks}a{marks}é b​{marks}",), ("a\tb c",), ("中　文 ",), ("\x1c\x85x\x1f",), ("a ",)]
+    got = spark.createDataFrame(rows, "t string").select("t", squash(F.col("t")).alias("s"), strip(F.col("t")).alias("e"), F.regexp_replace("t", SPACE + "+", "").alias("x")).collect()
+    own = f"[{re.escape(marks)}]+"
+    assert all(r.s == r.x and r.s == (None if r.t is None else re.sub(own, "", r.t)) for r in got)
+    assert all(r.e == (None if r.t is None else r.t.strip(marks)) for r in got)
+    plan = plans.queries()["m1_embed_missing"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "documents.parquet" not in plan  # only the stage of hashes is read, more than once
