@@ -47,11 +47,8 @@ SELECT doc_id, count(*) AS n_lines FROM k WHERE (source, key) NOT IN (SELECT (so
 HAVING trim(string_agg(line, chr(10) ORDER BY i), E' \\n\\t\\r') <> ''""")
 def c17_without_repeated(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("idx"), "text", F.col("doc_id").alias("page"), F.lit("paragraph").alias("block_type"))
-    lines = S.lines_of(d).withColumn("key", X.squash(F.col("line")))
     rep = S.repeated_lines(d, share=0.0).select("doc_id", "key")
-    kept = lines.join(rep, ["doc_id", "key"], "left_anti").groupBy(F.col("page").alias("doc_id")).agg(F.count("*").alias("n_lines"))
-    alive = S.without_lines(d, rep).select(F.col("page").alias("doc_id"))
-    return kept.join(alive, "doc_id", "left_semi")
+    return S.without_lines(d, rep).select(F.col("page").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"))
 
 
 @query("c19_garble", "SELECT doc_id, round(length(regexp_replace(text, '[^\\x{FFFD}\\x{E000}-\\x{F8FF}]', '', 'g')) / length(text), 6) AS ratio FROM documents WHERE length(text) > 0")

@@ -195,3 +195,10 @@ def test_a_section_is_folded_once_and_measured_in_proportion(spark):
     df = spark.createDataFrame([(1, i, "x", "s", 1, "paragraph") for i in range(n)], BLOCKS)
     assert C.chunk_documents(df, count=count).count() > 1
     assert calls.value <= 3 * n
+
+
+def test_lines_left_are_counted_where_they_are_removed(spark):
+    rows = [(1, 0, "keep this\nfoot line\n\nkeep that", None, 1, "paragraph"), (1, 1, "foot  line\nfoot line", None, 2, "paragraph"), (1, 2, "foot line", None, 3, "heading"), (2, 0, "foot line\n\n ", None, 1, "paragraph"), (2, 1, None, None, 1, "heading")]
+    removed = spark.createDataFrame([(1, "footline"), (1, "footline"), (3, "keepthis")], "doc_id long, key string")
+    got = {(r.doc_id, r.idx): (r.n_lines, r.text) for r in S.without_lines(spark.createDataFrame(rows, BLOCKS), removed).collect()}
+    assert got == {(1, 0): (3, "keep this\n\nkeep that"), (1, 2): (0, "foot line"), (2, 0): (3, "foot line"), (2, 1): (1, None)}
