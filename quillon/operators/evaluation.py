@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import characters, common_han_ratio, garble_ratio, squash
 from ..staging import small, staged
-from .substrings import holders
+from .substrings import SCANNED, holders, scanned
 
 
 def keyword_hit(keywords: Column, *texts: Column) -> Column:
@@ -71,15 +71,20 @@ def root_cause(target: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:
 
 
 def unsupported_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, keyword of expectations that no chunk of the question's knowledge base holds. Chunks meet the keywords that have
-    their rarest pair of characters in them; a keyword of one character meets the chunks that have it."""
+    """qid, keyword of expectations that no chunk of the question's knowledge base holds. Chunks are scanned for all keywords at
+    once. Beyond SCANNED of them, chunks meet the keywords that have their rarest pair of characters in them, and a keyword
+    of one character the chunks that have it."""
     wanted = gold.select("qid", "kb", F.explode("expect_keywords").alias("keyword"))
     words = wanted.select(F.col("keyword").alias("pattern")).distinct()
+    empty = chunks.filter("content IS NOT NULL").select("kb", F.lit("").alias("keyword")).distinct()  # stands in any text
+    few = [r.pattern for r in words.filter("pattern <> ''").limit(SCANNED + 1).collect()]
+    if len(few) <= SCANNED:
+        held = scanned(chunks.select(F.col("kb").alias("id"), F.col("content").alias("text")), few).select(F.col("id").alias("kb"), F.col("pattern").alias("keyword"))
+        return wanted.join(held.unionByName(empty), ["kb", "keyword"], "left_anti").select("qid", "keyword")
     texts = staged(chunks.select("kb", F.xxhash64("kb", "content").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL").dropDuplicates(["id", "text"]), "gold-texts")
     long = holders(texts, words.filter("length(pattern) >= 2"))
     short = texts.select("id", F.explode(characters(F.col("text"))).alias("pattern")).join(small(words.filter("length(pattern) = 1")), "pattern").select("id", "pattern")
     held = texts.select("id", "kb").join(long.unionByName(short), "id").select("kb", F.col("pattern").alias("keyword")).distinct()
-    empty = chunks.filter("content IS NOT NULL").select("kb", F.lit("").alias("keyword")).distinct()  # stands in any text
     return wanted.join(held.unionByName(empty), ["kb", "keyword"], "left_anti").select("qid", "keyword")
 
 

@@ -282,3 +282,27 @@ def test_white_space_goes_as_by_the_expression_and_hashes_are_made_once(spark, s
     assert all(r.e == (None if r.t is None else r.t.strip(marks)) for r in got)
     plan = plans.queries()["m1_embed_missing"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "documents.parquet" not in plan  # only the stage of hashes is read, more than once
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scanned_texts_hold_what_they_contain(spark, seed, monkeypatch):
+    import random
+
+    from quillon.operators import substrings as P
+
+    rng = random.Random(seed)
+    monkeypatch.setattr(P, "STEP", rng.choice([5, 64, 1 << 20]))  # matches reach over steps, never over texts
+    letters = rng.choice(["ab", "abcdefgh ", "aé中𐍈"])
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [(i % 7, word(rng.randrange(60))) for i in range(120)] + [(3, None), (None, word(30)), (4, "")]
+    patterns = sorted({word(rng.randrange(1, 30)) for _ in range(60)} | {t[rng.randrange(len(t)) :] for _, t in texts if t} | {texts[0][1][:40] or "a"})
+    got = sorted((r.id is None, r.id or 0, r.pattern) for r in P.scanned(spark.createDataFrame(texts, "id long, text string").repartition(3), patterns).collect())
+    assert got == sorted({(i is None, i or 0, p) for i, t in texts for p in patterns if t and p in t})
+
+
+def test_few_and_many_keywords_give_the_same(spark, monkeypatch):
+    gold = spark.createDataFrame([(1, "k", ["alpha", "zz"]), (2, "k", ["b", "", "beta x"]), (3, "j", ["", "a"]), (4, None, ["alpha"])], "qid long, kb string, expect_keywords array<string>")
+    chunks = spark.createDataFrame([("k", "alpha text"), ("k", "beta"), ("j", "none"), (None, "alpha")], "kb string, content string")
+    few = sorted((r.qid, r.keyword) for r in E.unsupported_gold(gold, chunks).collect())
+    monkeypatch.setattr(E, "SCANNED", 2)
+    assert few == sorted((r.qid, r.keyword) for r in E.unsupported_gold(gold, chunks).collect()) == [(1, "zz"), (2, "beta x"), (3, "a"), (4, "alpha")]
