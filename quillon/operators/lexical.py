@@ -54,10 +54,19 @@ def top_k(scored: DataFrame, by: list[str], k: int, id_col: str = "chunk_id") ->
 # -- counts ------------------------------------------------------------------------------------------
 
 
+def analysed(chunks: DataFrame) -> DataFrame:
+    """kb, chunk_id, analysed_terms: the words of the chunks, found once and written for all that read them."""
+    return staged(chunks.select("kb", "chunk_id", analyze(F.col("content")).alias("analysed_terms")), "analysed")
+
+
+def _terms(chunks: DataFrame) -> Column:
+    return F.col("analysed_terms") if "analysed_terms" in chunks.columns else analyze(F.col("content"))
+
+
 def term_table(chunks: DataFrame) -> DataFrame:
     """kb, term, df, n, words of all terms, from one pass: n and words are chunks and words that were counted at this
     term, so that they sum to those of the knowledge base. Only partial sums by (kb, term) are shuffled."""
-    terms = chunks.select("kb", analyze(F.col("content")).alias("terms"))
+    terms = chunks.select("kb", _terms(chunks).alias("terms"))
     each = terms.select("kb", F.size("terms").alias("dl"), F.posexplode_outer(F.array_distinct("terms")).alias("at", "term"))
     once = F.coalesce(F.col("at"), F.lit(0)) == 0
     return each.groupBy("kb", "term").agg(F.count("term").alias("df"), F.count_if(once).alias("n"), F.sum(F.when(once, F.col("dl")).otherwise(0)).alias("words"))
@@ -80,9 +89,10 @@ def corpus_stats(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- postings ----------------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+def postings(chunks: DataFrame, wanted: list[str] | None = None, whole: bool = False) -> DataFrame:
     """kb, term, block, ids, tfs, dls, max_tf, min_dl of chunks (kb, chunk_id, content), of the ``wanted`` terms or all. A task
-    makes blocks of the chunks it reads, so no row for a chunk and term is shuffled; block names are unique to the task."""
+    makes blocks of the chunks it reads, so no row for a chunk and term is shuffled; block names are unique to the task. With
+    ``whole``, a row without a term has all chunks of its block, so that posting_counts() need not read the chunks."""
     spark = chunks.sparkSession
     bound_batches(spark)
     kind = dict(chunks.dtypes)
@@ -125,12 +135,24 @@ def postings(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
             for i, kb in enumerate(kbs.dictionary.to_pylist()):
                 place = np.flatnonzero(kbs.indices.fill_null(-1).to_numpy() == i)
                 for first in range(0, len(place), BLOCK):
+                    if whole:
+                        own = place[first : first + BLOCK]
+                        one = [[kb], [None], [block], [batch.column(1).take(pa.array(own)).to_pylist()], [[0] * len(own)], [sizes[own].tolist()], [0], [int(sizes[own].min())]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, out, strict=True)], schema=out)
                     made = rows_of(kb, place[first : first + BLOCK], batch.column(1), sizes, code, at, names, block)
                     block += 1
                     if made is not None:
                         yield made
 
-    return chunks.select("kb", "chunk_id", analyze(F.col("content")).alias("terms")).mapInArrow(run, schema)
+    return chunks.select("kb", "chunk_id", _terms(chunks).alias("terms")).mapInArrow(run, schema)
+
+
+def posting_counts(rows: DataFrame) -> DataFrame:
+    """What term_table() counts, from the posting rows of all terms, those of whole blocks among them."""
+    every = F.col("term").isNull()
+    one = rows.select("kb", "term", F.size("ids").cast("long").alias("k"), F.when(every, F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("w"))
+    counted = [F.sum(F.when(every, 0).otherwise(F.col("k"))).alias("df"), F.sum(F.when(every, F.col("k")).otherwise(0)).alias("n"), F.sum(F.coalesce("w", F.lit(0))).alias("words")]
+    return one.groupBy("kb", "term").agg(*counted)
 
 
 class _Best:
@@ -276,8 +298,9 @@ def search(find, size: DataFrame, idf: DataFrame, questions: DataFrame, k: int,
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 50, pad: bool = False) -> DataFrame:
     """qid, kb, chunk_id, score, rank: the k best chunks of each knowledge base in the question's scope. A word
     said twice counts twice. With ``pad``, chunks without a common word follow with score 0, by id."""
-    size, idf = corpus_stats(staged(term_table(chunks), "terms"))
-    best = search(lambda terms: postings(chunks, terms), size, idf, questions, k)
+    words = analysed(chunks)
+    size, idf = corpus_stats(staged(term_table(words), "terms"))
+    best = search(lambda terms: postings(words, terms), size, idf, questions, k)
     if not pad:
         return best
     # at most k more rows of each knowledge base are ever needed
@@ -303,9 +326,10 @@ class PostingsIndex:
     def add(self, chunks: DataFrame, segment: str, buckets: int = BUCKETS) -> None:
         """Writes the postings and counts of ``chunks`` (kb, chunk_id, content) beside what is active."""
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        rows = postings(chunks).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
+        rows = postings(chunks, whole=True).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
-        term_table(chunks).write.mode("overwrite").parquet(f"{self.root}/counts/segment={segment}")
+        stored = self.spark.read.parquet(f"{self.root}/postings/segment={segment}")
+        posting_counts(stored).write.mode("overwrite").parquet(f"{self.root}/counts/segment={segment}")
 
     def publish(self, segments: list[str], state: str, expected: str | None = None, buckets: int = BUCKETS, **tables: str) -> None:
         """Makes ``segments`` the active ones, with the sum of their counts; other ``tables`` (name=version) move along."""

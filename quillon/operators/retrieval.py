@@ -315,7 +315,8 @@ def respond(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int
     and is sufficient where a table answers exactly."""
     if active is not None:  # by document and version, as two versions of a document may be stored
         keys = ["doc_id", "version"]
-        chunks, vectors = (df.join(active.select(*keys), keys, "left_semi") for df in (chunks, vectors))
+        # written, as they are read by every stage below, each of which would move all texts again
+        chunks, vectors = (staged(df.join(active.select(*keys), keys, "left_semi"), "published") for df in (chunks, vectors))
     if documents is not None:
         named = named_documents(questions, documents, lex).groupBy("qid").agg(F.collect_list("doc_id").alias("named"))  # a document a name
         given = F.col("doc_ids") if "doc_ids" in questions.columns else F.lit(None).cast("array<bigint>")
