@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import functions as F
 
 from quillon.operators import lexical as L
 from quillon.operators.store import Manifest
@@ -184,3 +185,25 @@ def test_lengths_of_vectors_are_found_before_pairs(spark, sf):
 
     plan = plans.queries()["r5_cosine"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join", 1)[0].count("aggregate(") == 1
+
+
+def test_chunks_are_analysed_once(spark, tmp_path):
+    rows, asked = corpus(n=50)
+    rows = [*rows, (rows[0][0], 99_999, "")]  # a chunk without words counts in the means
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    chunks, questions = spark.createDataFrame(rows, CHUNK), spark.createDataFrame(asked, QUESTION)
+    counted = chunks.withColumn("content", read("content"))
+    same(plain(L.bm25(questions, counted, 5)), by_hand(rows, asked, 5))
+    assert seen.value == len(rows)
+    index = L.PostingsIndex(spark, f"{tmp_path}/index")
+    index.add(counted, "s1")
+    assert seen.value == 2 * len(rows)
+    told = lambda df: sorted((r.kb, r.term or "", r.df, r.n, r.words) for r in df.filter("kb IS NOT NULL").groupBy("kb", "term").agg(*(F.sum(c).alias(c) for c in ("df", "n", "words"))).collect())
+    totals = lambda found: ({(k, t): d for k, t, d, _, _ in found if t}, {k: (sum(n for a, _, _, n, _ in found if a == k), sum(w for a, *_, w in found if a == k)) for k, *_ in found})
+    assert totals(told(spark.read.parquet(f"{tmp_path}/index/counts/segment=s1"))) == totals(told(L.term_table(chunks)))
